@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, forms
+from . import canon, copies, forms
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,22 @@ bare AS (SELECT id, regexp_replace(lower(upper(coalesce(user_id, ''))), '[^\p{L}
 g AS (SELECT u, a, t, min(id) first_id, count(*) n_copies FROM bare WHERE t <> '' GROUP BY 1, 2, 3)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records}
+ATTRS = ["brand", "color", "material"]
+
+
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed brand, color and material with the entry of the reference list that is meant, or -1."""
+    typed = canon.object_values(table(spark, d, "metadata"), "item_id", "details", ATTRS)
+    return canon.map_values(typed, table(spark, d, "canon_ref"), "item_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """p5_values without the values that are already a canonical name."""
+    names = table(spark, d, "canon_ref").select("attr", F.col("canonical").alias("value")).distinct()
+    return p5_values(spark, d).join(names, ["attr", "value"], "left_anti").select("item_id", "attr", "canon_id")
+
+
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values}
 
 ORACLE = {
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
