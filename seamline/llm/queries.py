@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, copies, forms
+from . import canon, copies, forms, spans
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_values(spark, d).join(names, ["attr", "value"], "left_anti").select("item_id", "attr", "canon_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Maximal runs of characters shared with another document in stretches of 300 or more."""
+    return spans.shared_spans(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with how much of it is shared."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spans.shared_shares(docs, spans.shared_spans(docs))
+
+
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE = {
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
