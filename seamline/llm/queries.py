@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, copies, forms, spans
+from . import canon, copies, forms, leaks, spans
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,6 +60,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_values(spark, d).join(names, ["attr", "value"], "left_anti").select("item_id", "attr", "canon_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 12 or more consecutive words of a held-out item."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
+def p6_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks and paraphrases of held-out items with the evidence for each."""
+    return leaks.paraphrased_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Maximal runs of characters shared with another document in stretches of 300 or more."""
     return spans.shared_spans(table(spark, d, "documents").select("doc_id", "text"))
@@ -71,7 +81,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE = {
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
