@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, copies, forms, leaks, spans
+from . import canon, copies, forms, leaks, mixture, spans
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -70,6 +70,38 @@ def p6_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     return leaks.paraphrased_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
+#: The upper level of the mixture's tree.
+DOMAINS = {
+    "review_thread": "buyers", "qa_forum": "buyers", "returns_log": "buyers",
+    "item_page": "shop", "retail_copy": "shop", "lookbook": "shop",
+    "size_guide": "guidance", "coder_note": "guidance", "stylist_mail": "guidance",
+}
+
+
+def _mixed(spark: SparkSession, d: str, total: str = "supply"):
+    sized = mixture.sized_documents(table(spark, d, "documents"))
+    targets = table(spark, d, "mix_target")
+    plan = mixture.plan_mixture(sized, targets, DOMAINS, total)
+    return sized, targets, plan, mixture.select_documents(sized, plan)
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture with their tokens and how often each appears; total: all tokens of targeted sources."""
+    return _mixed(spark, d)[3]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source in that mixture."""
+    sized, targets, plan, chosen = _mixed(spark, d)
+    return mixture.mixture_shares(sized, chosen, targets, plan, DOMAINS)
+
+
+def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The same for the largest total at which every source with documents can reach its share."""
+    sized, targets, plan, chosen = _mixed(spark, d, "exact")
+    return mixture.mixture_shares(sized, chosen, targets, plan, DOMAINS)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Maximal runs of characters shared with another document in stretches of 300 or more."""
     return spans.shared_spans(table(spark, d, "documents").select("doc_id", "text"))
@@ -81,7 +113,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 ORACLE = {
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
