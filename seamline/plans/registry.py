@@ -1,6 +1,7 @@
 """All core queries and their SQL."""
 
-from . import core_problems
+from . import core_problems, reviews
 
-QUERIES = {**core_problems.QUERIES}
-ORACLE = {**core_problems.ORACLE}
+_MODULES = (core_problems, reviews)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
