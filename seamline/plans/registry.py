@@ -1,7 +1,7 @@
 """All core queries and their SQL."""
 
-from . import core_problems, reviews
+from . import core_problems, measures, reviews
 
-_MODULES = (core_problems, reviews)
+_MODULES = (core_problems, reviews, measures)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
