@@ -51,11 +51,10 @@ def concentration(weights: DataFrame, n: str, tie: str, ks: list[int]) -> DataFr
 
     Only the max(ks) largest are ordered; the sum is taken over all.
     """
-    total = weights.agg(F.sum(n).alias("total"))
-    largest = weights.orderBy(F.desc(n), tie).limit(max(ks)).select(n)
-    ranked = largest.withColumn("r", F.row_number().over(Window.orderBy(F.desc(n)))).crossJoin(F.broadcast(total))
-    cols = [F.sum(F.when(F.col("r") <= k, F.col(n)).otherwise(0)).alias(f"k{k}") for k in ks]
-    row = ranked.agg(*cols, F.first("total").alias("total"))
+    total = weights.agg(F.sum(n).alias("_total"))
+    largest = weights.orderBy(F.desc(n), tie).limit(max(ks)).select(F.col(n).alias("_n"))
+    ranked = largest.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("_n")))).crossJoin(F.broadcast(total))
+    row = ranked.agg(*[F.sum(F.when(F.col("_r") <= k, F.col("_n")).otherwise(0)).alias(f"k{k}") for k in ks], F.first("_total").alias("total"))
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.try_divide(F.col(f"k{k}"), F.col("total")).alias("share")) for k in ks])).alias("x")).select("x.*")
 
 
@@ -103,19 +102,22 @@ def half_split(sizes: DataFrame, n: str, name: str) -> DataFrame:
     Equal sizes come in the order of a hash of `name`. Distinct sizes are ordered first, and of the one size that half
     of the sum falls into, hash parts before members, so no task orders all clusters.
     """
-    run = Window.orderBy(F.desc(n))  # one row per distinct size
-    by = sizes.groupBy(n).agg(F.count(F.lit(1)).alias("w"))
-    total = sizes.agg(F.sum(n).alias("total"))
-    by = by.withColumn("before", F.sum(F.col("w") * F.col(n)).over(run) - F.col("w") * F.col(n)).crossJoin(F.broadcast(total))
+    run = Window.orderBy(F.desc("_size"))  # one row per distinct size
+    keep = sizes.columns
+    sizes = sizes.withColumn("_size", F.col(n))
+    size, before, take = F.col("_size"), F.col("_before"), F.col("_take")
+    by = sizes.groupBy("_size").agg(F.count(F.lit(1)).alias("_w"))
+    total = sizes.agg(F.sum("_size").alias("_total"))
+    by = by.withColumn("_before", F.sum(F.col("_w") * size).over(run) - F.col("_w") * size).crossJoin(F.broadcast(total))
     # members taken of each size: the largest size always gives one
-    take = F.greatest(F.ceil((F.col("total") / 2 - F.col("before")) / F.col(n)), F.when(F.col("before") == 0, 1).otherwise(0))
-    by = by.withColumn("take", F.least(F.greatest(take, F.lit(0)), F.col("w")))
-    split = F.broadcast(by.filter("take > 0 and take < w").select(n, "take"))  # at most one size
-    whole = F.broadcast(by.agg(F.min(F.when(F.col("take") == F.col("w"), F.col(n))).alias("from_size")))
-    hashed = sizes.withColumn("h", F.md5(F.col(name).cast("string"))).withColumn("part", F.substring("h", 1, 3))
-    edge = hashed.join(split, n)
-    parts = edge.groupBy("part").agg(F.count(F.lit(1)).alias("c")).withColumn("skip", F.sum("c").over(Window.orderBy("part")) - F.col("c"))
-    edge = edge.join(F.broadcast(parts), "part")  # at most 4096 parts
-    edge = edge.withColumn("treated", F.col("skip") + F.row_number().over(Window.partitionBy("part").orderBy("h", name)) <= F.col("take"))
-    rest = hashed.join(split.select(n), n, "left_anti").crossJoin(whole).withColumn("treated", F.coalesce(F.col(n) >= F.col("from_size"), F.lit(False)))
-    return rest.select(*sizes.columns, "treated").unionByName(edge.select(*sizes.columns, "treated"))
+    wanted = F.greatest(F.ceil((F.col("_total") / 2 - before) / size), F.when(before == 0, 1).otherwise(0))
+    by = by.withColumn("_take", F.least(F.greatest(wanted, F.lit(0)), F.col("_w")))
+    split = F.broadcast(by.filter((take > 0) & (take < F.col("_w"))).select("_size", "_take"))  # at most one size
+    whole = F.broadcast(by.agg(F.min(F.when(take == F.col("_w"), size)).alias("_from")))
+    hashed = sizes.withColumn("_h", F.md5(F.col(name).cast("string"))).withColumn("_part", F.substring("_h", 1, 3))
+    edge = hashed.join(split, "_size")
+    parts = edge.groupBy("_part").agg(F.count(F.lit(1)).alias("_c")).withColumn("_skip", F.sum("_c").over(Window.orderBy("_part")) - F.col("_c"))
+    edge = edge.join(F.broadcast(parts), "_part")  # at most 4096 parts
+    edge = edge.withColumn("treated", F.col("_skip") + F.row_number().over(Window.partitionBy("_part").orderBy("_h", name)) <= take)
+    rest = hashed.join(split.select("_size"), "_size", "left_anti").crossJoin(whole).withColumn("treated", F.coalesce(size >= F.col("_from"), F.lit(False)))
+    return rest.select(*keep, "treated").unionByName(edge.select(*keep, "treated"))

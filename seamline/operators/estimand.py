@@ -30,7 +30,7 @@ def style_means(counts: DataFrame, value: Column, n: str, style: str) -> DataFra
 def within_person(counts: DataFrame, value: Column, n: str, person: str) -> DataFrame:
     """Per gender: persons with both halves and the mean of their upper minus lower mean."""
     part = lambda h, v: F.sum(F.when(F.col("half") == h, v).otherwise(0.0))
-    p = counts.filter(value.isNotNull()).groupBy(person, "gender").agg(
+    p = counts.filter(value.isNotNull()).groupBy(F.col(person).alias("_person"), "gender").agg(
         part("upper", F.col(n)).alias("nu"), part("lower", F.col(n)).alias("nl"), part("upper", value * F.col(n)).alias("su"), part("lower", value * F.col(n)).alias("sl")
     )
     p = p.filter((F.col("nu") > 0) & (F.col("nl") > 0))
@@ -75,10 +75,11 @@ def bounds(counts: DataFrame, value: Column, n: str, low: float = -1.0, high: fl
 
 def trend(points: DataFrame, x: Column, y: Column, weight: Column, *groups: str) -> DataFrame:
     """Weighted least-squares slope of y on x per group; null without spread."""
-    p = points.select(*groups, x.cast("double").alias("x"), y.cast("double").alias("y"), weight.cast("double").alias("w"))
-    s = p.groupBy(*groups).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("xx"))
-    down = F.col("xx") - F.col("x") * F.col("x") / F.col("w")
-    return s.select(*groups, F.when(down > 1e-12, (F.col("xy") - F.col("x") * F.col("y") / F.col("w")) / down).alias("slope"))
+    p = points.select(*groups, x.cast("double").alias("_x"), y.cast("double").alias("_y"), weight.cast("double").alias("_w"))
+    a, b, w = F.col("_x"), F.col("_y"), F.col("_w")
+    s = p.groupBy(*groups).agg(F.sum(w).alias("_n"), F.sum(w * a).alias("_sx"), F.sum(w * b).alias("_sy"), F.sum(w * a * b).alias("_sxy"), F.sum(w * a * a).alias("_sxx"))
+    down = F.col("_sxx") - F.col("_sx") * F.col("_sx") / F.col("_n")
+    return s.select(*groups, F.when(down > 1e-12, (F.col("_sxy") - F.col("_sx") * F.col("_sy") / F.col("_n")) / down).alias("slope"))
 
 
 def agreement_band(points: Column) -> Column:

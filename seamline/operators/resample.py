@@ -69,25 +69,26 @@ def homogeneity(members: DataFrame, group: str, member: str, replicates: int = 9
     `members` holds one row per group and member with a count per bucket. Fewer than two members or no counts give
     (0, 0, 1).
     """
+    members = members.select(F.col(group).alias("_group"), F.col(member).alias("_member"), *BUCKETS)
     n = sum((F.col(b) for b in BUCKETS), F.lit(0))
     m = members.withColumn("size", n).filter("size > 0")
-    pool = m.groupBy(group).agg(*[F.sum(b).alias(f"p_{b}") for b in BUCKETS], F.sum("size").alias("total"), F.count(F.lit(1)).alias("k"))
+    pool = m.groupBy("_group").agg(*[F.sum(b).alias(f"p_{b}") for b in BUCKETS], F.sum("size").alias("total"), F.count(F.lit(1)).alias("k"))
     share = {b: F.col(f"p_{b}") / F.col("total") for b in BUCKETS}
     x2 = sum((F.when(share[b] > 0, (F.col(b) - F.col("size") * share[b]) * (F.col(b) - F.col("size") * share[b]) / (F.col("size") * share[b])).otherwise(0.0) for b in BUCKETS), F.lit(0.0))
-    base = m.join(pool, group)
-    seen = base.groupBy(group).agg(F.sum(x2).alias("x2"), F.first("k").alias("k"))
+    base = m.join(pool, "_group")
+    seen = base.groupBy("_group").agg(F.sum(x2).alias("x2"), F.first("k").alias("k"))
     draws = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("size"))))
-    u = uniform(F.concat_ws("|", F.lit(seed), group, member, "rep", "draw"))
+    u = uniform(F.concat_ws("|", F.lit(seed), "_group", "_member", "rep", "draw"))
     first, second = share[BUCKETS[0]], share[BUCKETS[0]] + share[BUCKETS[1]]
     draws = draws.withColumn("u", u).withColumn("b", F.when(F.col("u") <= first, 0).when(F.col("u") <= second, 1).otherwise(2))
     keep = [f"p_{b}" for b in BUCKETS]
-    sim = draws.groupBy(group, member, "rep", "size", "total", *keep).agg(*[F.sum(F.when(F.col("b") == i, 1).otherwise(0)).alias(b) for i, b in enumerate(BUCKETS)])
-    stars = sim.groupBy(group, "rep").agg(F.sum(x2).alias("x2_star"))
-    hits = stars.join(seen, group).groupBy(group).agg(F.sum(F.when(F.col("x2_star") >= F.col("x2") - 1e-9, 1).otherwise(0)).alias("hits"))
-    out = seen.join(hits, group, "left")
+    sim = draws.groupBy("_group", "_member", "rep", "size", "total", *keep).agg(*[F.sum(F.when(F.col("b") == i, 1).otherwise(0)).alias(b) for i, b in enumerate(BUCKETS)])
+    stars = sim.groupBy("_group", "rep").agg(F.sum(x2).alias("x2_star"))
+    hits = stars.join(seen, "_group").groupBy("_group").agg(F.sum(F.when(F.col("x2_star") >= F.col("x2") - 1e-9, 1).otherwise(0)).alias("hits"))
+    out = seen.join(hits, "_group", "left")
     one = F.col("k") < 2
     return out.select(
-        group, F.col("k").alias("n_members"), F.when(one, 0.0).otherwise(F.col("x2")).alias("x2"), F.when(one, 0.0).otherwise(F.col("x2") / ((F.col("k") - 1) * 2)).alias("dispersion"),
+        F.col("_group").alias(group), F.col("k").alias("n_members"), F.when(one, 0.0).otherwise(F.col("x2")).alias("x2"), F.when(one, 0.0).otherwise(F.col("x2") / ((F.col("k") - 1) * 2)).alias("dispersion"),
         F.when(one, 1.0).otherwise((F.coalesce("hits", F.lit(0)) + 1) / F.lit(replicates + 1)).alias("p"),
     )
 

@@ -12,8 +12,9 @@ def one_way(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
     `counts` holds n rows of `value` per group and value. The correlation is null with fewer than two groups, without
     rows beyond one per group, or where its denominator is zero; eta squared is 0 without variance or rows.
     """
-    x, w = F.col(value).cast("double"), F.col(n)
-    g = counts.groupBy(group).agg(F.sum(w).alias("m"), F.sum(x * w).alias("s"), F.sum(x * x * w).alias("ss"))
+    counts = counts.select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_x"), F.col(n).alias("_n"))
+    x, w = F.col("_x"), F.col("_n")
+    g = counts.groupBy("_g").agg(F.sum(w).alias("m"), F.sum(x * w).alias("s"), F.sum(x * x * w).alias("ss"))
     a = g.agg(
         F.coalesce(F.sum("m"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"), F.coalesce(F.sum("ss"), F.lit(0.0)).alias("ss"),
         F.sum(F.col("s") * F.col("s") / F.col("m")).alias("between"), F.sum(F.col("m") * F.col("m")).alias("mm"),
@@ -31,9 +32,10 @@ def one_way(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
 def within_gap(counts: DataFrame, group: str, side: str, a: str, b: str, value: str, n: str) -> DataFrame:
     """One row: groups with both sides, rows they cover, and the mean gap a - b inside groups, weighted by the smaller
     side's rows and unweighted; null where no group has both sides."""
-    x, w = F.col(value).cast("double"), F.col(n)
-    part = lambda s, v: F.sum(F.when(F.col(side) == s, v).otherwise(0))
-    g = counts.filter(F.col(side).isin(a, b)).groupBy(group).agg(part(a, w).alias("na"), part(b, w).alias("nb"), part(a, x * w).alias("sa"), part(b, x * w).alias("sb"))
+    counts = counts.select(F.col(group).alias("_g"), F.col(side).alias("_side"), F.col(value).cast("double").alias("_x"), F.col(n).alias("_n"))
+    x, w = F.col("_x"), F.col("_n")
+    part = lambda s, v: F.sum(F.when(F.col("_side") == s, v).otherwise(0))
+    g = counts.filter(F.col("_side").isin(a, b)).groupBy("_g").agg(part(a, w).alias("na"), part(b, w).alias("nb"), part(a, x * w).alias("sa"), part(b, x * w).alias("sb"))
     both = (F.col("na") > 0) & (F.col("nb") > 0)
     gap = F.when(both, F.try_divide("sa", "na") - F.try_divide("sb", "nb"))
     less = F.when(both, F.least("na", "nb"))
