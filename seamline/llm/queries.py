@@ -36,7 +36,7 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 P4_SQL = r"""
-WITH f AS (SELECT line_id id, payload FROM review_feed WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+WITH f AS (SELECT line_id id, payload FROM review_feed WHERE CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END),
 rec AS (SELECT review_id id, user_id, asin, text FROM review
         UNION ALL SELECT id, payload->>'$.user_id', payload->>'$.asin', payload->>'$.text' FROM f),
 bare AS (SELECT id, regexp_replace(lower(upper(coalesce(user_id, ''))), '[^\p{L}\p{N}]+', '', 'g') u,
