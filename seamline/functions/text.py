@@ -44,7 +44,26 @@ def _folded(text: Column) -> Column:
     return F.when(text.rlike(OUTSIDE), ascii_).otherwise(text)
 
 
+def _one_branch(pattern: str) -> bool:
+    depth, k = 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "|" and not depth:
+            return False
+        k += 1
+    return True
+
+
 def any_of(patterns: list[str]) -> str:
+    """One pattern for all. Where all start at a word's edge, the edge is tested once per place, before any of them."""
+    if all(p.startswith(r"\b") and _one_branch(p) for p in patterns):
+        return r"\b(?:" + "|".join(p[2:] for p in patterns) + ")"
     return "|".join(f"(?:{p})" for p in patterns)
 
 
@@ -60,12 +79,9 @@ def label_of(title: Column, text: Column) -> Column:
 
 def fit_label(text: Column) -> Column:
     """The bucket of a folded text if exactly one is hit, `ambiguous` for several, `none` for none."""
-    hit = [bucket_hit(text, b) for b in BUCKETS]
-    n = sum((h.cast("int") for h in hit[1:]), hit[0].cast("int"))
-    label = F.when(n == 0, "none").when(n > 1, "ambiguous")
-    for b, h in zip(BUCKETS, hit, strict=True):
-        label = label.when(h, b)
-    return label
+    code = sum((bucket_hit(text, b).cast("int") * (1 << k) for k, b in enumerate(BUCKETS)), F.lit(1))
+    of = [[b for k, b in enumerate(BUCKETS) if bits >> k & 1] for bits in range(1 << len(BUCKETS))]
+    return F.element_at(F.array(*[F.lit(x[0] if len(x) == 1 else "ambiguous" if x else "none") for x in of]), code)
 
 
 def first_pattern(text: Column, bucket: str) -> Column:
@@ -129,10 +145,14 @@ def _steps(text: Column, patterns: list[str]) -> Column:
 def size_pair(text: Column) -> Column:
     """Struct usual, bought, deviation of a folded text, null unless each names exactly one step of the letter ladder
     and no number size or choice of sizes is in the text."""
-    usual, bought = _steps(text, P.USUAL), _steps(text, P.BOUGHT)
-    clear = (F.size(usual) == 1) & (F.size(bought) == 1) & ~text.rlike(P.NUMBER_SIZE) & ~text.rlike(sized(P.EITHER_SIZE))
-    u, b = F.get(usual, F.lit(0)), F.get(bought, F.lit(0))
-    return F.when(clear, F.struct(u.alias("usual"), b.alias("bought"), (b - u).alias("deviation")))
+    first = lambda steps: F.get(steps, F.lit(0))
+
+    def pair(s: Column) -> Column:
+        u, b = s["usual"], s["bought"]
+        clear = (F.size(u) == 1) & (F.size(b) == 1) & ~text.rlike(P.NUMBER_SIZE) & ~text.rlike(sized(P.EITHER_SIZE))
+        return F.when(clear, F.struct(first(u).alias("usual"), first(b).alias("bought"), (first(b) - first(u)).alias("deviation")))
+
+    return let(F.struct(_steps(text, P.USUAL).alias("usual"), _steps(text, P.BOUGHT).alias("bought")), pair)
 
 
 def talks_size(text: Column) -> Column:

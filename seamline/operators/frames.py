@@ -67,6 +67,18 @@ def style_index(metadata: DataFrame, *also: str) -> DataFrame:
     return last.select("parent_asin", *[f"i.{c}" for c in rest])
 
 
+def only(df: DataFrame, column: str, keep) -> DataFrame:
+    """The rows whose `column` fulfils keep(column). Unlike a filter this never computes the column a second time, so it
+    is for columns that are expensive; rows where the condition is null are left out."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode(F.filter(F.array(column), keep)).alias(column))
+
+
+def bucketed(reviews: DataFrame) -> DataFrame:
+    """The reviews whose label is a bucket."""
+    return only(reviews, "label", lambda x: x.isin(BUCKETS))
+
+
 def counted(reviews: DataFrame, *keys: str) -> DataFrame:
     """Labelled reviews counted by parent_asin and `keys`, combined before the shuffle; n is the count."""
     return reviews.groupBy("parent_asin", *keys).agg(F.count(F.lit(1)).alias("n"))
@@ -74,5 +86,5 @@ def counted(reviews: DataFrame, *keys: str) -> DataFrame:
 
 def final_counts(reviews: DataFrame, index: DataFrame, *keys: str, window_from: int = WINDOW_FROM) -> DataFrame:
     """Counts of labelled, verified reviews of the window by parent_asin, label and `keys`, joined to the index."""
-    kept = reviews.filter(F.col("label").isin(BUCKETS) & F.col("verified") & (F.col("yr") >= window_from))
-    return counted(kept, "label", *keys).join(index, "parent_asin")
+    kept = reviews.filter(F.col("verified") & (F.col("yr") >= window_from))
+    return counted(bucketed(kept), "label", *keys).join(index, "parent_asin")

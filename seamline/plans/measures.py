@@ -242,7 +242,8 @@ def within_person(spark: SparkSession, d: str) -> DataFrame:
 def calibration(spark: SparkSession, d: str) -> DataFrame:
     """Share of a listing's labelled reviews whose label came from advice on which size to order."""
     b = text.folded(text.blob(F.col("title"), F.col("text")))
-    r = table(spark, d, "review").select("parent_asin", text.let(b, text.pattern_hits).alias("h")).filter(F.size("h") == 1)
+    r = R._texts(spark, d).select("parent_asin", text.let(b, text.pattern_hits).alias("h"))
+    r = frames.only(r, "h", lambda h: F.size(h) == 1)
     one = F.get("h", F.lit(0))
     n = r.groupBy("parent_asin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(text.is_advice(one["bucket"], one["pattern"]), 1.0).otherwise(0.0)).alias("calibration"))
     return _round(n.join(R._index(spark, d).select("parent_asin"), "parent_asin"), 8, "calibration")
@@ -252,7 +253,7 @@ def tau_without_advice(spark: SparkSession, d: str) -> DataFrame:
     """tau with advice patterns counted as labels (folded) and left out (excluded)."""
     b = text.folded(text.blob(F.col("title"), F.col("text")))
     one = F.get("h", F.lit(0))
-    r = frames.labelled_reviews(table(spark, d, "review"), text.let(b, text.pattern_hits).alias("h"))
+    r = frames.labelled_reviews(R._texts(spark, d), text.let(b, text.pattern_hits).alias("h"))
     r = r.withColumn("advice", F.coalesce(text.is_advice(one["bucket"], one["pattern"]), F.lit(False)))
     f = frames.final_counts(r, R._index(spark, d), "advice").withColumn("score", text.score(F.col("label")))
     folded = estimand.contrast(estimand.cell_means(f, F.col("score"), "n"), "mean").select(F.lit("folded").alias("spec"), "tau")
@@ -313,14 +314,14 @@ SEED = "20260811"
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """25 labelled reviews of the window per bucket and gender, with the key fields a labeller must not see."""
-    r = R._reviews(spark, d).filter(F.col("label").isin(BUCKETS) & (F.col("yr") >= R.WINDOW))
+    r = frames.bucketed(R._reviews(spark, d).filter(F.col("yr") >= R.WINDOW))
     j = r.select("review_id", "parent_asin", "label").join(R._index(spark, d).select("parent_asin", "gender", "half", "item_title"), "parent_asin")
     return sampling.stratified(j, ["label", "gender"], F.col("review_id").cast("string"), PER_STRATUM, SEED).select("review_id", "label", "gender", "half", "item_title", "rank")
 
 
 def sample_frame(spark: SparkSession, d: str) -> DataFrame:
     """Eligible and drawn reviews per stratum of that sample."""
-    r = R._reviews(spark, d).filter(F.col("label").isin(BUCKETS) & (F.col("yr") >= R.WINDOW))
+    r = frames.bucketed(R._reviews(spark, d).filter(F.col("yr") >= R.WINDOW))
     n = frames.counted(r, "label").join(R._index(spark, d).select("parent_asin", "gender"), "parent_asin").groupBy("label", "gender").agg(F.sum("n").alias("eligible"))
     return n.withColumn("drawn", F.least("eligible", F.lit(PER_STRATUM)))
 
@@ -336,7 +337,7 @@ def blind_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def label_examples(spark: SparkSession, d: str) -> DataFrame:
     """Six reviews per label."""
-    r = R._reviews(spark, d).filter("label <> 'none'")
+    r = frames.only(R._reviews(spark, d), "label", lambda x: x != "none")
     return sampling.stratified(r.select("review_id", "label"), ["label"], F.col("review_id").cast("string"), 6, SEED)
 
 

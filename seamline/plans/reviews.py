@@ -9,7 +9,7 @@ from ..functions import patterns as P
 from ..functions import sizes, taxonomy, text
 from ..functions.text import BUCKETS
 from ..operators import cells, frames
-from ..session import table
+from ..session import spread, table
 from . import sql as S
 
 WINDOW = frames.WINDOW_FROM
@@ -18,8 +18,13 @@ MANY_ASINS = 20
 ASIN_STEPS = [10, 20, 50, 100]
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The reviews, over all cores even if they lie in few files: reading their text is heavy per row."""
+    return spread(table(spark, d, "review"))
+
+
 def _reviews(spark: SparkSession, d: str, *also) -> DataFrame:
-    return frames.labelled_reviews(table(spark, d, "review"), *also)
+    return frames.labelled_reviews(_texts(spark, d), *also)
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +51,7 @@ def label_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 def pattern_hits(spark: SparkSession, d: str) -> DataFrame:
     """How often each pattern was the first of its bucket to match, ambiguous reviews included."""
-    r = table(spark, d, "review").select(text.folded(text.blob(F.col("title"), F.col("text"))).alias("b"))
+    r = _texts(spark, d).select(text.folded(text.blob(F.col("title"), F.col("text"))).alias("b"))
     return r.select(F.explode(text.pattern_hits(F.col("b"))).alias("h")).groupBy("h.bucket", "h.pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -57,7 +62,7 @@ def top_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 def buyer_rates(spark: SparkSession, d: str) -> DataFrame:
     """Who reviews say they were bought for, by gender of the item's category."""
-    r = table(spark, d, "review").select("parent_asin", text.folded(text.blob(F.col("title"), F.col("text"))).alias("b"))
+    r = _texts(spark, d).select("parent_asin", text.folded(text.blob(F.col("title"), F.col("text"))).alias("b"))
     flags = r.select("parent_asin", text.buyer_flags(F.col("b")).alias("f"), text.own_purchase(F.col("b")).alias("own"))
     few = flags.groupBy("parent_asin", "own", "f.third_party", "f.cross_gender", "f.stated_gender").agg(F.count(F.lit(1)).alias("n"))
     j = few.join(_index(spark, d), "parent_asin")
@@ -77,8 +82,8 @@ def review_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     """The text around the first bucket pattern of every labelled review."""
-    r = table(spark, d, "review").withColumn("b", text.folded(text.blob(F.col("title"), F.col("text"))))
-    r = r.withColumn("label", text.fit_label(F.col("b"))).filter(F.col("label").isin(BUCKETS))
+    r = _texts(spark, d).select("review_id", "title", "text", text.label_of(F.col("title"), F.col("text")).alias("label"))
+    r = frames.bucketed(r)
     pattern = F.lit(None).cast("string")
     for b in BUCKETS:
         pattern = F.when(F.col("label") == b, text.any_of(P.FIT[b])).otherwise(pattern)
@@ -289,9 +294,9 @@ def half_split(spark: SparkSession, d: str) -> DataFrame:
 
 def size_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Usual and bought size of the reviews that state both."""
-    r = table(spark, d, "review").select("review_id", "parent_asin", text.folded(text.blob(F.col("title"), F.col("text"))).alias("b"))
-    r = r.filter(text.talks_size(F.col("b"))).select("review_id", "parent_asin", text.size_pair(F.col("b")).alias("s")).filter("s is not null")
-    return r.select("review_id", "parent_asin", "s.usual", "s.bought", "s.deviation")
+    b = text.folded(text.blob(F.col("title"), F.col("text")))
+    r = _texts(spark, d).select("review_id", "parent_asin", text.let(b, lambda x: F.when(text.talks_size(x), text.size_pair(x))).alias("s"))
+    return frames.only(r, "s", lambda x: x.isNotNull()).select("review_id", "parent_asin", "s.usual", "s.bought", "s.deviation")
 
 
 def _deviations(spark: SparkSession, d: str) -> DataFrame:

@@ -34,3 +34,12 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over as many partitions as there are cores if its files give fewer, for work that is heavy per row.
+
+    With at least as many splits as cores, as any large table has, it is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

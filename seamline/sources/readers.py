@@ -44,13 +44,19 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     strict: a malformed line is an error; otherwise such lines are left out. Blank lines give no record. `limit` keeps
     the first records as Spark meets them. Missing fields are null.
     """
-    reader = spark.read.schema(schema if strict else T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())]))
-    df = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).json(path)
-    if not strict:
-        df = df.filter(F.col(BROKEN).isNull()).drop(BROKEN)
+    if strict:
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    else:
+        df = _tolerant(spark, path, schema).select("r.*")
     return df if limit is None else df.limit(limit)
 
 
+def _tolerant(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """(r, at) of the well-formed lines: the record, and the file and byte where its split starts."""
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"))
+    return spark.read.text(path).select(parsed(F.col("value"), schema).alias("r"), at.alias("at")).filter("r is not null")
+
+
 def parsed(payload: Column, schema: T.StructType) -> Column:
     """Struct of a JSON object in a column, null where the text is cut off or no object."""
     whole = F.regexp_replace(payload, r"^\s+|\s+$", "").rlike(r"(?s)^\{.*\}$")
@@ -65,15 +71,14 @@ def byte_blocks(spark: SparkSession, path: str, schema: T.StructType, limit: int
     Malformed lines are left out and not counted; a remainder of the limit is dropped. With fewer splits than blocks
     every split is one. A split starts at its first whole line.
     """
-    df = json_lines(spark, path, schema, strict=False)
-    df = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s")).alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    df = _tolerant(spark, path, schema).select("r", F.col("at").alias("_at"), F.monotonically_increasing_id().alias("_id"))
     starts = df.groupBy("_at").agg(F.lit(1).alias("_one")).withColumn("_k", F.row_number().over(Window.orderBy("_at")) - 1)  # one row per split
     n = starts.agg(F.count(F.lit(1)).alias("_n"))
     j = starts.crossJoin(F.broadcast(n)).withColumn("block", F.floor(F.col("_k") * F.least(F.lit(blocks), F.col("_n")) / F.col("_n")).cast("int"))
     first = j.groupBy("block").agg(F.min("_at").alias("_at"))
     w = Window.partitionBy("block").orderBy("_id")
     picked = df.join(F.broadcast(first), "_at").withColumn("_r", F.row_number().over(w))  # `blocks` rows
-    return picked.filter(F.col("_r") <= limit // blocks).drop("_at", "_id", "_r")
+    return picked.filter(F.col("_r") <= limit // blocks).select("r.*", "block")
 
 
 def csv_by_key(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None) -> DataFrame:
