@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import spread, table
 from . import canon, copies, forms, leaks, mixture, spans
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Review titles and texts that aren't in their consistent form."""
-    return forms.changed_values(table(spark, d, "review"), "review_id", ["title", "text"]).select("review_id", "fld")
+    return forms.changed_values(spread(table(spark, d, "review")), "review_id", ["title", "text"]).select("review_id", "fld")
 
 
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     """Every review with title and text in their consistent form."""
-    r = table(spark, d, "review").select("review_id", "title", "text")
+    r = spread(table(spark, d, "review")).select("review_id", "title", "text")
     return forms.with_consistent_form(r, {"title": "title", "text": "text"})
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    review = table(spark, d, "review").select(F.col("review_id").alias("id"), *copies.FIELDS)
+    review = spread(table(spark, d, "review")).select(F.col("review_id").alias("id"), *copies.FIELDS)
     return review.unionByName(copies.parsed_lines(table(spark, d, "review_feed"), "line_id", "payload"))
 
 
@@ -62,12 +62,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents with 12 or more consecutive words of a held-out item."""
-    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leaks.leaked_items(spread(table(spark, d, "documents")), table(spark, d, "eval_item"))
 
 
 def p6_paraphrases(spark: SparkSession, d: str) -> DataFrame:
     """Leaks and paraphrases of held-out items with the evidence for each."""
-    return leaks.paraphrased_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return leaks.paraphrased_items(spread(table(spark, d, "documents")), table(spark, d, "eval_item"))
 
 
 #: The upper level of the mixture's tree.
@@ -79,7 +79,7 @@ DOMAINS = {
 
 
 def _mixed(spark: SparkSession, d: str, total: str = "supply"):
-    sized = mixture.sized_documents(table(spark, d, "documents"))
+    sized = mixture.sized_documents(spread(table(spark, d, "documents")))
     targets = table(spark, d, "mix_target")
     plan = mixture.plan_mixture(sized, targets, DOMAINS, total)
     return sized, targets, plan, mixture.select_documents(sized, plan)
@@ -104,12 +104,12 @@ def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Maximal runs of characters shared with another document in stretches of 300 or more."""
-    return spans.shared_spans(table(spark, d, "documents").select("doc_id", "text"))
+    return spans.shared_spans(spread(table(spark, d, "documents")).select("doc_id", "text"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Every document with how much of it is shared."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text")
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
