@@ -14,9 +14,11 @@ FIELDS = ("user_id", "asin", "text")
 def bare(value: Column) -> Column:
     """Letters and digits of a value without regard to case; null counts as empty.
 
-    Going over upper case makes letters equal whose case pairs meet only there, such as the dotless i.
+    Going over upper case makes letters equal whose case pairs meet only there, such as the dotless i. The step between
+    the two also keeps the optimizer from taking the lower case of the upper case for the lower case.
     """
-    return F.regexp_replace(F.lower(F.upper(F.coalesce(value, F.lit("")))), r"[^\p{L}\p{N}]+", "")
+    upper = F.translate(F.upper(F.coalesce(value, F.lit(""))), "İ", "I")
+    return F.regexp_replace(F.lower(upper), r"[^\p{L}\p{N}]+", "")
 
 
 def parsed_lines(df: DataFrame, line_id: str, payload: str) -> DataFrame:

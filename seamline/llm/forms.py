@@ -130,6 +130,7 @@ class Transducer:
         self.emoji = regex.compile(r"[\p{Extended_Pictographic}\p{Regional_Indicator}⃣]|[0-9#*]️")
         self.joined_script = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
         self.word = regex.compile(r"[\p{L}\p{M}]+")
+        self.mark = regex.compile(r"\p{M}")
         self.latin = regex.compile(r"\p{Latin}")
         self.other = regex.compile(r"(?=\p{L})[^\p{Latin}\p{Common}\p{Inherited}]")
 
@@ -157,7 +158,9 @@ class Transducer:
 
     def _stretch(self, m) -> str:
         done = "".join(map(self._cluster, self.cluster.findall(m.group())))
-        return self.word.sub(self._word, done)
+        done = self.word.sub(self._word, done)
+        # a mark may have met its letter only now that what stood between them is gone, or the letter was replaced
+        return unicodedata.normalize("NFC", done) if self.mark.search(done) else done
 
     def consistent(self, text: str | None) -> str | None:
         """None stays None, an empty text empty."""
