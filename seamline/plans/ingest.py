@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import frames
 from ..session import table
 from ..sources import readers
 from ..streaming import live
@@ -63,13 +64,20 @@ def stream_labels(spark: SparkSession, d: str) -> DataFrame:
     return live.drained(live.label_counts(live.table_stream(spark, d, "review")), "labels")
 
 
+def stream_in_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled reviews of a stream joined to the static style index, as they were appended."""
+    index = frames.style_index(table(spark, d, "metadata")).select("parent_asin", "gender", "half")
+    joined = live.labelled_in_scope(live.table_stream(spark, d, "review"), index)
+    return live.drained(joined, "scope", mode="append").select("review_id", "label", "gender", "half")
+
+
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Hourly event counts of a stream with a watermark, kept in complete mode."""
     flat = lambda b: b.select(F.col("w.start").alias("w_start"), "event_type", "n", F.round("total", 4).alias("total"))
     return live.drained(live.event_windows(live.table_stream(spark, d, "events")), "windows", keep=flat)
 
 
-QUERIES = {f.__name__: f for f in (feed_records, feed_health, sitemap_urls, catalogue_counts, product_pages, result_counts, stream_labels, stream_windows)}
+QUERIES = {f.__name__: f for f in (feed_records, feed_health, sitemap_urls, catalogue_counts, product_pages, result_counts, stream_labels, stream_in_scope, stream_windows)}
 
 _OK = "CASE WHEN json_valid(payload) THEN json_type(payload) = 'OBJECT' ELSE false END"
 _P = "SELECT item_id, regexp_replace(coalesce(title, ''), '[\\\\''\"<>&]', ' ', 'g') AS t, regexp_replace(coalesce(parent_asin, ''), '[^0-9A-Za-z]', '', 'g') AS p FROM metadata"
@@ -83,5 +91,6 @@ ORACLE = {
     "product_pages": f"WITH p AS ({_P}) SELECT item_id, item_id::VARCHAR AS prodid, p AS \"baseProduct\", trim(t, ' \t\n\r') AS pname, '' AS cuff, NULL::VARCHAR AS pgender FROM p",
     "result_counts": "SELECT parent_asin, count(*) AS total FROM review WHERE parent_asin IS NOT NULL GROUP BY 1",
     "stream_labels": f"WITH {S.labelled('review', 'title', 'text')} SELECT label, count(*) AS n, sum(coalesce(verified_purchase, false)::INT) AS n_verified FROM lab GROUP BY 1",
+    "stream_in_scope": f"{S.JOINED} SELECT review_id, label, gender, half FROM obs WHERE {S.IN_BUCKETS}",
     "stream_windows": "SELECT date_trunc('hour', ts) AS w_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

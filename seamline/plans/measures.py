@@ -199,6 +199,16 @@ def wild_power(spark: SparkSession, d: str) -> DataFrame:
     return _round(r.withColumn("low", low).withColumn("high", high), 6, "low", "high")
 
 
+def detectable_effect(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest simulated effect found in 80 % of the studies (null if none is), beside what the formula says."""
+    s = R.scenario_sizes(spark, d).filter("scenario = 'EXCLUDE'").select("cluster_id", "n")
+    split = cells.half_split(s, "n", "cluster_id")
+    m = cells.size_moments(split, "n", "treated").withColumn("deff", stats.design_effect(F.col("m_bar"), 0.05, F.coalesce("cv", F.lit(0.0))))
+    formula = m.agg((F.lit(stats.multiplier()) * F.sqrt(F.sum(F.col("deff") / F.col("n_obs")))).alias("formula"))
+    found = wild_power(spark, d).agg(F.min(F.when((F.col("effect") > 0) & (F.col("wild") >= 0.8 * F.col("trials")), F.col("effect"))).alias("simulated"))
+    return _round(found.crossJoin(formula), 6, "formula")
+
+
 # --- estimands --------------------------------------------------------------------------------------------------------
 
 
@@ -341,6 +351,13 @@ def label_examples(spark: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(r.select("review_id", "label"), ["label"], F.col("review_id").cast("string"), 6, SEED)
 
 
+def distinct_records(spark: SparkSession, d: str) -> DataFrame:
+    """Reviews delivered, distinct ones by a hash of who, what, when and text, and whether every one has such a key."""
+    whole = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("user_id", "asin", "ts_ms", "title", "text")]), 256)
+    r = table(spark, d, "review").select(whole.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    return r.agg(F.sum("c").alias("n"), F.count("k").alias("n_distinct"), (F.sum("c") == F.sum(F.when(F.col("k").isNotNull(), F.col("c")))).alias("complete"))
+
+
 def block_sample(spark: SparkSession, d: str) -> DataFrame:
     """24 evenly spaced blocks of reviews."""
     return sampling.block_sample(table(spark, d, "review").select("review_id"), "review_id", 2400, 24)
@@ -429,9 +446,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion, hand_precision, lambdas, lambdas_without_advice, p_zero, residual_bias, lambda_interval, truth_prediction, precision_recall, reweighted_precision, recall_by_half,
-        labelled_rate, pattern_precision, score_anova, deviation_anova, within_store_gap, wild_bootstrap, scenario_bound, homogeneity, wild_power, cell_means, tau, tau_by_year,
+        labelled_rate, pattern_precision, score_anova, deviation_anova, within_store_gap, wild_bootstrap, scenario_bound, homogeneity, wild_power, detectable_effect, cell_means, tau, tau_by_year,
         interaction, within_person, calibration, tau_without_advice, reporting, weighted_tau, tau_bounds, gradient_trend, buyer_gender, stratified_sample, sample_frame, blind_sample,
-        label_examples, block_sample, block_composition, window_power, variance_share, power_scenarios, trend_power,
+        label_examples, distinct_records, block_sample, block_composition, window_power, variance_share, power_scenarios, trend_power,
     )
 }
 ORACLE = measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED)

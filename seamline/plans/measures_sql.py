@@ -157,6 +157,7 @@ SELECT CASE WHEN m >= w THEN 'men' ELSE 'women' END AS gender, count(*) AS n_buy
         "stratified_sample": f"{sample} SELECT review_id, label, gender, half, item_title, rank FROM rk WHERE rank <= {per_stratum}",
         "sample_frame": f"{sample} SELECT label, gender, count(*) AS eligible, least(count(*), {per_stratum}) AS drawn FROM el GROUP BY 1, 2",
         "label_examples": f"WITH {S.labelled('review', 'title', 'text')} SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}|' || review_id), review_id::VARCHAR) AS rank FROM lab WHERE label <> 'none' QUALIFY rank <= 6",
+        "distinct_records": "WITH k AS (SELECT concat_ws(chr(31), coalesce(user_id, ''), coalesce(asin, ''), coalesce(ts_ms::VARCHAR, ''), coalesce(title, ''), coalesce(text, '')) AS k FROM review) SELECT count(*) AS n, count(DISTINCT k) AS n_distinct, true AS complete FROM k",
         "block_sample": "WITH p AS (SELECT review_id, row_number() OVER (ORDER BY review_id) - 1 AS pos, count(*) OVER () // 24 AS span FROM review) SELECT review_id, (pos // span)::INT AS block FROM p WHERE pos // span < 24 AND pos % span < 100",
         "block_composition": f"""WITH {S.labelled('review', 'title', 'text')}, p AS (SELECT *, row_number() OVER (ORDER BY review_id) - 1 AS pos, count(*) OVER () AS n FROM lab),
 bk AS (SELECT 'head' AS bl, * FROM p WHERE pos < 2000 UNION ALL SELECT 'middle', * FROM p WHERE pos >= n // 2 AND pos < n // 2 + 2000 UNION ALL SELECT 'tail', * FROM p WHERE pos >= greatest(floor(n - 2400), 0) AND pos < greatest(floor(n - 2400), 0) + 2000),

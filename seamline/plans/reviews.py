@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import sizes, taxonomy, text
 from ..functions.text import BUCKETS
-from ..operators import cells, frames
+from ..operators import cells, frames, sampling
 from ..session import spread, table
 from . import sql as S
 
@@ -121,6 +121,18 @@ def details_keys(spark: SparkSession, d: str) -> DataFrame:
     return cells.histogram(m.select(F.explode(F.map_keys("m")).alias("k")).select(F.rtrim(F.lower(text.squash(F.col("k"))), F.lit(":")).alias("key")), "key")
 
 
+def top_details_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 most frequent keys, ties by name."""
+    return cells.top(details_keys(spark, d), 20, "n", "key")
+
+
+def size_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Sixty size entries as typed, every set of sixty equally likely."""
+    m = table(spark, d, "metadata").select("item_id", sizes.size_entry(sizes.flat_keys(sizes.details_map(F.col("details")))).alias("e")).filter("e is not null")
+    m = m.select("item_id", F.concat(F.col("e.key"), F.lit(" = "), F.coalesce(F.col("e.value"), F.lit("null"))).alias("raw"), F.lit(1).alias("one"))
+    return sampling.stratified(m, ["one"], F.col("item_id").cast("string"), 60, "sizes").select("item_id", "raw")
+
+
 def size_reasons(spark: SparkSession, d: str) -> DataFrame:
     """Which rule found a size entry, how its size was told, and the size."""
     m = table(spark, d, "metadata").select(sizes.details_map(F.col("details")).alias("m"))
@@ -178,6 +190,12 @@ def asin_distinct(spark: SparkSession, d: str) -> DataFrame:
     return n.select("parent_asin", "n_asins", *[(F.col("n_asins") > k).alias(f"over_{k}") for k in ASIN_STEPS])
 
 
+def listing_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Median, mean and largest number of distinct asins and of labelled reviews per listing with labelled reviews."""
+    a = _final(spark, d).groupBy("parent_asin").agg(F.sum("n").alias("n")).join(asin_distinct(spark, d).select("parent_asin", "n_asins"), "parent_asin")
+    return a.agg(*[f(c).alias(f"{name}_{c}") for c in ("n_asins", "n") for name, f in (("median", F.median), ("mean", lambda x: F.round(F.avg(x), 6)), ("max", F.max))])
+
+
 def shared_asins(spark: SparkSession, d: str) -> DataFrame:
     """Asins that reviews name under more than one parent in scope."""
     pairs = table(spark, d, "review").filter("asin is not null and asin <> ''").select("parent_asin", "asin").distinct()
@@ -336,8 +354,8 @@ def store_hhi(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        label_histogram, pattern_hits, top_patterns, buyer_rates, review_hashes, snippets, gender_hist, half_hist, cells_2x2, cells_gradient, details_keys, size_reasons,
-        cell_bucket, gradient_bucket, per_parent_counts, heavy_listings, exposure, first_titles, asin_distinct, shared_asins, styles_per_store, survival_funnel, cells_spanned,
+        label_histogram, pattern_hits, top_patterns, buyer_rates, review_hashes, snippets, gender_hist, half_hist, cells_2x2, cells_gradient, details_keys, top_details_keys, size_examples, size_reasons,
+        cell_bucket, gradient_bucket, per_parent_counts, heavy_listings, exposure, first_titles, asin_distinct, listing_medians, shared_asins, styles_per_store, survival_funnel, cells_spanned,
         seller_identifying, year_composition, year_delta, stable_from, candidate_windows, scenario_sizes, cluster_params, cluster_quantiles, half_split,
         size_pairs, deviation_hist, deviation_cells, store_deviations, store_concentration, store_hhi,
     )
@@ -374,6 +392,8 @@ ORACLE = {
     "half_hist": f"WITH {S.TAXONOMY} SELECT half, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM tax GROUP BY 1",
     "cells_gradient": f"WITH {S.TAXONOMY} SELECT gender, count(*) FILTER (gradient = 'jeans_trousers') AS jeans_trousers, count(*) FILTER (gradient = 'shirt') AS shirt, count(*) FILTER (gradient = 'tshirt') AS tshirt FROM tax WHERE gender IN ('men', 'women') AND half IN ('upper', 'lower') AND gradient IS NOT NULL GROUP BY 1",
     "details_keys": f"{_DET} SELECT rtrim(lower({S.squash('k')}), ':') AS key, count(*) AS n FROM dk GROUP BY 1",
+    "top_details_keys": f"{_DET} SELECT rtrim(lower({S.squash('k')}), ':') AS key, count(*) AS n FROM dk GROUP BY 1 ORDER BY n DESC, key LIMIT 20",
+    "listing_medians": f"{S.FINAL}, pa AS (SELECT parent_asin, count(DISTINCT asin) n_asins FROM obs WHERE asin <> '' GROUP BY 1), pn AS (SELECT parent_asin, count(*) n FROM fin GROUP BY 1), j AS (SELECT * FROM pa JOIN pn USING (parent_asin)) SELECT median(n_asins) AS median_n_asins, round(avg(n_asins), 6) AS mean_n_asins, max(n_asins) AS max_n_asins, median(n) AS median_n, round(avg(n), 6) AS mean_n, max(n) AS max_n FROM j",
     "cell_bucket": f"{S.FINAL} SELECT gender, half, label, count(*) AS n FROM fin GROUP BY 1, 2, 3",
     "gradient_bucket": f"{S.FINAL} SELECT gender, gradient, label, count(*) AS n FROM fin WHERE gradient IS NOT NULL GROUP BY 1, 2, 3",
     "per_parent_counts": f"{S.FINAL} SELECT parent_asin, count(*) AS n FROM fin GROUP BY 1",
