@@ -104,18 +104,18 @@ def similar_pairs(values: DataFrame, reference: DataFrame, least: float) -> Data
     rarity = both.select("attr", F.explode("tokens").alias("token")).groupBy("attr", "token").agg(F.count(F.lit(1)).alias("freq"))
     sets = _ordered(both, rarity)
     reach = lambda n: F.ceil(n * F.lit(least) - F.lit(1e-9))
-    prefix = sets.select("side", "id", "attr", "n", "tokens", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - reach(F.col("n")) + 1).cast("int"))).alias("pos", "token"))
-    v = prefix.filter("side = 'v'").select(F.col("id").alias("value_id"), "attr", "token", F.col("n").alias("vn"), F.col("pos").alias("vp"), F.col("tokens").alias("vt"))
-    r = prefix.filter("side = 'r'").select(F.col("id").alias("ref_id"), "attr", "token", F.col("n").alias("rn"), F.col("pos").alias("rp"), F.col("tokens").alias("rt"))
+    prefix = sets.select("side", "id", "attr", "n", F.posexplode(F.slice("tokens", F.lit(1), (F.col("n") - reach(F.col("n")) + 1).cast("int"))).alias("pos", "token"))
+    v = prefix.filter("side = 'v'").select(F.col("id").alias("value_id"), "attr", "token", F.col("n").alias("vn"), F.col("pos").alias("vp"))
+    r = prefix.filter("side = 'r'").select(F.col("id").alias("ref_id"), "attr", "token", F.col("n").alias("rn"), F.col("pos").alias("rp"))
     lengths = (F.col("vn") >= F.col("rn") * F.lit(least) - 1e-9) & (F.col("rn") >= F.col("vn") * F.lit(least) - 1e-9)
     met = v.join(r, ["attr", "token"]).filter(lengths)
-    pairs = met.groupBy("value_id", "ref_id").agg(
-        F.first("vn").alias("vn"), F.first("rn").alias("rn"), F.count(F.lit(1)).alias("common"), F.max("vp").alias("vp"), F.max("rp").alias("rp"), F.first("vt").alias("vt"), F.first("rt").alias("rt")
-    )
+    pairs = met.groupBy("value_id", "ref_id", "vn", "rn").agg(F.count(F.lit(1)).alias("common"), F.max("vp").alias("vp"), F.max("rp").alias("rp"))
     most = F.col("common") + F.least(F.col("vn") - F.col("vp"), F.col("rn") - F.col("rp")) - 1
     need = F.ceil((F.col("vn") + F.col("rn")) * F.lit(least / (1 + least)) - F.lit(1e-9))
+    # the sets themselves are fetched for the pairs that are left only
+    left = pairs.filter(most >= need).join(values.select(F.col("id").alias("value_id"), F.col("tokens").alias("vt")), "value_id").join(reference.select(F.col("id").alias("ref_id"), F.col("tokens").alias("rt")), "ref_id")
     shared = F.size(F.array_intersect("vt", "rt"))
-    return pairs.filter(most >= need).withColumn("jaccard", shared / (F.col("vn") + F.col("rn") - shared)).filter(F.col("jaccard") >= least).select("value_id", "ref_id", "jaccard")
+    return left.withColumn("jaccard", shared / (F.col("vn") + F.col("rn") - shared)).filter(F.col("jaccard") >= least).select("value_id", "ref_id", "jaccard")
 
 
 def reference_forms(ref: DataFrame) -> DataFrame:
