@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_SEEN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,19 +24,33 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; removed when the application's Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SEEN:
+        _SEEN.add(app)
+        atexit.register(_try_drop, spark)
+    return f"{shared_folder(spark)}/seamline-{app}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once and read it back: later uses neither recompute it nor depend on executors that may be lost.
 
-    An empty frame is written and read like any other. The files stay in the shared folder until drop_cuts().
+    An empty frame is written and read like any other. The files stay until drop_cuts() or the end of the application.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cuts/{name}-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_cuts(spark: SparkSession) -> None:
-    """Delete the files of all cuts; frames built on them can't be read afterwards."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cuts")
+    """Delete what this application has cut; frames built on it can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _try_drop(spark: SparkSession) -> None:
+    try:
+        drop_cuts(spark)
+    except Exception:  # noqa: BLE001 - the session may be gone, and with it the means to reach the folder
+        pass

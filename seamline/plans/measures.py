@@ -244,7 +244,7 @@ def interaction(spark: SparkSession, d: str) -> DataFrame:
 
 def within_person(spark: SparkSession, d: str) -> DataFrame:
     """Upper minus lower score of buyers who reviewed both."""
-    r = R._reviews(spark, d, "user_id").filter("user_id is not null")
+    r = R._windowed(spark, d, "user_id").filter("user_id is not null")
     f = frames.final_counts(r, R._index(spark, d), "user_id").withColumn("score", text.score(F.col("label")))
     return _round(estimand.within_person(f, F.col("score"), "n", "user_id"), 8, "difference")
 
@@ -273,7 +273,7 @@ def tau_without_advice(spark: SparkSession, d: str) -> DataFrame:
 
 def _window_all(spark: SparkSession, d: str) -> DataFrame:
     """Counts of all verified reviews of the window in scope, labelled or not."""
-    r = R._reviews(spark, d).filter(F.col("verified") & (F.col("yr") >= R.WINDOW))
+    r = R._windowed(spark, d).filter(F.col("verified") & (F.col("yr") >= R.WINDOW))
     return frames.counted(r, "label").join(R._index(spark, d), "parent_asin").withColumn("score", text.score(F.col("label")))
 
 
@@ -324,14 +324,14 @@ SEED = "20260811"
 
 def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     """25 labelled reviews of the window per bucket and gender, with the key fields a labeller must not see."""
-    r = frames.bucketed(R._reviews(spark, d).filter(F.col("yr") >= R.WINDOW))
+    r = frames.bucketed(R._windowed(spark, d).filter(F.col("yr") >= R.WINDOW))
     j = r.select("review_id", "parent_asin", "label").join(R._index(spark, d).select("parent_asin", "gender", "half", "item_title"), "parent_asin")
     return sampling.stratified(j, ["label", "gender"], F.col("review_id").cast("string"), PER_STRATUM, SEED).select("review_id", "label", "gender", "half", "item_title", "rank")
 
 
 def sample_frame(spark: SparkSession, d: str) -> DataFrame:
     """Eligible and drawn reviews per stratum of that sample."""
-    r = frames.bucketed(R._reviews(spark, d).filter(F.col("yr") >= R.WINDOW))
+    r = frames.bucketed(R._windowed(spark, d).filter(F.col("yr") >= R.WINDOW))
     n = frames.counted(r, "label").join(R._index(spark, d).select("parent_asin", "gender"), "parent_asin").groupBy("label", "gender").agg(F.sum("n").alias("eligible"))
     return n.withColumn("drawn", F.least("eligible", F.lit(PER_STRATUM)))
 
@@ -451,4 +451,4 @@ QUERIES = {
         label_examples, distinct_records, block_sample, block_composition, window_power, variance_share, power_scenarios, trend_power,
     )
 }
-ORACLE = measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED)
+ORACLE = {"deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED)

@@ -99,6 +99,12 @@ pv AS (SELECT max(beta) FILTER (rep = 0) AS beta, max(t) FILTER (rep = 0) AS t,
        (count(*) FILTER (rep > 0 AND abs(t) >= (SELECT abs(t) FROM ts WHERE rep = 0)) + 1) / {replicates + 1} AS p FROM ts)"""
 
 
+def anova(ctes: str, source: str, value: str) -> str:
+    return f"""{ctes}, g AS (SELECT store, count(*) m, avg({value}) a FROM {source} GROUP BY 1), t AS (SELECT avg({value}) ga, sum({value} * {value}) - count(*) * avg({value}) * avg({value}) st, count(*) n FROM {source}),
+x AS (SELECT any_value(n) n, count(*) k, sum(m * (a - ga) ** 2) b, any_value(st) st, sum(m * m) mm FROM g, t), y AS (SELECT *, b / (k - 1) msb, (st - b) / (n - k) msw, (n - mm / n) / (k - 1) m0 FROM x)
+SELECT n AS n_obs, k AS n_groups, round(b / st, 8) AS eta_squared, round((msb - msw) / (msb + (m0 - 1) * msw), 8) AS icc FROM y"""
+
+
 def oracle(windows: list, scenarios: list, cells: list[str], m_bar: float, raw: int, response: dict, pools: list, iccs: tuple, cvs: tuple, per_stratum: int, seed: str) -> dict[str, str]:
     values = lambda rows: ", ".join("(" + ", ".join(S.q(v) if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
     win = f"wn(window_, {', '.join(cells)}) AS (VALUES {values(windows)})"
@@ -129,9 +135,7 @@ r AS (SELECT *, coalesce(ut / nullif(upper_n, 0), 0.0) u, coalesce(lt / nullif(l
 SELECT corpus, bucket, upper_n, lower_n, round(u, 6) AS upper_recall, round(l, 6) AS lower_recall, round((u - l) * 100, 6) AS gap_pp, CASE WHEN abs((u - l) * 100) < 8 THEN 'agree' WHEN abs((u - l) * 100) < 15 THEN 'partial' ELSE 'diverge' END AS band FROM r""",
         "labelled_rate": f"{CORPUS} SELECT corpus, half, count(*) AS n, round(avg((guess IN ({_IN}))::INT), 6) AS labelled FROM s GROUP BY 1, 2",
         "pattern_precision": f"{CORPUS} SELECT guess AS bucket, pattern, count(*) AS n, sum((truth = guess)::INT) AS right, round(avg((truth = guess)::INT), 6) AS precision FROM s WHERE guess IN ({_IN}) GROUP BY 1, 2 HAVING count(*) >= 5".replace("AS right,", 'AS "right",'),
-        "score_anova": f"""{S.FINAL}, g AS (SELECT store, count(*) m, avg(score) a FROM fin GROUP BY 1), t AS (SELECT avg(score) ga, sum(score * score) - count(*) * avg(score) * avg(score) st, count(*) n FROM fin),
-x AS (SELECT any_value(n) n, count(*) k, sum(m * (a - ga) ** 2) b, any_value(st) st, sum(m * m) mm FROM g, t), y AS (SELECT *, b / (k - 1) msb, (st - b) / (n - k) msw, (n - mm / n) / (k - 1) m0 FROM x)
-SELECT n AS n_obs, k AS n_groups, round(b / st, 8) AS eta_squared, round((msb - msw) / (msb + (m0 - 1) * msw), 8) AS icc FROM y""",
+        "score_anova": anova(S.FINAL, "fin", "score"),
         "within_store_gap": f"""{S.FINAL}, g AS (SELECT store, count(*) FILTER (gender = 'men') na, count(*) FILTER (gender = 'women') nb, avg(score) FILTER (gender = 'men') ma, avg(score) FILTER (gender = 'women') mb FROM fin GROUP BY 1),
 b AS (SELECT *, ma - mb AS gap, least(na, nb) AS w FROM g WHERE na > 0 AND nb > 0)
 SELECT (SELECT count(*) FROM g) AS n_groups, count(*) AS n_both, coalesce(sum(na + nb), 0) AS n_covered, coalesce(sum(na), 0) AS n_a, round(sum(gap * w) / sum(w), 8) AS weighted_gap, round(avg(gap), 8) AS unweighted_gap, count(*) >= 15 AND coalesce(sum(na), 0) >= 30 AS enough FROM b""",

@@ -31,8 +31,13 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return frames.style_index(table(spark, d, "metadata"))
 
 
+def _windowed(spark: SparkSession, d: str, *also) -> DataFrame:
+    """Labelled reviews of the window; the range reaches the scan."""
+    return frames.labelled_reviews(spread(frames.since(table(spark, d, "review"), WINDOW)), *also)
+
+
 def _final(spark: SparkSession, d: str, *keys: str) -> DataFrame:
-    return frames.final_counts(_reviews(spark, d), _index(spark, d), *keys)
+    return frames.final_counts(_windowed(spark, d), _index(spark, d), *keys)
 
 
 def _joined(spark: SparkSession, d: str, *keys: str) -> DataFrame:
@@ -366,6 +371,23 @@ _HITS = f"""{_LAB}, ph AS ({' UNION ALL '.join(f"SELECT '{b}' AS bucket, {S.firs
 pc AS (SELECT bucket, pattern, count(*) AS n FROM ph GROUP BY 1, 2)"""
 _FLAGS = f"""{S.JOINED}, fl AS (SELECT gender, {S.has('b', P.THIRD_PARTY)} AS tp, {S.has('b', P.CROSS_GENDER)} AS cg,
 CASE WHEN {S.has('b', P.SELF_WOMAN)} AND NOT {S.has('b', P.SELF_MAN)} THEN 'women' WHEN {S.has('b', P.SELF_MAN)} AND NOT {S.has('b', P.SELF_WOMAN)} THEN 'men' END AS st FROM obs)"""
+_NO_SIZE = S.q(rf"\b{text.SIZE}\b({P.NOT_A_SIZE[3:-1]})")
+_LADDER = "CASE x " + " ".join(f"WHEN {S.q(k)} THEN {v}" for k, v in P.TEXT_LADDER.items()) + " END"
+
+
+def _steps_sql(patterns: list[str]) -> str:
+    """Distinct ladder steps; sizes that may not count are blotted out first, as this engine has no lookahead."""
+    found = ", ".join(f"regexp_extract_all({'nb' if '{no}' in p else 'b'}, {S.q(text.sized(p.replace('{no}', '')))}, 1)" for p in patterns)
+    return f"list_distinct(list_transform(flatten([{found}]), lambda x: {_LADDER}))"
+
+
+_PAIRS = f"""WITH bl AS (SELECT review_id, parent_asin, {S.folded('title', 'text')} AS b FROM review),
+nb AS (SELECT *, regexp_replace(b, {_NO_SIZE}, 'zz\\2', 'g') AS nb FROM bl WHERE contains(b, 'size') OR contains(b, 'wear') OR contains(b, 'order')),
+st AS (SELECT *, {_steps_sql(P.USUAL)} AS us, {_steps_sql(P.BOUGHT)} AS bo FROM nb),
+sp AS (SELECT review_id, parent_asin, us[1] AS usual, bo[1] AS bought, bo[1] - us[1] AS deviation FROM st
+       WHERE len(us) = 1 AND len(bo) = 1 AND NOT {S.has('b', P.NUMBER_SIZE)} AND NOT {S.has('b', text.sized(P.EITHER_SIZE))})"""
+_DEV = f"{_PAIRS}, {S.TAXONOMY}, dv AS (SELECT sp.*, i.gender, i.half, i.store FROM sp JOIN idx i ON sp.parent_asin = i.parent_asin)"
+_UPS = f"{_DEV}, up AS (SELECT store, count(*) AS n FROM dv WHERE deviation > 0 GROUP BY 1)"
 _SPANNED = f"{S.FINAL}, per AS (SELECT store, gender, half, count(*) n FROM fin WHERE store <> '(unnamed)' GROUP BY 1, 2, 3)"
 _ASINS = f"{S.JOINED}, pa AS (SELECT DISTINCT parent_asin, asin FROM obs WHERE asin <> '')"
 _YEARS = f"""{_LAB}, yy AS (SELECT {S.YEAR} AS yr, count(*) AS n, sum(CASE WHEN {S.IN_BUCKETS} THEN 1 ELSE 0 END) AS labelled,
@@ -420,4 +442,10 @@ SELECT scenario, n_clusters, n_obs, largest, round(m_bar, 6) AS m_bar, round(sd,
     "half_split": f"""{S.FINAL}, per AS (SELECT parent_asin, count(*) n FROM fin GROUP BY 1),
 o AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, md5(parent_asin), parent_asin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM per)
 SELECT parent_asin, n, before = 0 OR before < (SELECT sum(n) FROM per) / 2 AS treated FROM o""",
+    "size_pairs": f"{_PAIRS} SELECT * FROM sp",
+    "deviation_hist": f"{_PAIRS} SELECT deviation, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM sp GROUP BY 1",
+    "deviation_cells": f"{_DEV} SELECT gender, half, count(*) AS n_pairs, round(avg(deviation), 6) AS mean, sum((deviation > 0)::INT) AS up, sum((deviation = 0)::INT) AS same, sum((deviation < 0)::INT) AS down FROM dv GROUP BY 1, 2",
+    "store_deviations": f"{_DEV} SELECT store, count(*) AS n_pairs, sum(deviation) AS total, sum((deviation > 0)::INT) AS up, sum((deviation > 0 AND gender = 'men')::INT) AS up_men, sum((deviation > 0 AND gender = 'women')::INT) AS up_women FROM dv GROUP BY 1",
+    "store_concentration": f"{_UPS}, rk AS (SELECT n, row_number() OVER (ORDER BY n DESC, store) AS r FROM up) SELECT k, round(sum(n) FILTER (r <= k) / sum(n), 6) AS share FROM rk CROSS JOIN (VALUES (1), (5), (10), (25), (50)) v(k) GROUP BY 1",
+    "store_hhi": f"{_UPS}, h AS (SELECT sum(n * n) / (sum(n) * sum(n)) AS h FROM up) SELECT round(h, 8) AS hhi, round(1 / h, 4) AS effective FROM h",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cuts import shared_folder
+from ..cuts import own_folder
 from ..functions import text
 
 
@@ -52,7 +52,7 @@ def drained(stream: DataFrame, name: str, mode: str = "complete", keep: Callable
     import uuid
 
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = f"{own_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         (keep(batch) if keep else batch).write.mode("overwrite").parquet(f"{base}/out/{'all' if mode == 'complete' else f'batch={number}'}")

@@ -10,9 +10,12 @@ DATA = Path("/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
+    from seamline import cuts
     from seamline.session import local_session
 
-    return local_session(4, partitions=4, memory="4g")
+    session = local_session(4, partitions=4, memory="4g")
+    yield session
+    cuts.drop_cuts(session)
 
 
 @pytest.fixture(scope="session")

@@ -10,3 +10,14 @@ def test_cut_and_drop(spark):
 
 def test_folder_follows_the_session(spark):
     assert cuts.shared_folder(spark).startswith("file://") or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def test_drop_removes_own_files_only(spark, tmp_path):
+    df = cuts.cut(spark.range(3).toDF("id"), "gone")
+    other = tmp_path / "other"
+    spark.range(2).write.parquet(str(other))
+    files = df.inputFiles()
+    cuts.drop_cuts(spark)
+    import os
+
+    assert files and not any(os.path.exists(f.removeprefix("file://")) for f in files) and spark.read.parquet(str(other)).count() == 2
