@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..cuts import cut
 from ..functions.text import BUCKETS, uniform
+from ..session import spread
 
 
 def cluster_sums(obs: DataFrame, groups: list[str], cluster: str, x: Column, y: Column, n: Column) -> DataFrame:
@@ -33,17 +34,24 @@ def cluster_sums(obs: DataFrame, groups: list[str], cluster: str, x: Column, y:
 
 
 def _t(weighted: DataFrame, keys: list[str]) -> DataFrame:
-    """beta and cluster-robust t per key from clusters carrying a sign w; t is 0 with one cluster or no variance."""
-    one = weighted.groupBy(*keys).agg(
-        F.sum(F.col("w") * F.col("A")).alias("a"), F.sum(F.col("w") * F.col("U")).alias("u"), F.first("sxx").alias("sxx"), F.first("n_obs").alias("n_obs"), F.first("g").alias("g")
-    )
-    one = one.select(*keys, "sxx", "n_obs", "g", F.when(F.col("sxx") > 0, F.col("a") / F.col("sxx")).otherwise(0.0).alias("beta"), (F.col("u") / F.col("n_obs")).alias("s"))
-    j = weighted.drop("sxx", "n_obs", "g").join(one, keys)
-    score = F.col("w") * F.col("A") - F.col("s") * F.col("B") - F.col("beta") * F.col("C")
-    meat = j.groupBy(*keys).agg(F.sum(score * score).alias("meat"), F.first("beta").alias("beta"), F.first("sxx").alias("sxx"), F.first("g").alias("g"))
-    ok = (F.col("sxx") > 0) & (F.col("g") > 1) & (F.col("meat") > 1e-12)
-    t = F.col("beta") / F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("meat") / (F.col("sxx") * F.col("sxx")))
-    return meat.select(*keys, "beta", F.when(ok, t).otherwise(0.0).alias("t"), "g")
+    """beta and cluster-robust t per key from clusters carrying a sign w; t is 0 with one cluster or no variance.
+
+    A cluster's score is wA - sB - beta C with s the mean residual. As w is 1 or -1, the sum of its squares is a
+    polynomial in s and beta whose coefficients are plain sums: one aggregation, and nothing is joined back to clusters.
+    """
+    w, a, b, c = (F.col(x) for x in ("w", "A", "B", "C"))
+    sums = weighted.groupBy(*keys).agg(
+        F.first("sxx").alias("sxx"), F.first("n_obs").alias("n_obs"), F.first("g").alias("g"), F.sum(w * a).alias("wa"), F.sum(w * F.col("U")).alias("wu"), F.sum(a * a).alias("aa"),
+        F.sum(b * b).alias("bb"), F.sum(c * c).alias("cc"), F.sum(w * a * b).alias("wab"), F.sum(w * a * c).alias("wac"), F.sum(b * c).alias("bc"),
+    )
+    beta = F.when(F.col("sxx") > 0, F.col("wa") / F.col("sxx")).otherwise(0.0)
+    t = sums.withColumn("beta", beta).withColumn("s", F.col("wu") / F.col("n_obs"))
+    s, v = F.col("s"), F.col("beta")
+    meat = F.col("aa") + s * s * F.col("bb") + v * v * F.col("cc") - 2 * s * F.col("wab") - 2 * v * F.col("wac") + 2 * s * v * F.col("bc")
+    t = t.withColumn("meat", meat)
+    ok = (F.col("sxx") > 0) & (F.col("g") > 1) & (F.col("meat") > 1e-12 * (1 + F.col("aa")))
+    stat = v / F.sqrt(F.col("g") / (F.col("g") - 1) * F.col("meat") / (F.col("sxx") * F.col("sxx")))
+    return t.select(*keys, "beta", F.when(ok, stat).otherwise(0.0).alias("t"), "g")
 
 
 def wild_bootstrap(obs: DataFrame, groups: list[str], cluster: str, x: Column, y: Column, n: Column, replicates: int = 399, seed: str = "0") -> DataFrame:
@@ -53,7 +61,7 @@ def wild_bootstrap(obs: DataFrame, groups: list[str], cluster: str, x: Column, y
     if not groups:
         sums = sums.withColumn("_all", F.lit(0))
     keys = groups or ["_all"]
-    sums = cut(sums, "cluster-sums")  # a few numbers per cluster, read by every replicate
+    sums = spread(cut(sums, "cluster-sums"))  # a few numbers per cluster, read by every replicate
     seen = _t(sums.withColumn("w", F.lit(1.0)), keys).withColumnRenamed("t", "t_obs")
     rep = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     sign = F.when(uniform(F.concat_ws("|", F.lit(seed), "rep", *groups, "cluster")) < 0.5, 1.0).otherwise(-1.0)
