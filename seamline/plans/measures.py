@@ -451,4 +451,4 @@ QUERIES = {
         label_examples, distinct_records, block_sample, block_composition, window_power, variance_share, power_scenarios, trend_power,
     )
 }
-ORACLE = {"deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED)
+ORACLE = {"deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED, R.MANY_ASINS)

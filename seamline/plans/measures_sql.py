@@ -82,21 +82,24 @@ CELL = f"{S.FINAL}, ce AS (SELECT gender, half, avg(score) AS mean, count(*) AS
 TAU = "max(mean) FILTER (gender = 'men' AND half = 'upper') - max(mean) FILTER (gender = 'men' AND half = 'lower') - max(mean) FILTER (gender = 'women' AND half = 'upper') + max(mean) FILTER (gender = 'women' AND half = 'lower')"
 _X = "(gender = 'men' AND half = 'upper')::INT::DOUBLE"
 _ADVICE = "CASE label " + " ".join(f"WHEN '{b}' THEN {S.first_pattern('b', b)} IN ({', '.join(str(k) for k, p in enumerate(P.FIT[b]) if p in P.ADVICE) or '-1'})" for b in BUCKETS) + " END"
+_FIRED = "CASE assigned " + " ".join(f"WHEN '{b}' THEN h{k} = 1 AND {S.first_pattern('b', b)} IN ({', '.join(str(i) for i, p in enumerate(P.FIT[b]) if p in P.ADVICE) or '-1'})" for k, b in enumerate(BUCKETS)) + " END"
 WIN = f"{S.JOINED}, wi AS (SELECT *, coalesce(gradient, 'none') AS g FROM obs WHERE verified AND yr >= {S.WINDOW_FROM})"
 
 
-def cluster_t(source: str, replicates: int, seed: str) -> str:
-    """Common table expressions for the wild bootstrap of `source` (cluster, x, y): `pv`."""
+def cluster_t(source: str, replicates: int, seed: str, group: str = "'all'") -> str:
+    """Common table expressions for the wild bootstrap of `source` (cluster, x, y) by a group: `pv`."""
+    key = f"concat_ws('|', '{seed}', r, cluster)" if group == "'all'" else f"concat_ws('|', '{seed}', r, gr, cluster)"
     return f"""
-tot AS (SELECT avg(x) xb, avg(y) yb, count(*) n, count(DISTINCT cluster) g FROM {source}),
-cl AS (SELECT cluster, sum((x - xb) * (y - yb)) a, sum(x - xb) b, sum((x - xb) * (x - xb)) c, sum(y - yb) u, any_value(n) n, any_value(g) g FROM {source}, tot GROUP BY 1),
-sx AS (SELECT sum(c) sxx FROM cl),
-rp AS (SELECT cl.*, sxx, r AS rep, CASE WHEN r = 0 THEN 1.0 WHEN {uniform(f"concat_ws('|', '{seed}', r, cluster)")} < 0.5 THEN 1.0 ELSE -1.0 END AS w FROM cl, sx, range({replicates + 1}) t(r)),
-be AS (SELECT rep, sum(w * a) / any_value(sxx) beta, sum(w * u) / any_value(n) s FROM rp GROUP BY 1),
-me AS (SELECT rp.rep, any_value(beta) beta, any_value(sxx) sxx, any_value(g) g, sum((w * a - s * b - beta * c) ** 2) meat FROM rp JOIN be ON rp.rep = be.rep GROUP BY 1),
-ts AS (SELECT rep, beta, g, CASE WHEN g > 1 AND meat > 1e-12 THEN beta / sqrt(g / (g - 1) * meat / (sxx * sxx)) ELSE 0.0 END t FROM me),
-pv AS (SELECT max(beta) FILTER (rep = 0) AS beta, max(t) FILTER (rep = 0) AS t, max(g) AS n_clusters,
-       (count(*) FILTER (rep > 0 AND abs(t) >= (SELECT abs(t) FROM ts WHERE rep = 0)) + 1) / {replicates + 1} AS p FROM ts)"""
+so AS (SELECT {group} AS gr, cluster, x, y FROM {source}),
+tot AS (SELECT gr, avg(x) xb, avg(y) yb, count(*) n, count(DISTINCT cluster) g FROM so GROUP BY 1),
+cl AS (SELECT gr, cluster, sum((x - xb) * (y - yb)) a, sum(x - xb) b, sum((x - xb) * (x - xb)) c, sum(y - yb) u, any_value(n) n, any_value(g) g FROM so JOIN tot USING (gr) GROUP BY 1, 2),
+sx AS (SELECT gr, sum(c) sxx FROM cl GROUP BY 1),
+rp AS (SELECT cl.*, sxx, r AS rep, CASE WHEN r = 0 THEN 1.0 WHEN {uniform(key)} < 0.5 THEN 1.0 ELSE -1.0 END AS w FROM cl JOIN sx USING (gr), range({replicates + 1}) t(r)),
+be AS (SELECT gr, rep, sum(w * a) / any_value(sxx) beta, sum(w * u) / any_value(n) s FROM rp GROUP BY 1, 2),
+me AS (SELECT rp.gr, rp.rep, any_value(beta) beta, any_value(sxx) sxx, any_value(g) g, sum((w * a - s * b - beta * c) ** 2) meat FROM rp JOIN be ON rp.gr = be.gr AND rp.rep = be.rep GROUP BY 1, 2),
+ts AS (SELECT gr, rep, beta, g, CASE WHEN g > 1 AND meat > 1e-12 THEN beta / sqrt(g / (g - 1) * meat / (sxx * sxx)) ELSE 0.0 END t FROM me),
+z AS (SELECT gr, abs(t) AS t0 FROM ts WHERE rep = 0),
+pv AS (SELECT gr AS scenario, max(beta) FILTER (rep = 0) AS beta, max(t) FILTER (rep = 0) AS t, max(g) AS n_clusters, (count(*) FILTER (rep > 0 AND abs(t) >= t0) + 1) / {replicates + 1} AS p FROM ts JOIN z USING (gr) GROUP BY 1)"""
 
 
 def anova(ctes: str, source: str, value: str) -> str:
@@ -105,7 +108,7 @@ x AS (SELECT any_value(n) n, count(*) k, sum(m * (a - ga) ** 2) b, any_value(st)
 SELECT n AS n_obs, k AS n_groups, round(b / st, 8) AS eta_squared, round((msb - msw) / (msb + (m0 - 1) * msw), 8) AS icc FROM y"""
 
 
-def oracle(windows: list, scenarios: list, cells: list[str], m_bar: float, raw: int, response: dict, pools: list, iccs: tuple, cvs: tuple, per_stratum: int, seed: str) -> dict[str, str]:
+def oracle(windows: list, scenarios: list, cells: list[str], m_bar: float, raw: int, response: dict, pools: list, iccs: tuple, cvs: tuple, per_stratum: int, seed: str, many: int) -> dict[str, str]:
     values = lambda rows: ", ".join("(" + ", ".join(S.q(v) if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
     win = f"wn(window_, {', '.join(cells)}) AS (VALUES {values(windows)})"
     deff = f"(1 + ((cv * cv + 1) * {m_bar} - 1) * icc)"
@@ -119,6 +122,8 @@ SELECT assigned, n, correct, unclear, none_, other, round(prec, 6) AS precision,
 CASE WHEN low >= 0.8 THEN 'PASS' WHEN high < 0.8 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM v""",
         "lambdas": f"""{HAND}, gr AS (SELECT 'all' AS grp, * FROM hl UNION ALL SELECT 'gender=' || gender, * FROM hl), cc AS (SELECT grp, {counts()} FROM gr GROUP BY 1), l AS (SELECT grp, {_LAM} AS la, {_RES} AS re, {_REV} AS rv FROM cc)
 SELECT grp, round(la, 6) AS lambda, round(re, 6) AS residual, round(rv, 6) AS lambda_reverse, CASE WHEN la > 0 THEN round(0.156 / la, 6) END AS operative FROM l""".replace("AS lambda,", 'AS "lambda",'),
+        "lambdas_without_advice": f"""{HAND}, {S.labelled('hl', 'review_title', 'review_text')}, kp AS (SELECT * FROM lab WHERE NOT coalesce({_FIRED}, false)), cc AS (SELECT {counts()} FROM kp)
+SELECT round({_LAM}, 6) AS "lambda", round({_RES}, 6) AS residual, round({_REV}, 6) AS lambda_reverse FROM cc""",
         "p_zero": f"{HAND}, cc AS (SELECT {counts()} FROM hl) " + " UNION ALL ".join(f"SELECT '{g}' AS gender, '{h}' AS half, round({p_zero(c)}, 6) AS p0 FROM cc" for (g, h), c in P.CELL_ASSIGNED.items()),
         "residual_bias": f"""{HAND}, cc AS (SELECT gender, {counts()} FROM hl WHERE gender IN ('men', 'women') GROUP BY 1), r AS (SELECT *, {_RES} AS res FROM cc), t AS (SELECT gender, CASE gender {_BIAS} END AS term FROM r)
 SELECT round((max(term) FILTER (gender = 'men') - max(term) FILTER (gender = 'women')) / {_SD!r}, 8) AS bias_sd, round(max(term) FILTER (gender = 'men'), 8) AS term_men, round(max(term) FILTER (gender = 'women'), 8) AS term_women FROM t""",
@@ -140,6 +145,12 @@ SELECT corpus, bucket, upper_n, lower_n, round(u, 6) AS upper_recall, round(l, 6
 b AS (SELECT *, ma - mb AS gap, least(na, nb) AS w FROM g WHERE na > 0 AND nb > 0)
 SELECT (SELECT count(*) FROM g) AS n_groups, count(*) AS n_both, coalesce(sum(na + nb), 0) AS n_covered, coalesce(sum(na), 0) AS n_a, round(sum(gap * w) / sum(w), 8) AS weighted_gap, round(avg(gap), 8) AS unweighted_gap, count(*) >= 15 AND coalesce(sum(na), 0) >= 30 AS enough FROM b""",
         "wild_bootstrap": f"{S.FINAL}, ob AS (SELECT parent_asin AS cluster, {_X} AS x, score AS y FROM fin), {cluster_t('ob', 199, '0')} SELECT round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p FROM pv",
+        "scenario_bound": f"""{S.FINAL}, pa AS (SELECT DISTINCT parent_asin, asin FROM obs WHERE asin <> ''), many AS (SELECT parent_asin FROM pa GROUP BY 1 HAVING count(*) > {many}),
+fm AS (SELECT *, parent_asin IN (SELECT parent_asin FROM many) AS m FROM fin),
+ob AS (SELECT 'KEEP' AS scenario, parent_asin AS cluster, {_X} AS x, score AS y FROM fm UNION ALL SELECT 'EXCLUDE', parent_asin, {_X}, score FROM fm WHERE NOT m
+UNION ALL SELECT 'SPLIT', CASE WHEN m THEN parent_asin || '/' || coalesce(asin, '') ELSE parent_asin END, {_X}, score FROM fm UNION ALL SELECT 'STORE', store, {_X}, score FROM fm),
+{cluster_t('ob', 99, '0', 'scenario')}, b AS (SELECT *, max(p) OVER () AS max_p FROM pv)
+SELECT scenario, round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p, round(max_p, 6) AS max_p, max_p < 0.05 AS claim FROM b""",
         "cell_means": f"{CELL} SELECT gender, half, n, round(mean, 8) AS mean FROM ce",
         "tau": f"""{CELL}, sm AS (SELECT parent_asin, gender, half, avg(score) m FROM fin GROUP BY 1, 2, 3), sc AS (SELECT gender, half, avg(m) AS mean FROM sm GROUP BY 1, 2)
 SELECT 'review' AS weighting, round({TAU}, 8) AS tau FROM ce UNION ALL SELECT 'style', round({TAU}, 8) FROM sc""",
@@ -159,6 +170,8 @@ c1 AS (SELECT gender, half, CASE WHEN plus THEN lo ELSE hi END AS mean FROM b),
         "buyer_gender": f"""{S.JOINED}, u AS (SELECT user_id, count(*) FILTER (gender = 'men') m, count(*) FILTER (gender = 'women') w FROM obs WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
 SELECT CASE WHEN m >= w THEN 'men' ELSE 'women' END AS gender, count(*) AS n_buyers, sum((least(m, w) = 0)::INT) AS n_only FROM u GROUP BY 1""",
         "stratified_sample": f"{sample} SELECT review_id, label, gender, half, item_title, rank FROM rk WHERE rank <= {per_stratum}",
+        "blind_sample": f"""{sample} SELECT substr(sha256(coalesce(r.user_id, 'None') || '|' || coalesce(r.asin, 'None') || '|' || coalesce(r.ts_ms::VARCHAR, 'None')), 1, 16) AS review_id_hash, item_title AS product_title,
+{S.squash("coalesce(r.title, '')")} AS review_title, {S.squash("coalesce(r.text, '')")} AS review_text FROM rk JOIN review r ON rk.review_id = r.review_id WHERE rank <= {per_stratum}""",
         "sample_frame": f"{sample} SELECT label, gender, count(*) AS eligible, least(count(*), {per_stratum}) AS drawn FROM el GROUP BY 1, 2",
         "label_examples": f"WITH {S.labelled('review', 'title', 'text')} SELECT review_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}|' || review_id), review_id::VARCHAR) AS rank FROM lab WHERE label <> 'none' QUALIFY rank <= 6",
         "distinct_records": "WITH k AS (SELECT concat_ws(chr(31), coalesce(user_id, ''), coalesce(asin, ''), coalesce(ts_ms::VARCHAR, ''), coalesce(title, ''), coalesce(text, '')) AS k FROM review) SELECT count(*) AS n, count(DISTINCT k) AS n_distinct, true AS complete FROM k",

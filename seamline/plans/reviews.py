@@ -404,7 +404,25 @@ UNION ALL SELECT 'SPLIT', parent_asin || '/' || asin, count(*) FROM fin WHERE as
 UNION ALL SELECT 'STORE', store, count(*) FROM fin GROUP BY store)"""
 _DET = f"WITH dk AS (SELECT item_id, unnest(json_keys(details)) AS k FROM metadata WHERE json_valid(details) AND json_type(details) = 'OBJECT')"
 
+_FLAT = f"rtrim(lower({S.squash('k')}), ':')"
+_ALPHA = "CASE @x@ " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in P.ITEM_LADDER.items()) + " END"
+_TAILS = ", ".join(f"CASE WHEN starts_with(cand, {S.q(p)}) THEN {_ALPHA.replace('@x@', f'trim(substr(cand, {len(p) + 1}))')} END" for p in P.SIZE_PREFIXES)
+_SIZES = f"""sz0 AS (SELECT *, CASE WHEN CASE WHEN json_valid(details) THEN json_type(details) = 'OBJECT' ELSE false END THEN json_keys(details) END AS ks FROM @src@),
+sz1 AS (SELECT *, list_transform(ks, lambda k: {_FLAT}) AS fl FROM sz0),
+sz2 AS (SELECT *, list_position(fl, 'size') AS ps, list_position(list_transform(fl, lambda k: {S.has('k', P.SIZE_KEY)} AND NOT {S.has('k', P.NO_SIZE_KEY)}), true) AS pl FROM sz1),
+sz3 AS (SELECT *, CASE WHEN ps > 0 THEN 'strict' WHEN pl > 0 THEN 'loose' END AS rule, json_extract_string(details, '$."' || ks[CASE WHEN ps > 0 THEN ps ELSE pl END] || '"') AS raw FROM sz2),
+sz4 AS (SELECT *, lower({S.squash('raw')}) AS v FROM sz3), sz5 AS (SELECT *, trim(regexp_replace(v, '\\s*\\([^)]*\\)\\s*$', '')) AS stripped FROM sz4),
+sz6 AS (SELECT *, trim(CASE WHEN stripped <> '' THEN stripped ELSE v END, ' .,-/') AS cand FROM sz5),
+sz7 AS (SELECT *, coalesce({_ALPHA.replace('@x@', 'cand')}, {_TAILS}) AS alpha FROM sz6),
+sz AS (SELECT *, CASE WHEN raw IS NULL THEN 'absent' WHEN v = '' THEN 'empty' WHEN {S.has('cand', P.ONE_SIZE)} THEN 'one_size' WHEN alpha IS NOT NULL THEN 'alpha' WHEN {S.has('cand', P.WAIST_INSEAM)} THEN 'waist_inseam'
+       WHEN {S.has('cand', P.PLAIN_NUMERIC)} THEN 'numeric' ELSE 'unmapped' END AS why FROM sz7),
+szd AS (SELECT *, CASE why WHEN 'alpha' THEN alpha WHEN 'waist_inseam' THEN 'W' || regexp_extract(cand, {S.q(P.WAIST_INSEAM)}, 1) || 'xL' || regexp_extract(cand, {S.q(P.WAIST_INSEAM)}, 2)
+       WHEN 'numeric' THEN 'NUM' || regexp_extract(cand, {S.q(P.PLAIN_NUMERIC)}, 1) END AS size FROM sz)"""
+
 ORACLE = {
+    "size_reasons": f"WITH {_SIZES.replace('@src@', 'metadata')} SELECT rule, CASE WHEN coalesce(len(ks), 0) = 0 THEN 'no_details' WHEN rule IS NULL THEN 'no_size_key' ELSE why END AS reason, CASE WHEN rule IS NOT NULL THEN size END AS size, count(*) AS n FROM szd GROUP BY 1, 2, 3",
+    "size_examples": f"WITH {_SIZES.replace('@src@', 'metadata')} SELECT item_id, fl[CASE WHEN ps > 0 THEN ps ELSE pl END] || ' = ' || coalesce(raw, 'null') AS raw FROM szd WHERE rule IS NOT NULL ORDER BY md5('sizes|' || item_id), item_id::VARCHAR LIMIT 60",
+    "cells_2x2": f"WITH {S.TAXONOMY}, {_SIZES.replace('@src@', 'tax')} SELECT gender, half, count(*) AS n, sum((rule IS NOT NULL AND size IS NOT NULL)::INT) AS n_sized FROM szd WHERE gender IN ('men', 'women') AND half IN ('upper', 'lower') GROUP BY 1, 2",
     "label_histogram": f"{_LAB} SELECT label, count(*) AS n, sum(CASE WHEN {S.squash(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} = '' THEN 1 ELSE 0 END) AS n_blank, sum(CASE WHEN verified_purchase THEN 1 ELSE 0 END) AS n_verified FROM lab GROUP BY 1",
     "pattern_hits": f"{_HITS} SELECT * FROM pc",
     "top_patterns": f"{_HITS} SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY n DESC, pattern) AS rank FROM pc QUALIFY rank <= 6",
