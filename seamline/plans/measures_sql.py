@@ -83,6 +83,7 @@ TAU = "max(mean) FILTER (gender = 'men' AND half = 'upper') - max(mean) FILTER (
 _X = "(gender = 'men' AND half = 'upper')::INT::DOUBLE"
 _ADVICE = "CASE label " + " ".join(f"WHEN '{b}' THEN {S.first_pattern('b', b)} IN ({', '.join(str(k) for k, p in enumerate(P.FIT[b]) if p in P.ADVICE) or '-1'})" for b in BUCKETS) + " END"
 _FIRED = "CASE assigned " + " ".join(f"WHEN '{b}' THEN h{k} = 1 AND {S.first_pattern('b', b)} IN ({', '.join(str(i) for i, p in enumerate(P.FIT[b]) if p in P.ADVICE) or '-1'})" for k, b in enumerate(BUCKETS)) + " END"
+_X2 = " + ".join(f"CASE WHEN s{k} > 0 THEN (n{k} - sz * s{k}) * (n{k} - sz * s{k}) / (sz * s{k}) ELSE 0.0 END" for k in range(3))
 WIN = f"{S.JOINED}, wi AS (SELECT *, coalesce(gradient, 'none') AS g FROM obs WHERE verified AND yr >= {S.WINDOW_FROM})"
 
 
@@ -151,6 +152,15 @@ ob AS (SELECT 'KEEP' AS scenario, parent_asin AS cluster, {_X} AS x, score AS y
 UNION ALL SELECT 'SPLIT', CASE WHEN m THEN parent_asin || '/' || coalesce(asin, '') ELSE parent_asin END, {_X}, score FROM fm UNION ALL SELECT 'STORE', store, {_X}, score FROM fm),
 {cluster_t('ob', 99, '0', 'scenario')}, b AS (SELECT *, max(p) OVER () AS max_p FROM pv)
 SELECT scenario, round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p, round(max_p, 6) AS max_p, max_p < 0.05 AS claim FROM b""",
+        "homogeneity": f"""{S.FINAL}, pa AS (SELECT DISTINCT parent_asin, asin FROM obs WHERE asin <> ''), many AS (SELECT parent_asin FROM pa GROUP BY 1 HAVING count(*) > {many}),
+hv AS (SELECT parent_asin FROM fin WHERE parent_asin IN (SELECT parent_asin FROM many) GROUP BY 1 ORDER BY count(*) DESC, parent_asin LIMIT 4),
+mm AS (SELECT parent_asin AS gr, asin AS me, {', '.join(f"sum((label = '{b}')::INT) AS n{k}" for k, b in enumerate(BUCKETS))}, count(*) AS sz FROM fin WHERE asin <> '' AND parent_asin IN (SELECT parent_asin FROM hv) GROUP BY 1, 2 HAVING count(*) >= 2),
+po AS (SELECT gr, sum(n0) / sum(sz) AS s0, sum(n1) / sum(sz) AS s1, sum(n2) / sum(sz) AS s2, count(*) AS k FROM mm GROUP BY 1), ba AS (SELECT * FROM mm JOIN po USING (gr)),
+dr AS (SELECT gr, me, sz, s0, s1, s2, rep, {uniform("concat_ws('|', '20260815', gr, me, rep, draw)")} AS u FROM ba, range(1, 200) a(rep), LATERAL (SELECT unnest(range(1, sz + 1)) AS draw)),
+si AS (SELECT gr, me, rep, sz, s0, s1, s2, sum((u <= s0)::INT) AS n0, sum((u > s0 AND u <= s0 + s1)::INT) AS n1, sum((u > s0 + s1)::INT) AS n2 FROM dr GROUP BY ALL),
+ob2 AS (SELECT gr, sum({_X2}) AS x2, any_value(k) AS k FROM ba GROUP BY 1), st2 AS (SELECT gr, rep, sum({_X2}) AS xs FROM si GROUP BY 1, 2)
+SELECT ob2.gr AS parent_asin, any_value(k) AS n_members, round(CASE WHEN any_value(k) < 2 THEN 0.0 ELSE any_value(x2) END, 6) AS x2, round(CASE WHEN any_value(k) < 2 THEN 0.0 ELSE any_value(x2) / ((any_value(k) - 1) * 2) END, 6) AS dispersion,
+round(CASE WHEN any_value(k) < 2 THEN 1.0 ELSE (count(*) FILTER (xs >= x2 - 1e-9) + 1) / 200 END, 6) AS p, any_value(k) >= 3 AS testable FROM ob2 JOIN st2 ON ob2.gr = st2.gr GROUP BY 1""",
         "cell_means": f"{CELL} SELECT gender, half, n, round(mean, 8) AS mean FROM ce",
         "tau": f"""{CELL}, sm AS (SELECT parent_asin, gender, half, avg(score) m FROM fin GROUP BY 1, 2, 3), sc AS (SELECT gender, half, avg(m) AS mean FROM sm GROUP BY 1, 2)
 SELECT 'review' AS weighting, round({TAU}, 8) AS tau FROM ce UNION ALL SELECT 'style', round({TAU}, 8) FROM sc""",
