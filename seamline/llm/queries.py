@@ -115,7 +115,36 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
+_PICTURE = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?"
+_OTHER = r"\p{Cyrillic}\p{Greek}\p{Armenian}"
+#: Another way to tell: pictures are taken out first, then each kind of disguise is looked for by itself.
+P3_SQL = f"""
+WITH v AS (SELECT review_id, 'title' AS fld, title AS t FROM review UNION ALL SELECT review_id, 'text', text FROM review),
+w AS (SELECT review_id, fld, regexp_replace(t, '{_PICTURE}(\\x{{200D}}{_PICTURE})*', '.', 'g') AS t FROM v)
+SELECT review_id, fld FROM w WHERE nfc_normalize(t) <> t OR regexp_matches(t, '[\\x{{FF01}}-\\x{{FF5E}}\\x{{FB00}}-\\x{{FB06}}]')
+OR regexp_matches(t, '\\p{{Cf}}|\\x{{FE0F}}|[\\x00-\\x08\\x0e-\\x1f\\x7f]') OR regexp_matches(replace(t, ' ', ''), '\\p{{Zs}}')
+OR regexp_matches(t, '\\p{{Latin}}\\p{{L}}*[{_OTHER}]|[{_OTHER}]\\p{{L}}*\\p{{Latin}}')"""
+
+P6_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_item),
+dg AS (SELECT doc_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM dw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p) WHERE len(w) >= 12),
+ig AS (SELECT item_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p) WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
+
+P8_SQL = """
+WITH g AS (SELECT doc_id, p, md5(substr(text, p, 300)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 298)) AS p) WHERE length(text) >= 300),
+s AS (SELECT h FROM g GROUP BY 1 HAVING min(doc_id) <> max(doc_id)), k AS (SELECT doc_id, p - 1 AS lo, p + 299 AS hi FROM g WHERE h IN (SELECT h FROM s)),
+b AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS starts FROM k),
+r AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY lo) AS run FROM b),
+sp AS (SELECT doc_id, min(lo) AS span_from, max(hi) AS span_to FROM r GROUP BY doc_id, run)
+"""
+
 ORACLE = {
+    "p3_found": P3_SQL,
+    "p6_found": P6_SQL,
+    "p8_found": P8_SQL + "SELECT doc_id, span_from, span_to FROM sp",
+    "p8_shares": P8_SQL + """SELECT d.doc_id, length(text) AS n_chars, coalesce(sum(span_to - span_from), 0) AS n_shared, count(span_to) AS n_spans,
+CASE WHEN length(text) > 0 THEN round(coalesce(sum(span_to - span_from), 0) / length(text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY d.doc_id, text""",
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
     "p4_records": P4_SQL + "SELECT first_id, n_copies FROM g",
 }
