@@ -22,7 +22,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the way this public vocabulary splits text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of a leaf are put in order by parts of so many, found by their hash.
-PARTS = 4096
+PARTS = 1 << 14
 UNKNOWN = "und"
 
 _encoders: dict[str, object] = {}
@@ -174,13 +174,15 @@ def select_documents(sized: DataFrame, plan: Plan, seed: int = 7) -> DataFrame:
     leaf = ["source", "lang"]
     sums = d.groupBy(*leaf, "part", "rest").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.partitionBy(*leaf).orderBy("part")) - F.col("n")
-    sums = sums.select(*leaf, "part", before.alias("before"), (before + F.col("n") <= F.col("rest")).alias("inside"), (before < F.col("rest")).alias("reached"))
-    d = d.join(F.broadcast(sums), [*leaf, "part"])  # at most PARTS rows per leaf
+    sums = sums.withColumn("before", before).withColumn("inside", F.col("before") + F.col("n") <= F.col("rest"))
+    is_edge = ~F.col("inside") & (F.col("before") < F.col("rest"))
+    cuts = sums.groupBy(*leaf).agg(F.max(F.when(F.col("inside"), F.col("part"))).alias("last"), F.max(F.when(is_edge, F.col("part"))).alias("edge"), F.max(F.when(is_edge, F.col("before"))).alias("before"))
+    d = d.join(F.broadcast(cuts), leaf)  # one row per leaf
     order = Window.partitionBy(*leaf, "part").orderBy("place", "doc_id")
-    border = d.filter("reached and not inside")
+    at_edge = F.coalesce(F.col("part") == F.col("edge"), F.lit(False))
     taken = F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens") / 2 <= F.col("rest")
-    border = border.withColumn("extra", taken.cast("int"))
-    rest = d.filter("inside or not reached").withColumn("extra", F.col("inside").cast("int"))
+    border = d.filter(at_edge).withColumn("extra", taken.cast("int"))
+    rest = d.filter(~at_edge).withColumn("extra", F.coalesce(F.col("part") <= F.col("last"), F.lit(False)).cast("int"))
     times = F.col("epochs") + F.col("extra")
     return rest.unionByName(border).select("doc_id", *leaf, "n_tokens", times.alias("times")).filter("times > 0")
 
