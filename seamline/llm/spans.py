@@ -228,21 +228,23 @@ def _in_two_documents(rows: DataFrame, keys: list[str]) -> DataFrame:
     return g.filter("_lo <> _hi").drop("_lo", "_hi")
 
 
-def _edge_windows(docs: DataFrame, edges: DataFrame, width: int, least: int) -> DataFrame:
-    """(g1, g2, doc_id, at) of each window of `least` characters that holds one of the document's edge anchors whole."""
+def _edge_windows(docs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
+    """(g1, g2, doc_id, at) of windows of `least` characters, by `marks` (doc_id, kind, lo, hi) on where they may start.
+
+    kind 0: wanted; 1: known to be shared, so not wanted after all; 2: wanted in any case.
+    """
     schema = [("g1", pa.int64()), ("g2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())]
-    side = least - width
 
     def run(batches):
         def one():
             for b in batches:
-                ids, texts, anchors = b.column("doc_id").to_pylist(), b.column("text"), b.column("anchors")
+                ids, texts, of_doc = b.column("doc_id").to_pylist(), b.column("text"), b.column("marks")
                 for k, doc in enumerate(ids):
                     codes = code_points(texts[k].as_py())
                     data, n = codes.tobytes(), len(codes)
                     wanted = np.zeros(max(n - least + 1, 0), bool)
-                    for x in anchors[k].as_py():
-                        wanted[max(x - side, 0) : x + 1] = True
+                    for kind, lo, hi in sorted((m["kind"], m["lo"], m["hi"]) for m in of_doc[k].as_py()):
+                        wanted[lo : hi + 1] = kind != 1
                     at = np.flatnonzero(wanted)
                     g = [xxhash.xxh3_128_intdigest(data[4 * p : 4 * (p + least)]) for p in at.tolist()]
                     low = (1 << 64) - 1
@@ -250,8 +252,9 @@ def _edge_windows(docs: DataFrame, edges: DataFrame, width: int, least: int) ->
 
         yield from _batched(one(), schema)
 
-    grouped = edges.groupBy("doc_id").agg(F.collect_set("at").alias("anchors"))  # a document's own anchors: bounded by its length
-    return docs.join(grouped, "doc_id").select("doc_id", "text", "anchors").mapInArrow(run, "g1 long, g2 long, doc_id long, at int")
+    # a document's own marks: bounded by its length. Documents without a wanted window are left out.
+    grouped = marks.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("marks")).filter(F.exists("marks", lambda m: m["kind"] != 1))
+    return docs.join(grouped, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "g1 long, g2 long, doc_id long, at int")
 
 
 def merged(pieces: DataFrame) -> DataFrame:
@@ -296,12 +299,19 @@ def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     alike = cut(alike.withColumn("twice", F.col("lo.doc_id") != F.col("hi.doc_id")), "surroundings")
     placed = attach_groups(anchors, alike.select(*around, "n", "twice"), around, "n")
     start = F.greatest(F.col("at") - (least - width), F.lit(0))
-    pieces = placed.filter("twice").select("doc_id", start.alias("lo"), (start + F.col("reach")).alias("hi"))
-    # an edge may repeat text whose surroundings elsewhere repeat as a whole: two documents stand for all of those
+    pieces = cut(placed.filter("twice").select("doc_id", start.alias("lo"), (start + F.col("reach")).alias("hi")).distinct(), "pieces")
+    # An edge may repeat text whose surroundings elsewhere repeat as a whole: two documents stand for all of those. Any
+    # other window inside a document's own whole pieces is known already; text that equals it elsewhere has the piece's
+    # anchor, too, and meets those two documents there.
     with_edge = alike.groupBy("h").agg(F.min("twice").alias("no_edge"), F.count(F.when(F.col("twice"), 1)).alias("m")).filter("not no_edge and m > 0").select("h", "m")
     stand_ins = attach_groups(alike.filter("twice").select("h", "lo", "hi"), with_edge, ["h"], "m").select(F.explode(F.array("lo", "hi")).alias("x")).select("x.doc_id", "x.at")
-    edges = placed.filter(~F.col("twice")).select("doc_id", "at").unionByName(stand_ins).distinct()
-    windows = cut(_edge_windows(docs, edges, width, least), "edge-windows")
+    mark = lambda df, kind, lo, hi: df.select("doc_id", F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    marks = (
+        mark(placed.filter("not twice"), 0, start, F.col("at"))
+        .unionByName(mark(pieces, 1, F.col("lo"), F.col("hi") - least))
+        .unionByName(mark(stand_ins, 2, start, F.col("at")))
+    )
+    windows = cut(_edge_windows(docs, marks, least), "edge-windows")
     repeated = attach_groups(windows, _in_two_documents(windows, ["g1", "g2"]), ["g1", "g2"], "n")
     return merged(pieces.unionByName(repeated.select("doc_id", F.col("at").alias("lo"), (F.col("at") + least).alias("hi"))))
 
