@@ -26,11 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def own_folder(spark: SparkSession) -> str:
     """This application's part of the shared folder; removed when the application's Python ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _SEEN:
-        _SEEN.add(app)
-        atexit.register(_try_drop, spark)
-    return f"{shared_folder(spark)}/seamline-{app}"
+    folder = f"{shared_folder(spark)}/seamline-{spark.sparkContext.applicationId}"
+    if folder not in _SEEN:
+        _SEEN.add(folder)
+        atexit.register(_drop_at_exit, spark.sparkContext._jvm, folder)
+    return folder
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -49,8 +49,10 @@ def drop_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _try_drop(spark: SparkSession) -> None:
+def _drop_at_exit(jvm, folder: str) -> None:
+    """Works after the session was stopped, too, as long as its JVM is there."""
     try:
-        drop_cuts(spark)
-    except Exception:  # noqa: BLE001 - the session may be gone, and with it the means to reach the folder
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - without a JVM there is no way to reach the folder
         pass
