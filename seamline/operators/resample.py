@@ -6,6 +6,10 @@ sums over clusters, so replicates cost clusters, not observations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,3 +130,113 @@ def rejection_rates(studies: DataFrame, replicates: int, seed: str = "11") -> Da
     x = F.when(F.col("treated"), 1.0).otherwise(0.0)
     w = wild_bootstrap(studies, ["effect", "trial"], "cluster_id", x, F.col("y_sum") / F.col("n"), F.col("n"), replicates, seed)
     return w.groupBy("effect").agg(F.count(F.lit(1)).alias("trials"), F.sum(F.when(F.col("p") < 0.05, 1).otherwise(0)).alias("wild"), F.sum(F.when(F.abs("t") > 1.95996, 1).otherwise(0)).alias("asymptotic"))
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Observations drawn at once, and clusters whose signs are held at once.
+_DRAWS, _SIGNS = 1_000_000, 2_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A hash of each 64-bit number (splitmix64)."""
+    x = x + _STEP
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return (x >> np.uint64(11)) * 2.0**-53
+
+
+def study_keys(clusters: np.ndarray, effect: float, trial: int) -> np.ndarray:
+    """A hash of each cluster in one study."""
+    study = _mixed(_mixed(np.array([effect]).view(np.uint64)) + np.uint64(trial))
+    return _mixed(clusters ^ study)
+
+
+def study_outcomes(keys: np.ndarray, n: np.ndarray, treated: np.ndarray, effect: float, icc: float, shares: dict[str, float]) -> np.ndarray:
+    """Sum of each cluster's n outcomes, drawn as in `simulated`."""
+    small, right, _ = (shares[b] for b in BUCKETS)
+    ends, total = np.cumsum(n), np.zeros(len(n))
+    for at in range(0, int(ends[-1]), _DRAWS):
+        p = np.arange(at, min(at + _DRAWS, int(ends[-1])))
+        c = np.searchsorted(ends, p, side="right")
+        u = _unit(_mixed(keys[c] + (p - (ends - n)[c] + 1).astype(np.uint64) * _STEP))
+        total += np.bincount(c, np.where(u < small, -1.0, np.where(u < small + right, 0.0, 1.0)), len(n))
+    u1, u2 = _unit(_mixed(keys ^ np.uint64(1 << 62))), _unit(_mixed(keys ^ np.uint64(1 << 63)))
+    return total + n * (np.sqrt(-2 * np.log(1 - u1)) * np.cos(2 * np.pi * u2) * icc**0.5 + np.where(treated, effect, 0.0))
+
+
+def study_signs(keys: np.ndarray, replicates: int) -> np.ndarray:
+    """Rows of signs, 1 or -1, one for each replicate behind a first one that is 1; columns are clusters."""
+    words = np.arange(-(-replicates // 64), dtype=np.uint64) + np.uint64(1 << 61)
+    bits = np.unpackbits(_mixed(keys[:, None] ^ words).view(np.uint8), axis=1)[:, :replicates]
+    return np.concatenate([np.ones((1, len(keys))), 2.0 * bits.T - 1.0])
+
+
+def study_t(sums: np.ndarray) -> np.ndarray:
+    """t of the observed outcomes and of each replicate, as `_t` has it, from the sums of control and treated clusters.
+
+    As x is the same throughout a cluster, A, B, C and U are multiples of a cluster's y_sum - mean y * n and n.
+    sums: (2, replicates + 1, 6) with sum w y_sum, sum w n, sum w y_sum n, sum w n n, sum y_sum y_sum, clusters.
+    """
+    n_obs, g = sums[:, 0, 1].sum(), sums[:, 0, 5].sum()
+    mean = sums[:, 0, 0].sum() / n_obs
+    d = (np.array([0.0, 1.0]) - sums[1, 0, 1] / n_obs)[:, None]
+    sxx = (d[:, 0] ** 2 * sums[:, 0, 1]).sum()
+    u, un = sums[:, :, 0] - mean * sums[:, :, 1], sums[:, :, 2] - mean * sums[:, :, 3]
+    nn, uu = sums[:, :1, 3], sums[:, :1, 4] - 2 * mean * sums[:, :1, 2] + mean * mean * sums[:, :1, 3]
+    of = lambda k, x: (d**k * x).sum(axis=0)
+    if sxx <= 0 or g < 2:
+        return np.zeros(u.shape[1])
+    v, s = of(1, u) / sxx, u.sum(axis=0) / n_obs
+    meat = of(2, uu) + s * s * of(2, nn) + v * v * of(4, nn) - 2 * s * of(2, un) - 2 * v * of(3, un) + 2 * s * v * of(3, nn)
+    ok = meat > 1e-12 * (1 + of(2, uu))
+    return np.where(ok, v / np.sqrt(g / (g - 1) * np.where(ok, meat, 1.0) / sxx**2), 0.0)
+
+
+def power(sizes: DataFrame, effects: list[float], trials: int, icc: float, shares: dict[str, float], replicates: int, seed: str = "7") -> DataFrame:
+    """Per effect: trials, and how many the wild bootstrap and the asymptotic t reject at 5 %, of studies as in `simulated`.
+
+    `sizes`: cluster_id (unique), n, treated. Each task draws outcomes and signs of its clusters from hashes of seed,
+    effect, trial and cluster and adds them up, so what is shuffled depends on studies and replicates, not on clusters.
+    """
+    studies = [(float(e), t) for e in effects for t in range(trials)]
+    shape = (2, replicates + 1, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(studies), *shape))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            clusters = b.column("key").to_numpy().view(np.uint64)
+            n, treated = b.column("n").to_numpy(), b.column("treated").to_numpy(zero_copy_only=False)
+            for k, (effect, trial) in enumerate(studies):
+                keys = study_keys(clusters, effect, trial)
+                y = study_outcomes(keys, n, treated, effect, icc, shares)
+                each = np.stack([y, n, y * n, n * n.astype(float)], axis=1)
+                for at in range(0, len(n), _SIGNS):
+                    part = slice(at, at + _SIGNS)
+                    w, x = study_signs(keys[part], replicates), treated[part, None]
+                    both = w @ np.concatenate([each[part] * ~x, each[part] * x], axis=1)
+                    sums[k, 0, :, :4] += both[:, :4]
+                    sums[k, 1, :, :4] += both[:, 4:]
+                for j in (0, 1):
+                    sums[k, j, :, 4] += (y[treated == j] ** 2).sum()
+                    sums[k, j, :, 5] += (treated == j).sum()
+        if sums[:, :, 0, 5].any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(studies), dtype=np.int32)), pa.array([x.tobytes() for x in sums], pa.binary())], ["study", "sums"])
+
+    def judge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            for raw in b.column("sums").to_pylist():
+                total += np.frombuffer(raw, np.float64).reshape(shape)
+        t = np.abs(study_t(total))
+        wild = (np.count_nonzero(t[1:] >= t[0]) + 1) / (replicates + 1) < 0.05
+        yield pa.RecordBatch.from_arrays([pa.array([studies[key[0].as_py()][0]]), pa.array([int(wild)], pa.int64()), pa.array([int(t[0] > 1.95996)], pa.int64())], ["effect", "wild", "asymptotic"])
+
+    keyed = spread(sizes.filter("n > 0").select(F.xxhash64(F.lit(seed), "cluster_id").alias("key"), F.col("n").cast("long").alias("n"), F.col("treated").cast("boolean").alias("treated")))
+    judged = keyed.mapInArrow(run, "study int, sums binary").groupBy("study").applyInArrow(judge, "effect double, wild long, asymptotic long")
+    return judged.groupBy("effect").agg(F.count(F.lit(1)).alias("trials"), F.sum("wild").alias("wild"), F.sum("asymptotic").alias("asymptotic"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..functions import patterns as P
 from ..functions import stats, text
 from ..functions.text import BUCKETS
@@ -190,22 +191,33 @@ def homogeneity(spark: SparkSession, d: str) -> DataFrame:
     return _round(t, 6, "x2", "dispersion", "p")
 
 
+#: No effect, and those that the smallest detectable one is looked for among.
+EFFECTS = [0.0, 0.05, 0.10, 0.15, 0.20, 0.30, 0.45, 0.60]
+
+
+def _study_split(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of the EXCLUDE scenario in two halves; cut, as they are read several times and a few bytes each."""
+    s = R.scenario_sizes(spark, d).filter("scenario = 'EXCLUDE'").select("cluster_id", "n")
+    return cut(cells.half_split(cut(s, "study-sizes"), "n", "cluster_id"), "study-split")
+
+
+def _rejections(split: DataFrame) -> DataFrame:
+    return resample.power(split, EFFECTS, 60, 0.05, {"ran_small": 0.30, "true_to_size": 0.53, "ran_large": 0.17}, 199)
+
+
 def wild_power(spark: SparkSession, d: str) -> DataFrame:
     """Rejection rates of simulated studies with the clusters of the EXCLUDE scenario, with Wilson intervals."""
-    s = R.scenario_sizes(spark, d).filter("scenario = 'EXCLUDE'").select("cluster_id", "n")
-    split = cells.half_split(s, "n", "cluster_id")
-    r = resample.rejection_rates(resample.simulated(split, [0.0, 0.2, 0.4], 20, 0.05, {"ran_small": 0.30, "true_to_size": 0.53, "ran_large": 0.17}), 99)
+    r = _rejections(_study_split(spark, d))
     low, high = stats.wilson(F.col("wild"), F.col("trials"))
     return _round(r.withColumn("low", low).withColumn("high", high), 6, "low", "high")
 
 
 def detectable_effect(spark: SparkSession, d: str) -> DataFrame:
     """The smallest simulated effect found in 80 % of the studies (null if none is), beside what the formula says."""
-    s = R.scenario_sizes(spark, d).filter("scenario = 'EXCLUDE'").select("cluster_id", "n")
-    split = cells.half_split(s, "n", "cluster_id")
+    split = _study_split(spark, d)
     m = cells.size_moments(split, "n", "treated").withColumn("deff", stats.design_effect(F.col("m_bar"), 0.05, F.coalesce("cv", F.lit(0.0))))
     formula = m.agg((F.lit(stats.multiplier()) * F.sqrt(F.sum(F.col("deff") / F.col("n_obs")))).alias("formula"))
-    found = wild_power(spark, d).agg(F.min(F.when((F.col("effect") > 0) & (F.col("wild") >= 0.8 * F.col("trials")), F.col("effect"))).alias("simulated"))
+    found = _rejections(split).agg(F.min(F.when((F.col("effect") > 0) & (F.col("wild") >= 0.8 * F.col("trials")), F.col("effect"))).alias("simulated"))
     return _round(found.crossJoin(formula), 6, "formula")
 
 

@@ -197,3 +197,39 @@ def test_precision_and_recall(spark):
     m = spark.createDataFrame([("c", SMALL, SMALL, 6), ("c", SMALL, "none", 2), ("c", RIGHT, SMALL, 2)], "corpus string, truth string, guess string, n long")
     r = {x.bucket: x for x in validation.precision_recall(m).collect()}
     assert (r[SMALL].precision, r[SMALL].recall) == (0.75, 0.75) and (r[LARGE].precision, r[LARGE].recall, r[LARGE].f1) == (0.0, 0.0, 0.0)
+
+
+def test_power_equals_observation_level(spark):
+    """Sums per task against regressions over single clusters with the same outcomes and signs."""
+    import numpy as np
+
+    rng = random.Random(5)
+    shares = {SMALL: 0.3, RIGHT: 0.53, LARGE: 0.17}
+    rows = [(f"c{k}", rng.choice([1, 2, 3, 5, 40]), k % 2 == 0) for k in range(30)]
+    df = spark.createDataFrame(rows, "cluster_id string, n long, treated boolean")
+    got = {r.effect: (r.trials, r.wild, r.asymptotic) for r in resample.power(df, [0.0, 0.45], 6, 0.05, shares, 99).collect()}
+    key = np.array([r[0] for r in df.select(F.xxhash64(F.lit("7"), "cluster_id")).collect()], np.int64).view(np.uint64)
+    n, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    for effect in (0.0, 0.45):
+        wild = asymptotic = 0
+        for trial in range(6):
+            keys = resample.study_keys(key, effect, trial)
+            y = resample.study_outcomes(keys, n, x, effect, 0.05, shares) / n
+            signs, t = resample.study_signs(keys, 99), []
+            xb, u = np.average(x, weights=n), y - np.average(y, weights=n)
+            sxx = (n * (x - xb) ** 2).sum()
+            for w in signs:
+                beta = (n * (x - xb) * w * u).sum() / sxx
+                e = w * u - np.average(w * u, weights=n) - beta * (x - xb)
+                t.append(abs(beta) / np.sqrt(len(n) / (len(n) - 1) * ((n * (x - xb) * e) ** 2).sum() / sxx**2))
+            wild += (sum(s >= t[0] - 1e-9 for s in t[1:]) + 1) / 100 < 0.05
+            asymptotic += t[0] > 1.95996
+        assert got[effect] == (6, wild, asymptotic)
+    assert abs(np.mean(signs[1:])) < 0.1 and set(np.unique(signs)) == {-1.0, 1.0}
+
+
+def test_detectable_effect_has_the_whole_grid(spark, data):
+    from seamline.plans import measures
+
+    got = {r.effect: r.trials for r in measures.wild_power(spark, data).collect()}
+    assert got == {e: 60 for e in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6)}
