@@ -57,7 +57,7 @@ def rules() -> Iterable[tuple[str, str, str]]:
         if kind == "Zs":
             yield "space", ch, " "
             continue
-        if (kind == "Cf" and cp not in DRAWN and not 0xE0020 <= cp <= 0xE007F) or cp in INVISIBLE or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or (kind == "Cc" and cp != 0x85):
+        if (kind == "Cf" and cp not in DRAWN) or cp in INVISIBLE or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF or (kind == "Cc" and cp != 0x85):
             yield "invisible", ch, ""
             continue
         parts = unicodedata.decomposition(ch).split()
@@ -138,8 +138,9 @@ class Transducer:
         if len(c) == 1 and " " <= c <= "~":
             return c
         if self.emoji.search(c):
-            kept = c.rstrip(ZWJ)  # a joiner that joins nothing is no part of the emoji
-            return kept
+            tags = c[0] == "\U0001f3f4"  # flags spelled with tag characters
+            kept = "".join(x for x in c if x in (ZWJ, VS15, VS16) or tags and "\U000e0020" <= x <= "\U000e007f" or self.trie.get(x, {}).get("") != "")
+            return kept.rstrip(ZWJ)  # a joiner that joins nothing is no part of the emoji
         tail = ""
         if c[-1] in (ZWNJ, ZWJ) and self.joined_script.match(c):
             c, tail = c[:-1], c[-1]  # such joiners are spelling there

@@ -83,3 +83,9 @@ def test_columns(spark):
     out = {r.review_id: (r.title, r.text) for r in forms.with_consistent_form(df, {"title": "title", "text": "text"}).collect()}
     assert out == {1: ("ok", "fine"), 2: (None, ""), 3: ("tank", None), 4: ("a" * 200_000 + "é", "   ")}
     assert forms.changed_values(df.limit(0), "review_id", ["title"]).count() == 0
+
+
+def test_invisible_characters_beside_emoji_and_tags():
+    flag = "\U0001f3f4\U000e0067\U000e0062\U000e007f"
+    for written, meant in [("a\U000e0041b", "ab"), ("\U0001f44d\u034f", "\U0001f44d"), ("\u00a9\u200c", "\u00a9"), ("\U0001f44d\U000e0041", "\U0001f44d"), (flag, flag), ("3\ufe0f", "3")]:
+        assert one(written) == meant
