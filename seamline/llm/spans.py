@@ -1,11 +1,11 @@
 """Long stretches of text that stand verbatim in more than one document.
 
-Fixed-block anchors: every document's text is cut into blocks that don't overlap, half as long as the stretches looked
-for, so any such stretch contains a whole block. The blocks are the index. Every rolling window of every document is
-probed against it through a Bloom filter, and windows whose hash really occurs in a second document are anchors. Around
-an anchor the text on both sides decides how far the repeat goes: anchors whose surroundings repeat as a whole are
-shared as a whole; at the edges of repeats the single windows of the wanted length are compared. The shared characters
-are the union of what was found, which gives each maximal exact repeat without ever pairing documents.
+Anchors by content: every rolling window of the wanted length is stood for by the one of its blocks, half as long, whose
+rolling hash is smallest. Neighbouring windows mostly share that block, so about one character in 75 carries an anchor,
+and a window has the same anchor at the same place wherever it is repeated. Anchors are grouped by their hash, which
+takes one scan of the texts and no filter, however many texts there are. Those in two documents are then extended: the
+text on both sides either stands around the same anchor in another document as a whole, or is compared with the other
+texts around that anchor character by character, which gives the maximal exact repeat.
 """
 
 from __future__ import annotations
@@ -23,18 +23,16 @@ from ..operators.skew import attach_groups
 
 #: Characters of a shared stretch, at least.
 LEAST = 300
-#: Bits of the filter for each block; so many keep the share of false hits near 1 in 10,000.
-BITS_PER_BLOCK = 16
-#: Bits of one filter at most (64 MB), which bounds what is broadcast. More blocks are probed in several rounds.
-MAX_BITS = 1 << 29
-#: The filter is built and sent in so many slices.
-SLICES = 64
+#: Different surroundings of one anchor that are compared in one go; more are split by the text next to the anchor.
+TOGETHER = 48
 #: Characters hashed in one go.
 CHUNK = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+#: Low bits that hold a block's place beside the upper bits of its hash; a chunk and its overlap have fewer places.
+_PLACE = _U((1 << 24) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -77,191 +75,212 @@ def rolling_hashes(codes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
-    for b in batches:
-        ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-        for k, doc in enumerate(ids):
-            if (t := texts[k].as_py()):
-                yield doc, t
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, from running minima inside stretches of that width."""
+    n = len(x)
+    if width == 1:
+        return x
+    filled = np.full(-(-n // width) * width, np.iinfo(_U).max, _U)
+    filled[:n] = x
+    rows = filled.reshape(-1, width)
+    ahead = np.minimum.accumulate(rows, axis=1).ravel()
+    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def _rows(schema: list[tuple[str, pa.DataType]], cols: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for (_, t), c in zip(schema, cols, strict=True)], [n for n, _ in schema])
+def anchors(codes: np.ndarray, ends: np.ndarray, width: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the blocks that stand for some window of `least` characters lying inside one text.
 
+    `codes` are texts one after the other, `ends` where each of them ends. Which block stands for a window depends on the
+    window's characters only; the first of several equal ones is taken.
+    """
+    starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+    places, hashes = [], []
+    for at in range(0, max(len(codes) - least + 1, 0), CHUNK):
+        part = codes[at : at + CHUNK + least - 1]
+        h = rolling_hashes(part, width)
+        low = sliding_minimum((h & ~_PLACE) | np.arange(len(h), dtype=_U), least - width + 1)
+        # windows that reach into the next text stand for nothing
+        step = np.zeros(len(low) + 1, np.int32)
+        lo, hi = np.clip(starts - at, 0, len(low)), np.clip(ends - least + 1 - at, 0, len(low))
+        some = hi > lo
+        np.add.at(step, lo[some], 1)
+        np.add.at(step, hi[some], -1)
+        chosen = (low[np.cumsum(step[:-1]) > 0] & _PLACE).astype(np.int64)
+        chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])] if len(chosen) else chosen
+        places.append(chosen + at)
+        hashes.append(h[chosen])
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, _U)
+    found, first = np.unique(np.concatenate(places), return_index=True)
+    return found, np.concatenate(hashes)[first]
+
+
+def _record(columns: list[tuple[str, pa.DataType]], values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for (_, t), v in zip(columns, values, strict=True)], [n for n, _ in columns])
+
+
+def _anchors(docs: DataFrame, width: int, least: int) -> DataFrame:
+    """(h, doc_id, row, at) of every anchor of docs (doc_id, row, text); `row` tells texts of one document apart."""
+    columns = [("h", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32())]
+
+    def found(texts, ids, rows):
+        codes = code_points("".join(texts))
+        ends = np.cumsum([len(t) for t in texts])
+        places, h = anchors(codes, ends, width, least)
+        k = np.searchsorted(ends, places, "right")
+        return _record(columns, [h.view(np.int64), ids[k], rows[k], (places - np.concatenate([[0], ends])[k]).astype(np.int32)])
 
-def _batched(rows: Iterator[tuple[np.ndarray, ...]], schema: list[tuple[str, pa.DataType]], most: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Record batches of some `most` rows from tuples of equally long arrays."""
-    cols, n = [[] for _ in schema], 0
-    for parts in rows:
-        if not len(parts[0]):
-            continue
-        for c, p in zip(cols, parts, strict=True):
-            c.append(p)
-        n += len(parts[0])
-        if n >= most:
-            yield _rows(schema, cols)
-            cols, n = [[] for _ in schema], 0
-    if n:
-        yield _rows(schema, cols)
-
-
-class Filter:
-    """A Bloom filter whose slices can be built apart: a hash's slice comes from its top bits."""
-
-    def __init__(self, bits: np.ndarray, slice_bits: int, rounds: int, turn: int):
-        self.bits, self.slice_bits, self.rounds, self.turn = bits, slice_bits, rounds, turn
-
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Positions of the hashes that may be in the index."""
-        at = np.arange(len(h)) if self.rounds == 1 else np.flatnonzero(round_of(h, self.rounds) == self.turn)
-        for k in range(3):
-            bit = slice_of(h[at]).astype(np.int64) * self.slice_bits + bit_of(h[at], k, self.slice_bits)
-            at = at[(self.bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-        return at
-
-
-def slice_of(h: np.ndarray) -> np.ndarray:
-    return h >> _U(58)
-
+    def run(batches):
+        for b in batches:
+            ids, rows = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "row"))
+            texts, since, size = [], 0, 0
+            for k, t in enumerate(b.column("text").to_pylist()):
+                texts.append(t)
+                size += len(t)
+                if size >= CHUNK:
+                    yield found(texts, ids[since : k + 1], rows[since : k + 1])
+                    texts, since, size = [], k + 1, 0
+            if texts:
+                yield found(texts, ids[since:], rows[since:])
 
-def bit_of(h: np.ndarray, k: int, slice_bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (_mix(h + _U(0x632BE59BD9B4E019) * _U(k + 1)) & _U(slice_bits - 1)).astype(np.int64)
+    return docs.mapInArrow(run, "h long, doc_id long, row long, at int")
 
 
-def round_of(h: np.ndarray, rounds: int) -> np.ndarray:
-    return ((h >> _U(20)) & _U(0xFFFFFFFF)) % _U(rounds)
+def _signed(digest: int) -> int:
+    return digest - (1 << 64) if digest >> 63 else digest
 
 
-def filter_size(blocks: int) -> tuple[int, int]:
-    """(bits of a slice, rounds) for so many blocks."""
-    rounds = max(1, -(-blocks * BITS_PER_BLOCK // MAX_BITS))
-    bits = 1 << max(16, (-(-blocks * BITS_PER_BLOCK // rounds) - 1).bit_length())
-    return min(bits, MAX_BITS) // SLICES, rounds
+_CONTEXT = "h long, doc_id long, row long, at int, c1 long, c2 long, l int, r int"
 
 
-def _filter(blocks: DataFrame, slice_bits: int, rounds: int, turn: int) -> np.ndarray:
-    """The filter's bits of one round, set bit by bit in one group per slice and gathered slice by slice (64 MB at most)."""
+def _surroundings(docs: DataFrame, shared: DataFrame, width: int, least: int) -> DataFrame:
+    """`shared` (h, doc_id, row, at) with c1 and c2, a 128-bit hash of the text from l characters before the anchor to r
+    behind it: all that a window of `least` characters holding the anchor can reach inside the text."""
+    side = least - width
 
-    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(slice_bits // 8, np.uint8)
+    def run(batches):
         for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False).view(_U)
-            for k in range(3):
-                bit = bit_of(h, k, slice_bits)
-                np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["slice", "bits"])
+            out = [[] for _ in range(8)]
+            for doc, row, text, places in zip(*(b.column(c).to_pylist() for c in ("doc_id", "row", "text", "places")), strict=True):
+                codes = code_points(text)
+                data, n = codes.tobytes(), len(codes)
+                for p in places:
+                    at = p["at"]
+                    lo, hi = max(at - side, 0), min(at + width + side, n)
+                    d = xxhash.xxh3_128_intdigest(data[4 * lo : 4 * hi])
+                    for o, v in zip(out, (p["h"], doc, row, at, _signed(d >> 64), _signed(d & (1 << 64) - 1), at - lo, hi - at - width), strict=True):
+                        o.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield _record(list(zip(("h", "doc_id", "row", "at", "c1", "c2", "l", "r"), kinds, strict=True)), out)
 
-    mine = blocks.filter(F.col("turn") == turn) if rounds > 1 else blocks
-    got = mine.select("slice", "h").groupBy("slice").applyInArrow(build, "slice int, bits binary").collect()
-    bits = np.zeros((SLICES, slice_bits // 8), np.uint8)
-    for r in got:
-        bits[r["slice"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return bits.reshape(-1)
+    of_text = shared.groupBy("doc_id", "row").agg(F.collect_set(F.struct("h", "at")).alias("places"))  # bounded by the text's length
+    return docs.join(of_text, ["doc_id", "row"]).select("doc_id", "row", "text", "places").mapInArrow(run, _CONTEXT)
 
 
-def _blocks(docs: DataFrame, width: int, rounds: int) -> DataFrame:
-    """(h, slice, turn) of every block, each hash once for a task's batch of documents."""
-    schema = [("h", pa.int64()), ("slice", pa.int32()), ("turn", pa.int32())]
+def _with_text(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(h, c1, c2, l, r, doc_id, twice, n, text) of contexts `asked`, each with the text around its first place."""
+    kept = ("h", "c1", "c2", "l", "r", "at", "twice", "n")
+    of_text = asked.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*kept)).alias("places"))
+    each = docs.join(of_text, ["doc_id", "row"]).select("doc_id", "row", "text", F.explode("places").alias("p"))
+    around = F.expr(f"substring(text, p.at - p.l + 1, p.l + {width} + p.r)")
+    return each.select(*[f"p.{c}" for c in kept if c != "at"], "doc_id", around.alias("text"))
 
-    def run(batches):
-        def one():
-            for b in batches:
-                found = [np.empty(0, _U)]
-                for _, text in _texts(iter([b])):
-                    codes = code_points(text)
-                    n = len(codes) // width
-                    if n:
-                        found.append(block_hashes(codes, width))
-                h = np.unique(np.concatenate(found))
-                yield h.view(np.int64), slice_of(h).astype(np.int32), round_of(h, rounds).astype(np.int32)
-
-        yield from _batched(one(), schema)
-
-    return docs.mapInArrow(run, "h long, slice int, turn int")
-
-
-def block_hashes(codes: np.ndarray, width: int) -> np.ndarray:
-    """The hashes that rolling_hashes gives at multiples of `width`."""
-    n = len(codes) // width
-    cut_ = codes[: n * width].reshape(n, width)
-    with np.errstate(over="ignore"):
-        return _mix((_mix(cut_.astype(_U) + _U(1)) * _power(width, "up")).sum(axis=1, dtype=_U))
 
+def reach(lefts: np.ndarray, k: int) -> np.ndarray:
+    """How many leading codes of row `k` each row of a matrix shares."""
+    same = lefts == lefts[k]
+    return np.where(same.all(axis=1), lefts.shape[1], same.argmin(axis=1))
 
-def _signed(digest: int) -> int:
-    return digest - (1 << 64) if digest >> 63 else digest
 
+def compared(contexts: list[dict], width: int, least: int) -> Iterator[tuple[int, int, int]]:
+    """(position in the list, characters before the anchor, behind the anchor's start) that a context shares with others.
 
-def _anchors(docs: DataFrame, index_of, width: int, least: int) -> DataFrame:
-    """(h, doc_id, at, around, reach) of every window that may be a block of some document.
-
-    around: hash of the text from least - width characters before the window to as many behind it, as far as the document
-    goes, and of where the window stands in it; reach: the length of that text. Blocks of the document itself hit, too.
+    A context that stands in one document (`twice` false) is held against all contexts of other documents: a stretch
+    counts if with the anchor it has `least` characters or more, and the furthest ends on both sides are given.
     """
-    schema = [("h", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("around", pa.int64()), ("reach", pa.int32())]
-    side = least - width
+    side, n = least - width, len(contexts)
+    left = np.empty((n, side), np.int64)
+    right = np.empty((n, side), np.int64)
+    left[:] = right[:] = -1 - np.arange(n)[:, None]  # beyond a text's end nothing is equal
+    for k, c in enumerate(contexts):
+        codes = code_points(c["text"])
+        left[k, : c["l"]] = codes[: c["l"]][::-1]
+        right[k, : c["r"]] = codes[len(codes) - c["r"] :]
+    docs = np.array([c["doc_id"] for c in contexts])
+    twice = np.array([c["twice"] for c in contexts])
+    for k in np.flatnonzero(~twice).tolist():
+        before, behind = reach(left, k), reach(right, k)
+        good = (twice | (docs != docs[k])) & (before + behind >= side)
+        good[k] = False
+        if good.any():
+            yield k, int(before[good].max()), width + int(behind[good].max())
+
+
+_EDGE = "h long, c1 long, c2 long, l int, r int, before int, behind int"
+
+
+def _compare(rows: DataFrame, width: int, least: int) -> DataFrame:
+    """(h, c1, c2, l, r, before, behind) from contexts of groups (g1, g2) of at most TOGETHER rows."""
 
     def run(batches):
-        index = index_of()
-
-        def one():
-            for doc, text in _texts(batches):
-                codes = code_points(text)
-                h = rolling_hashes(codes, width)
-                at = index.hits(h)
-                if not len(at):
-                    continue
-                data, n = codes.tobytes(), len(codes)
-                lo, hi = np.maximum(at - side, 0), np.minimum(at + width + side, n)
-                around = [_signed(xxhash.xxh3_64_intdigest(data[4 * a : 4 * b], seed=int(p - a))) for a, b, p in zip(lo.tolist(), hi.tolist(), at.tolist(), strict=True)]
-                yield h[at].view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32), np.array(around, np.int64), (hi - lo).astype(np.int32)
-
-        yield from _batched(one(), schema)
-
-    return docs.mapInArrow(run, "h long, doc_id long, at int, around long, reach int")
-
+        for b in batches:
+            out = []
+            for group in b.column("group"):
+                contexts = group.as_py()
+                if len(contexts) > 1:
+                    out += [(*(contexts[k][c] for c in ("h", "c1", "c2", "l", "r")), before, behind) for k, before, behind in compared(contexts, width, least)]
+            if out:
+                kinds = [pa.int64()] * 3 + [pa.int32()] * 4
+                yield _record(list(zip(("h", "c1", "c2", "l", "r", "before", "behind"), kinds, strict=True)), list(zip(*out, strict=True)))
 
-def _in_two_documents(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n) of the groups with rows of at least two documents; combined before the shuffle."""
-    g = rows.groupBy(*keys).agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("n"))
-    return g.filter("_lo <> _hi").drop("_lo", "_hi")
+    group = F.collect_list(F.struct("h", "c1", "c2", "l", "r", "doc_id", "twice", "text")).alias("group")
+    return rows.groupBy("g1", "g2").agg(group).select("group").mapInArrow(run, _EDGE)
 
 
-def _edge_windows(docs: DataFrame, marks: DataFrame, least: int) -> DataFrame:
-    """(g1, g2, doc_id, at) of windows of `least` characters, by `marks` (doc_id, kind, lo, hi) on where they may start.
+def _split(rows: DataFrame, width: int, least: int) -> DataFrame:
+    """Each row twice: grouped by half of what may follow to the left, and by half of what may follow to the right.
 
-    kind 0: wanted; 1: known to be shared, so not wanted after all; 2: wanted in any case.
+    A window that holds the group's common text goes on far enough on one of the two sides.
     """
-    schema = [("g1", pa.int64()), ("g2", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32())]
-
-    def run(batches):
-        def one():
-            for b in batches:
-                ids, texts, of_doc = b.column("doc_id").to_pylist(), b.column("text"), b.column("marks")
-                for k, doc in enumerate(ids):
-                    codes = code_points(texts[k].as_py())
-                    data, n = codes.tobytes(), len(codes)
-                    wanted = np.zeros(max(n - least + 1, 0), bool)
-                    for kind, lo, hi in sorted((m["kind"], m["lo"], m["hi"]) for m in of_doc[k].as_py()):
-                        wanted[lo : hi + 1] = kind != 1
-                    at = np.flatnonzero(wanted)
-                    g = [xxhash.xxh3_128_intdigest(data[4 * p : 4 * (p + least)]) for p in at.tolist()]
-                    low = (1 << 64) - 1
-                    yield np.array([_signed(x >> 64) for x in g], np.int64), np.array([_signed(x & low) for x in g], np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)
-
-        yield from _batched(one(), schema)
-
-    # a document's own marks: bounded by its length. Documents without a wanted window are left out.
-    grouped = marks.groupBy("doc_id").agg(F.collect_set(F.struct("kind", "lo", "hi")).alias("marks")).filter(F.exists("marks", lambda m: m["kind"] != 1))
-    return docs.join(grouped, "doc_id").select("doc_id", "text", "marks").mapInArrow(run, "g1 long, g2 long, doc_id long, at int")
+    open_ = F.lit(least - width) - F.col("el") - F.col("er")
+    half = F.ceil(open_ / 2).cast("int")
+    side = lambda el, er: F.struct(el.cast("int").alias("el"), er.cast("int").alias("er"))
+    sides = F.explode(F.array(side(F.col("el") + half, F.col("er")), side(F.col("el"), F.col("er") + open_ - half + 1)))
+    both = rows.withColumn("s", sides).select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "s.el", "s.er")
+    both = both.filter(f"el <= l and er <= r and el + er <= {least - width}")
+    core = F.md5(F.expr(f"encode(substring(text, l - el + 1, el + {width} + er), 'utf-8')"))
+    key = lambda at: F.conv(F.substring(core, at, 15), 16, 10).cast("long")
+    return both.withColumn("g1", F.xxhash64("h", "el", key(1))).withColumn("g2", key(16))
+
+
+def _edges(rows: DataFrame, width: int, least: int) -> DataFrame:
+    """(h, c1, c2, l, r, before, behind) of the contexts of one document that share a stretch with another one's.
+
+    `rows`: contexts with text, and in `n` how many contexts their anchor has. Groups of more than TOGETHER contexts are
+    split by the text next to what they have in common, in halves of what is open, until the common text is a whole
+    window: about log2(least) steps, whatever the groups' sizes, and only for rows of such groups.
+    """
+    rows = cut(rows.select(F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "h", "c1", "c2", "l", "r", "doc_id", "twice", "text", F.lit(0).alias("el"), F.lit(0).alias("er"), "n"), "contexts")
+    out = _compare(rows.filter(F.col("n") <= TOGETHER), width, least)
+    large = rows.filter(F.col("n") > TOGETHER)
+    while not large.isEmpty():
+        parts = cut(_split(large, width, least), "parts")
+        sizes = parts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("twice").alias("some"), F.min("twice").alias("all"))
+        sizes = sizes.filter("(lo <> hi or some) and n > 1 and not all").select("g1", "g2", "n")
+        parts = cut(attach_groups(parts, sizes, ["g1", "g2"], "n"), "sized-parts")
+        whole = F.col("el") + F.col("er") == least - width
+        out = out.unionByName(parts.filter(whole & ~F.col("twice")).select("h", "c1", "c2", "l", "r", F.col("el").alias("before"), (F.col("er") + width).alias("behind")))
+        out = out.unionByName(_compare(parts.filter(~whole & (F.col("n") <= TOGETHER)), width, least))
+        large = parts.filter(~whole & (F.col("n") > TOGETHER))
+    return out
 
 
 def merged(pieces: DataFrame) -> DataFrame:
     """Maximal runs (doc_id, span_from, span_to) of the union of pieces (doc_id, lo, hi)."""
     ordered = Window.partitionBy("doc_id").orderBy("lo")
-    reach = F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    starts = pieces.withColumn("starts", (reach.isNull() | (F.col("lo") > reach)).cast("int"))
+    reach_ = F.max("hi").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    starts = pieces.withColumn("starts", (reach_.isNull() | (F.col("lo") > reach_)).cast("int"))
     runs = starts.withColumn("run", F.sum("starts").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     spans = runs.groupBy("doc_id", "run").agg(F.min("lo").alias("span_from"), F.max("hi").alias("span_to"))
     return spans.select("doc_id", F.col("span_from").cast("long").alias("span_from"), F.col("span_to").cast("long").alias("span_to"))
@@ -274,46 +293,30 @@ def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     `docs`: doc_id long, text string; other columns are ignored. A doc_id on several rows is one document, so a stretch
     repeated between its rows is no case. Null, empty and short texts share nothing; copies of one text by any number of
     documents are each shared whole. Characters compare by code point.
+
+    The texts are scanned three times: for their anchors, for the surroundings of anchors in two documents, and for the
+    text of those surroundings that don't repeat as a whole. No step's number of scans grows with the texts.
     """
     if least < 2:
         raise ValueError("least must be 2 or more")
     width = (least + 1) // 2
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") >= least)
-    spark = docs.sparkSession
-    n_blocks = docs.agg(F.coalesce(F.sum(F.floor(F.length("text") / F.lit(width))), F.lit(0)).alias("n")).first()["n"]
-    slice_bits, rounds = filter_size(n_blocks)
-    blocks = _blocks(docs, width, rounds)
-    if rounds > 1:
-        blocks = cut(blocks, "blocks")
-    hits = None
-    for turn in range(rounds):
-        probe = spark.sparkContext.broadcast(_filter(blocks, slice_bits, rounds, turn))
-        found = cut(_anchors(docs, lambda probe=probe, turn=turn: Filter(probe.value, slice_bits, rounds, turn), width, least), "anchors")
-        probe.unpersist()
-        hits = found if hits is None else hits.unionByName(found)
-
-    anchors = cut(attach_groups(hits, _in_two_documents(hits, ["h"]), ["h"], "n").drop("n"), "shared-anchors")
-    around = ["h", "around", "reach"]
-    one = F.struct("doc_id", "at")
-    alike = anchors.filter(F.col("reach") >= least).groupBy(*around).agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count(F.lit(1)).alias("n"))
-    alike = cut(alike.withColumn("twice", F.col("lo.doc_id") != F.col("hi.doc_id")), "surroundings")
-    placed = attach_groups(anchors, alike.select(*around, "n", "twice"), around, "n")
-    start = F.greatest(F.col("at") - (least - width), F.lit(0))
-    pieces = cut(placed.filter("twice").select("doc_id", start.alias("lo"), (start + F.col("reach")).alias("hi")).distinct(), "pieces")
-    # An edge may repeat text whose surroundings elsewhere repeat as a whole: two documents stand for all of those. Any
-    # other window inside a document's own whole pieces is known already; text that equals it elsewhere has the piece's
-    # anchor, too, and meets those two documents there.
-    with_edge = alike.groupBy("h").agg(F.min("twice").alias("no_edge"), F.count(F.when(F.col("twice"), 1)).alias("m")).filter("not no_edge and m > 0").select("h", "m")
-    stand_ins = attach_groups(alike.filter("twice").select("h", "lo", "hi"), with_edge, ["h"], "m").select(F.explode(F.array("lo", "hi")).alias("x")).select("x.doc_id", "x.at")
-    mark = lambda df, kind, lo, hi: df.select("doc_id", F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
-    marks = (
-        mark(placed.filter("not twice"), 0, start, F.col("at"))
-        .unionByName(mark(pieces, 1, F.col("lo"), F.col("hi") - least))
-        .unionByName(mark(stand_ins, 2, start, F.col("at")))
-    )
-    windows = cut(_edge_windows(docs, marks, least), "edge-windows")
-    repeated = attach_groups(windows, _in_two_documents(windows, ["g1", "g2"]), ["g1", "g2"], "n")
-    return merged(pieces.unionByName(repeated.select("doc_id", F.col("at").alias("lo"), (F.col("at") + least).alias("hi"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").filter((F.length("text") >= least) & F.col("doc_id").isNotNull())
+    every = cut(_anchors(docs, width, least), "anchors")
+    groups = every.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("h", "n")
+    shared = attach_groups(every, groups, ["h"], "n").drop("n")
+    placed = cut(_surroundings(docs, shared, width, least), "surroundings")
+
+    context = ["h", "c1", "c2", "l", "r"]
+    first = F.min(F.struct("doc_id", "row", "at")).alias("first")
+    alike = cut(placed.groupBy(*context).agg(first, F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("twice", F.col("first.doc_id") != F.col("hi")), "alike")
+    whole = attach_groups(placed, alike.filter("twice").select(*context, "n"), context, "n").select("doc_id", (F.col("at") - F.col("l")).alias("lo"), (F.col("at") + width + F.col("r")).alias("hi"))
+
+    open_groups = alike.groupBy("h").agg(F.min("twice").alias("settled"), F.count(F.lit(1)).alias("n")).filter("not settled and n > 1").select("h", "n")
+    asked = attach_groups(alike.select(*context, "first", "twice"), open_groups, ["h"], "n").select(*context, "first.*", "twice", "n")
+    edges = _edges(_with_text(docs, asked, width), width, least)
+    # contexts of one document: their places are bounded by its length
+    partly = placed.join(edges, context).select("doc_id", (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("behind")).alias("hi"))
+    return merged(whole.unionByName(partly).distinct())
 
 
 def shared_shares(docs: DataFrame, spans: DataFrame) -> DataFrame:
