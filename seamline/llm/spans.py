@@ -25,6 +25,8 @@ from ..operators.skew import attach_groups
 LEAST = 300
 #: Different surroundings of one anchor that are compared in one go; more are split by the text next to the anchor.
 TOGETHER = 48
+#: Contexts of a large group, of different documents, that all its other contexts are held against first.
+PIVOTS = 4
 #: Characters hashed in one go.
 CHUNK = 1 << 20
 
@@ -238,17 +240,65 @@ def _compare(rows: DataFrame, width: int, least: int) -> DataFrame:
     return rows.groupBy("g1", "g2").agg(group).select("group").mapInArrow(run, _EDGE)
 
 
+def common(a: str, b: str) -> int:
+    """Length of the common start of two texts."""
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[lo:mid] == b[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def _against_pivots(large: DataFrame, width: int, least: int) -> DataFrame:
+    """`large` with what each context shares with the pivots of its group: `cover`, for each pivot the windows (by the
+    characters before the anchor) that stand in both, and in before and behind the reach of those of other documents."""
+    side = least - width
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))  # pivots of different buckets are of different documents
+    pivot = [F.min(F.when(bucket == k, F.struct("doc_id", "twice", "l", "text"))) for k in range(PIVOTS)]
+    groups = large.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.filter(F.array(*pivot), lambda x: x.isNotNull()).alias("pivots"))
+    rows = attach_groups(large.drop("n"), groups, ["g1", "g2"], "n")
+    names = ["cover", "before", "behind"]
+    kinds = [pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])), pa.int32(), pa.int32()]
+
+    def run(batches):
+        for b in batches:
+            cover, reach_ = [], []
+            sides: dict[tuple[str, int], tuple[str, str]] = {}
+            for doc, l, text, pivots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "l", "text", "pivots")), strict=True):
+                left, right = text[:l][::-1], text[l + width :]
+                mine, best = [], [None, None]
+                for p in pivots:
+                    key = p["text"], p["l"]
+                    if key not in sides:
+                        sides[key] = p["text"][: p["l"]][::-1], p["text"][p["l"] + width :]
+                    before, behind = common(left, sides[key][0]), common(right, sides[key][1])
+                    if before + behind >= side:
+                        mine.append({"lo": side - behind, "hi": before})
+                        if p["twice"] or p["doc_id"] != doc:
+                            best = [max(best[0] or 0, before), max(best[1] or 0, behind + width)]
+                cover.append(mine)
+                reach_.append(best)
+            kept = [b.column(k) for k, c in enumerate(b.schema.names) if c != "pivots"]
+            made = [pa.array(v, t) for v, t in zip((cover, *zip(*reach_, strict=True)), kinds, strict=True)] if cover else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays(kept + made, [c for c in b.schema.names if c != "pivots"] + names)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("pivots").schema.fields)
+    return rows.mapInArrow(run, f"{fields}, cover array<struct<lo:int,hi:int>>, before int, behind int")
+
+
 def _split(rows: DataFrame, width: int, least: int) -> DataFrame:
     """Each row twice: grouped by half of what may follow to the left, and by half of what may follow to the right.
 
-    A window that holds the group's common text goes on far enough on one of the two sides.
+    A window that holds the group's common text goes on far enough on one of the two sides. A half whose windows all
+    stand in two pivots is left out: any other context with such a window has met a pivot of another document.
     """
     open_ = F.lit(least - width) - F.col("el") - F.col("er")
     half = F.ceil(open_ / 2).cast("int")
     side = lambda el, er: F.struct(el.cast("int").alias("el"), er.cast("int").alias("er"))
     sides = F.explode(F.array(side(F.col("el") + half, F.col("er")), side(F.col("el"), F.col("er") + open_ - half + 1)))
-    both = rows.withColumn("s", sides).select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "s.el", "s.er")
+    both = rows.withColumn("s", sides).select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "cover", "s.el", "s.er")
     both = both.filter(f"el <= l and er <= r and el + er <= {least - width}")
+    both = both.filter(f"size(filter(cover, c -> c.lo <= el and c.hi >= {least - width} - er)) < 2")
     core = F.md5(F.expr(f"encode(substring(text, l - el + 1, el + {width} + er), 'utf-8')"))
     key = lambda at: F.conv(F.substring(core, at, 15), 16, 10).cast("long")
     return both.withColumn("g1", F.xxhash64("h", "el", key(1))).withColumn("g2", key(16))
@@ -263,7 +313,8 @@ def _edges(rows: DataFrame, width: int, least: int) -> DataFrame:
     """
     rows = cut(rows.select(F.col("h").alias("g1"), F.lit(0).cast("long").alias("g2"), "h", "c1", "c2", "l", "r", "doc_id", "twice", "text", F.lit(0).alias("el"), F.lit(0).alias("er"), "n"), "contexts")
     out = _compare(rows.filter(F.col("n") <= TOGETHER), width, least)
-    large = rows.filter(F.col("n") > TOGETHER)
+    large = cut(_against_pivots(rows.filter(F.col("n") > TOGETHER), width, least), "large-groups")
+    out = out.unionByName(large.filter(~F.col("twice") & F.col("before").isNotNull()).select("h", "c1", "c2", "l", "r", "before", "behind"))
     while not large.isEmpty():
         parts = cut(_split(large, width, least), "parts")
         sizes = parts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("twice").alias("some"), F.min("twice").alias("all"))
