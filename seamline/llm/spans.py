@@ -27,6 +27,8 @@ LEAST = 300
 TOGETHER = 48
 #: Contexts of a large group, of different documents, that all its other contexts are held against first.
 PIVOTS = 4
+#: Parts that such a group's windows are split into at a time.
+PARTS = 4
 #: Characters hashed in one go.
 CHUNK = 1 << 20
 
@@ -287,21 +289,21 @@ def _against_pivots(large: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def _split(rows: DataFrame, width: int, least: int) -> DataFrame:
-    """Each row twice: grouped by half of what may follow to the left, and by half of what may follow to the right.
+    """Each row once for every PARTS-th of its group's windows, grouped by the text that all windows of a part hold.
 
-    A window that holds the group's common text goes on far enough on one of the two sides. A half whose windows all
-    stand in two pivots is left out: any other context with such a window has met a pivot of another document.
+    A group's windows start from el characters before the anchor to `least` - width - er. A part whose windows all stand
+    in two pivots is left out: any other context with such a window has met a pivot of another document.
     """
-    open_ = F.lit(least - width) - F.col("el") - F.col("er")
-    half = F.ceil(open_ / 2).cast("int")
-    side = lambda el, er: F.struct(el.cast("int").alias("el"), er.cast("int").alias("er"))
-    sides = F.explode(F.array(side(F.col("el") + half, F.col("er")), side(F.col("el"), F.col("er") + open_ - half + 1)))
-    both = rows.withColumn("s", sides).select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "cover", "s.el", "s.er")
-    both = both.filter(f"el <= l and er <= r and el + er <= {least - width}")
-    both = both.filter(f"size(filter(cover, c -> c.lo <= el and c.hi >= {least - width} - er)) < 2")
-    core = F.md5(F.expr(f"encode(substring(text, l - el + 1, el + {width} + er), 'utf-8')"))
-    key = lambda at: F.conv(F.substring(core, at, 15), 16, 10).cast("long")
-    return both.withColumn("g1", F.xxhash64("h", "el", key(1))).withColumn("g2", key(16))
+    side = least - width
+    last = F.lit(side) - F.col("er")
+    step = F.ceil((last - F.col("el") + 1) / PARTS).cast("int")
+    part = lambda lo: F.struct(lo.cast("int").alias("el"), (F.lit(side) - F.least(lo + step - 1, last)).cast("int").alias("er"))
+    parts = F.explode(F.transform(F.sequence(F.col("el"), last, step), part)).alias("s")
+    both = rows.filter(F.col("el") <= last).select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "cover", "el", "er", parts)
+    both = both.select("h", "c1", "c2", "l", "r", "doc_id", "twice", "text", "cover", "s.el", "s.er").filter("el <= l and er <= r")
+    both = both.filter(f"size(filter(cover, c -> c.lo <= el and c.hi >= {side} - er)) < 2")
+    core = F.expr(f"substring(text, l - el + 1, el + {width} + er)")
+    return both.withColumn("g1", F.xxhash64("h", "el", "er", core)).withColumn("g2", F.xxhash64(F.lit(1), core))
 
 
 def _edges(rows: DataFrame, width: int, least: int) -> DataFrame:
