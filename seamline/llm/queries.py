@@ -131,6 +131,31 @@ dg AS (SELECT doc_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM dw, LAT
 ig AS (SELECT item_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p) WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
+#: All pairs of distinct values and names instead of prefixes; added words by taking each word away in turn.
+P5_SQL = r"""
+WITH obj AS (SELECT item_id, details FROM metadata WHERE CASE WHEN json_valid(details) THEN json_type(details) = 'OBJECT' ELSE false END),
+kv AS (SELECT item_id, regexp_replace(lower(regexp_replace(e.key, '^[\s\x{A0}]+|[\s\x{A0}:]+$', '', 'g')), '\s+', ' ', 'g') AS attr, e.value->>'$' AS value, row_number() OVER (PARTITION BY item_id) AS place
+       FROM obj, LATERAL (SELECT * FROM json_each(obj.details)) e),
+typed AS (SELECT item_id, attr, value FROM kv WHERE attr IN ('brand', 'color', 'material') AND regexp_replace(value, '[\s\x{A0}]+', '', 'g') <> ''
+          QUALIFY row_number() OVER (PARTITION BY item_id, attr ORDER BY place) = 1),
+val AS (SELECT attr, value, regexp_extract_all(lower(strip_accents(value)), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT attr, value FROM typed)),
+form AS (SELECT DISTINCT canon_id, attr, regexp_extract_all(lower(strip_accents(f)), '[\p{L}\p{N}]+') AS w FROM (SELECT canon_id, attr, unnest(list_append(coalesce(aliases, []), canonical)) AS f FROM canon_ref)),
+gone AS (SELECT attr, unnest(w) AS word, list_sort(list_distinct(w)) AS s FROM val WHERE len(w) BETWEEN 2 AND 12),
+added AS (SELECT g.attr, g.word FROM gone g JOIN form f ON g.attr = f.attr AND list_filter(g.s, lambda x: x <> g.word) = list_sort(list_distinct(f.w)) GROUP BY g.attr, g.word HAVING count(DISTINCT canon_id) >= 3),
+extra AS (SELECT attr, list(word) AS words FROM added a WHERE NOT EXISTS (SELECT 1 FROM form f WHERE f.attr = a.attr AND list_contains(f.w, a.word)) GROUP BY attr),
+cut AS (SELECT v.attr, v.value, v.w, list_filter(v.w, lambda x: NOT list_contains(coalesce(e.words, []), x)) AS k FROM val v LEFT JOIN extra e ON v.attr = e.attr),
+bare AS (SELECT attr, value, CASE WHEN len(k) > 0 THEN k ELSE w END AS w FROM cut),
+vt AS (SELECT attr, value, w, array_to_string(w, '') AS t, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('_' || x || '_', i, 2))))) AS g FROM bare WHERE len(w) > 0),
+ft AS (SELECT canon_id, attr, w, array_to_string(w, '') AS t, list_distinct(flatten(list_transform(w, lambda x: list_transform(range(1, len(x) + 2), lambda i: substr('_' || x || '_', i, 2))))) AS g FROM form WHERE len(w) > 0),
+met AS (SELECT v.attr, v.value, v.t AS vt, f.t AS ft, f.w AS fw, canon_id, len(list_intersect(v.g, f.g)) AS c, len(v.g) + len(f.g) AS b FROM vt v JOIN ft f ON v.attr = f.attr),
+near AS (SELECT *, c / (b - c) AS j FROM met WHERE c / (b - c) >= 1 / 3),
+turn AS (SELECT *, array_to_string(list_concat(fw[i:], fw[:i - 1]), '') AS o FROM (SELECT *, unnest(range(1, len(fw) + 1)) AS i FROM near)),
+diff AS (SELECT attr, value, vt, ft, canon_id, j, min(CASE WHEN levenshtein(vt, o) = 2 AND list_sort(string_split(vt, '')) = list_sort(string_split(o, '')) THEN 1 ELSE levenshtein(vt, o) END) / greatest(length(vt), length(ft)) AS share FROM turn GROUP BY attr, value, vt, ft, canon_id, j),
+best AS (SELECT attr, value, CASE WHEN share <= 0.25 AND (regexp_replace(ft, '\P{N}', '', 'g') = '' OR regexp_replace(ft, '\P{N}', '', 'g') = regexp_replace(vt, '\P{N}', '', 'g')) THEN canon_id ELSE -1 END AS canon_id
+         FROM diff QUALIFY row_number() OVER (PARTITION BY attr, value ORDER BY j DESC, share, canon_id) = 1)
+SELECT t.item_id, t.attr, {value}coalesce(b.canon_id, -1) AS canon_id FROM typed t LEFT JOIN best b ON t.attr = b.attr AND t.value = b.value
+"""
+
 P8_SQL = """
 WITH g AS (SELECT doc_id, p, md5(substr(text, p, 300)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 298)) AS p) WHERE length(text) >= 300),
 s AS (SELECT h FROM g GROUP BY 1 HAVING min(doc_id) <> max(doc_id)), k AS (SELECT doc_id, p - 1 AS lo, p + 299 AS hi FROM g WHERE h IN (SELECT h FROM s)),
@@ -140,6 +165,8 @@ sp AS (SELECT doc_id, min(lo) AS span_from, max(hi) AS span_to FROM r GROUP BY d
 """
 
 ORACLE = {
+    "p5_values": P5_SQL.replace("{value}", "t.value, "),
+    "p5_found": P5_SQL.replace("{value}", "") + " WHERE NOT EXISTS (SELECT 1 FROM canon_ref c WHERE c.attr = t.attr AND c.canonical = t.value)",
     "p3_found": P3_SQL,
     "p6_found": P6_SQL,
     "p8_found": P8_SQL + "SELECT doc_id, span_from, span_to FROM sp",
