@@ -1,24 +1,42 @@
-"""Records that are the same but for spacing, letter case, punctuation or the order of their fields."""
+"""Records that are the same but for spacing, letter case, punctuation, the characters used or the order of their fields."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..cuts import cut
 from ..operators.skew import attach_groups
+from . import forms
 
 FIELDS = ("user_id", "asin", "text")
 
 
+def _one_case(value: Column) -> Column:
+    """Going over upper case makes letters equal whose case pairs meet only there, such as the dotless i. The step between
+    the two also keeps the optimizer from taking the lower case of the upper case for the lower case."""
+    return F.lower(F.translate(F.upper(F.coalesce(value, F.lit(""))), "İ", "I"))
+
+
 def bare(value: Column) -> Column:
-    """Letters and digits of a value without regard to case; null counts as empty.
+    """Letters and digits of a value without regard to case; null counts as empty."""
+    return F.regexp_replace(_one_case(value), r"[^\p{L}\p{N}]+", "")
+
 
-    Going over upper case makes letters equal whose case pairs meet only there, such as the dotless i. The step between
-    the two also keeps the optimizer from taking the lower case of the upper case for the lower case.
+def spaced(value: Column) -> Column:
+    """Words and numbers of a value without regard to case, one space between them; null counts as empty.
+
+    A point, comma, colon, slash or hyphen between two digits stays, so 1.5 is neither 15 nor 1 5. Marks on letters stay.
     """
-    upper = F.translate(F.upper(F.coalesce(value, F.lit(""))), "İ", "I")
-    return F.regexp_replace(F.lower(upper), r"[^\p{L}\p{N}]+", "")
+    kept = F.regexp_replace(_one_case(value), r"(?<=\p{N})([.,:/\-])(?=\p{N})", "\x01$1\x01")
+    return F.trim(F.regexp_replace(F.regexp_replace(kept, r"(?<!\x01)[^\p{L}\p{M}\p{N}\x01]+(?!\x01)", " "), "\x01", ""))
+
+
+def signs(value: Column) -> Column:
+    """A value without letters and digits: its signs, with one space for any white space."""
+    return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
 
 
 def parsed_lines(df: DataFrame, line_id: str, payload: str) -> DataFrame:
@@ -31,28 +49,50 @@ def parsed_lines(df: DataFrame, line_id: str, payload: str) -> DataFrame:
     return df.filter(whole).select(F.col(line_id).alias("id"), read.alias("r")).filter("r is not null and r._broken is null").select("id", *[f"r.{f}" for f in FIELDS])
 
 
-def fingerprints(records: DataFrame) -> DataFrame:
-    """(id, print, check) of every record whose text has a letter or digit.
+def consistent(records: DataFrame) -> DataFrame:
+    """The records with every field in its consistent characters: widths, accents, spaces, look-alikes."""
+    return forms.with_consistent_form(records.select("id", *FIELDS), {f: f for f in FIELDS})
 
-    `print` is a 128-bit hash of the bare fields, `check` an independent 64-bit one. Both are part of a group's key:
-    records that collide in `print` alone are kept apart, and hash_collisions() lists them.
+
+def fingerprints(records: DataFrame, form: Callable[[Column], Column] = bare) -> DataFrame:
+    """(id, print, check, worded) of every record; worded: its text has a letter or digit.
+
+    `print` is a 128-bit hash of the fields in the form, `check` an independent 64-bit one, and both look at whether there
+    are words: texts of signs only compare by their signs. Null and empty texts are equal.
     """
-    c = records.select("id", *[bare(F.col(f)).alias(f) for f in FIELDS]).filter("text <> ''")
-    return c.select("id", F.unhex(F.md5(F.concat_ws("\x1f", *FIELDS))).alias("print"), F.xxhash64(*FIELDS).alias("check"))
+    text = form(F.col("text"))
+    c = records.select("id", form(F.col("user_id")).alias("user_id"), form(F.col("asin")).alias("asin"), text.alias("text"), F.col("text").alias("_raw"))
+    worded = F.col("text") != ""
+    whole = [F.col("user_id"), F.col("asin"), F.when(worded, F.col("text")).otherwise(signs(F.col("_raw"))), worded.cast("string")]
+    return c.select("id", F.unhex(F.md5(F.concat_ws("\x1f", *whole))).alias("print"), F.xxhash64(*whole).alias("check"), worded.alias("worded"))
 
 
 def copy_groups(prints: DataFrame) -> DataFrame:
-    """One row per group: print, check, first_id (the smallest) and n_copies. Counts are combined before the shuffle."""
-    return prints.groupBy("print", "check").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
+    """One row per group: print, check, first_id (the smallest), n_copies, worded and collided.
+
+    Counts are combined before the shuffle, by print alone. A print with different checks is a collision: its records are
+    counted again by print and check, so they are kept apart, and `collided` tells. `prints` is read twice: pass a
+    written table.
+    """
+    by_print = prints.groupBy("print").agg(
+        F.min("check").alias("check"), F.max("check").alias("_last"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("worded").alias("worded")
+    )
+    one = by_print.filter(F.col("check") == F.col("_last")).drop("_last")
+    apart = prints.join(by_print.filter(F.col("check") != F.col("_last")).select("print"), "print").groupBy("print", "check")
+    apart = apart.agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("worded").alias("worded"))
+    return one.withColumn("collided", F.lit(False)).unionByName(apart.withColumn("collided", F.lit(True)))
+
 
+def counted(records: DataFrame, form: Callable[[Column], Column] = bare) -> DataFrame:
+    """(first_id, n_copies, collided) of every group of records that are the same in the form; an empty table gives none."""
+    return copy_groups(cut(fingerprints(records, form), "prints")).select("first_id", "n_copies", "collided")
 
-def hash_collisions(groups: DataFrame) -> DataFrame:
-    """Prints shared by groups that the check hash tells apart."""
-    return groups.groupBy("print").agg(F.count(F.lit(1)).alias("n_groups")).filter("n_groups > 1")
 
+def copies(records: DataFrame, form: Callable[[Column], Column] = bare) -> DataFrame:
+    """(first_id, copy_id): each record of a group but its first, whatever the group's size.
 
-def copies(records: DataFrame) -> DataFrame:
-    """(first_id, copy_id): each record of a group but its first, whatever the group's size."""
-    prints = cut(fingerprints(records), "prints")
-    groups = cut(copy_groups(prints).filter("n_copies > 1"), "copy-groups")
+    Records whose text has no letter or digit are no copies of each other.
+    """
+    prints = cut(fingerprints(records, form), "prints").filter("worded")
+    groups = cut(copy_groups(prints).filter("n_copies > 1").select("print", "check", "first_id", "n_copies"), "copy-groups")
     return attach_groups(prints, groups, ["print", "check"], "n_copies").filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))

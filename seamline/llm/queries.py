@@ -31,8 +31,13 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_records(spark: SparkSession, d: str) -> DataFrame:
-    """One record per group, with its number of copies."""
-    return copies.copy_groups(copies.fingerprints(_records(spark, d))).select("first_id", "n_copies")
+    """One record per group, with its number of copies, by the same rule; texts of signs only compare by their signs."""
+    return copies.counted(_records(spark, d))
+
+
+def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """The same with characters in their consistent form first, words kept apart and marks inside numbers kept."""
+    return copies.counted(copies.consistent(_records(spark, d)), copies.spaced)
 
 
 P4_SQL = r"""
@@ -41,8 +46,9 @@ rec AS (SELECT review_id id, user_id, asin, text FROM review
         UNION ALL SELECT id, payload->>'$.user_id', payload->>'$.asin', payload->>'$.text' FROM f),
 bare AS (SELECT id, regexp_replace(lower(upper(coalesce(user_id, ''))), '[^\p{L}\p{N}]+', '', 'g') u,
                 regexp_replace(lower(upper(coalesce(asin, ''))), '[^\p{L}\p{N}]+', '', 'g') a,
-                regexp_replace(lower(upper(coalesce(text, ''))), '[^\p{L}\p{N}]+', '', 'g') t FROM rec),
-g AS (SELECT u, a, t, min(id) first_id, count(*) n_copies FROM bare WHERE t <> '' GROUP BY 1, 2, 3)
+                regexp_replace(lower(upper(coalesce(text, ''))), '[^\p{L}\p{N}]+', '', 'g') t, trim(regexp_replace(coalesce(text, ''), '[\s\x{A0}]+', ' ', 'g')) s FROM rec),
+g AS (SELECT u, a, t, min(id) first_id FROM bare WHERE t <> '' GROUP BY 1, 2, 3),
+n AS (SELECT min(id) first_id, count(*) n_copies, false AS collided FROM bare GROUP BY u, a, t, CASE WHEN t = '' THEN s END)
 """
 
 ATTRS = ["brand", "color", "material"]
@@ -113,7 +119,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _PICTURE = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?"
 _OTHER = r"\p{Cyrillic}\p{Greek}\p{Armenian}"
@@ -173,5 +179,5 @@ ORACLE = {
     "p8_shares": P8_SQL + """SELECT d.doc_id, length(text) AS n_chars, coalesce(sum(span_to - span_from), 0) AS n_shared, count(span_to) AS n_spans,
 CASE WHEN length(text) > 0 THEN round(coalesce(sum(span_to - span_from), 0) / length(text), 6) ELSE 0.0 END AS share FROM documents d LEFT JOIN sp ON d.doc_id = sp.doc_id GROUP BY d.doc_id, text""",
     "p4_found": P4_SQL + "SELECT g.first_id, b.id AS copy_id FROM bare b JOIN g ON b.u = g.u AND b.a = g.a AND b.t = g.t WHERE b.id <> g.first_id",
-    "p4_records": P4_SQL + "SELECT first_id, n_copies FROM g",
+    "p4_records": P4_SQL + "SELECT first_id, n_copies, collided FROM n",
 }
