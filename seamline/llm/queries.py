@@ -22,7 +22,7 @@ def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
     review = spread(table(spark, d, "review")).select(F.col("review_id").alias("id"), *copies.FIELDS)
-    return review.unionByName(copies.parsed_lines(table(spark, d, "review_feed"), "line_id", "payload"))
+    return copies.consistent(review.unionByName(copies.parsed_lines(table(spark, d, "review_feed"), "line_id", "payload")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,9 +35,9 @@ def p4_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.counted(_records(spark, d))
 
 
-def p4_consistent(spark: SparkSession, d: str) -> DataFrame:
-    """The same with characters in their consistent form first, words kept apart and marks inside numbers kept."""
-    return copies.counted(copies.consistent(_records(spark, d)), copies.spaced)
+def p4_worded(spark: SparkSession, d: str) -> DataFrame:
+    """The same with words kept apart and marks inside numbers kept, so 1.5 and 15 differ."""
+    return copies.counted(_records(spark, d), copies.spaced)
 
 
 P4_SQL = r"""
@@ -119,7 +119,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_shares(docs, spans.shared_spans(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p4_consistent": p4_consistent, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p4_found": p4_found, "p4_records": p4_records, "p4_worded": p4_worded, "p5_found": p5_found, "p5_values": p5_values, "p6_found": p6_found, "p6_paraphrases": p6_paraphrases, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p7_exact_shares": p7_exact_shares, "p8_found": p8_found, "p8_shares": p8_shares}
 
 _PICTURE = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?"
 _OTHER = r"\p{Cyrillic}\p{Greek}\p{Armenian}"
