@@ -67,20 +67,21 @@ def fingerprints(records: DataFrame, form: Callable[[Column], Column] = bare) ->
     return c.select("id", F.unhex(F.md5(F.concat_ws("\x1f", *whole))).alias("print"), F.xxhash64(*whole).alias("check"), worded.alias("worded"))
 
 
-def copy_groups(prints: DataFrame) -> DataFrame:
-    """One row per group: print, check, first_id (the smallest), n_copies, worded and collided.
+def copy_groups(prints: DataFrame, least: int = 1) -> DataFrame:
+    """One row per group of `least` or more: print, check, first_id (the smallest), n_copies, worded and collided.
 
-    Counts are combined before the shuffle, by print alone. A print with different checks is a collision: its records are
-    counted again by print and check, so they are kept apart, and `collided` tells. `prints` is read twice: pass a
-    written table.
+    Counts are combined before the shuffle, by print alone, and written once. A print with different checks is a collision:
+    where there is one, its records are counted again by print and check, so they are kept apart, and `collided` tells.
+    `prints` may be read twice: pass a written table.
     """
-    by_print = prints.groupBy("print").agg(
-        F.min("check").alias("check"), F.max("check").alias("_last"), F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("worded").alias("worded")
-    )
-    one = by_print.filter(F.col("check") == F.col("_last")).drop("_last")
-    apart = prints.join(by_print.filter(F.col("check") != F.col("_last")).select("print"), "print").groupBy("print", "check")
-    apart = apart.agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("worded").alias("worded"))
-    return one.withColumn("collided", F.lit(False)).unionByName(apart.withColumn("collided", F.lit(True)))
+    figures = [F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("worded").alias("worded")]
+    by_print = cut(prints.groupBy("print").agg(F.min("check").alias("check"), F.max("check").alias("_last"), *figures).filter(F.col("n_copies") >= least), "copy-groups")
+    collided = by_print.filter(F.col("check") != F.col("_last")).select("print")
+    one = by_print.filter(F.col("check") == F.col("_last")).drop("_last").withColumn("collided", F.lit(False))
+    if collided.isEmpty():
+        return one
+    apart = prints.join(collided, "print").groupBy("print", "check").agg(*figures).filter(F.col("n_copies") >= least)
+    return one.unionByName(apart.withColumn("collided", F.lit(True)))
 
 
 def counted(records: DataFrame, form: Callable[[Column], Column] = bare) -> DataFrame:
@@ -94,5 +95,5 @@ def copies(records: DataFrame, form: Callable[[Column], Column] = bare) -> DataF
     Records whose text has no letter or digit are no copies of each other.
     """
     prints = cut(fingerprints(records, form), "prints").filter("worded")
-    groups = cut(copy_groups(prints).filter("n_copies > 1").select("print", "check", "first_id", "n_copies"), "copy-groups")
+    groups = copy_groups(prints, 2).select("print", "check", "first_id", "n_copies")
     return attach_groups(prints, groups, ["print", "check"], "n_copies").filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
