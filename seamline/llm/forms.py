@@ -1,8 +1,10 @@
 """One consistent form for text that looks the same but is written with different characters.
 
-A transducer is compiled once from rules and small fixed tables: a trie over code points that gives the longest match
-within a grapheme cluster. One pass over the clusters of a text replaces widths, joined letter forms, accents apart
-from their letter, spaces and invisible characters; letters of another alphabet are replaced inside Latin words only.
+A transducer is compiled once from the Unicode data: a trie over code points that gives the longest match within a
+grapheme cluster. One pass over the clusters of a text replaces widths, joined letter forms, accents apart from their
+letter, spaces and invisible characters. Look-alikes, letters of another alphabet with or without an accent, are in the
+same trie with a second form that holds inside Latin words only. They come from the Unicode confusables that the JVM's
+ICU library has, and from a small fixed table of letters that only readers confuse.
 """
 
 from __future__ import annotations
@@ -12,12 +14,11 @@ import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Letters of other alphabets that look like a Latin letter.
+# Letters of other alphabets that look like a Latin letter. They hold without the Unicode confusables, too.
 LOOK_ALIKES = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -40,9 +41,18 @@ DRAWN = [0x0600, 0x0601, 0x0602, 0x0603, 0x0604, 0x0605, 0x06DD, 0x070F, 0x0890,
 #: Decompositions that only change a character's drawing.
 DRAWING_TAGS = ("<wide>", "<narrow>", "<font>", "<isolated>", "<initial>", "<medial>", "<final>")
 
+#: Alphabets whose letters stand in for Latin ones.
+ALPHABETS = ["Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic", "Georgian", "Lisu"]
+
 ZWNJ, ZWJ, VS15, VS16 = "‌", "‍", "︎", "️"
 
 
+LATIN = "in a Latin word"
+_alphabet = regex.compile("[" + "".join(rf"\p{{{a}}}" for a in ALPHABETS) + "]")
+_is_latin = regex.compile(r"\p{Latin}")
+_known: dict[str, dict[str, str]] = {}
+
+
 class MappingConflict(ValueError):
     """Two rules give one sequence different forms, or a form would itself be rewritten."""
 
@@ -79,34 +89,83 @@ def rules() -> Iterable[tuple[str, str, str]]:
         yield "invisible", chr(cp), ""
 
 
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """Letters of ALPHABETS that have the same skeleton as a Latin letter in the Unicode confusables, and that letter, of
+    the same case where both cases look alike. Empty where the JVM has no ICU library."""
+    if "confusables" not in _known:
+        letters = [ch for ch in map(chr, range(0x80, 0x20000)) if unicodedata.category(ch)[0] == "L" and _alphabet.match(ch)]
+        latin = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+        try:
+            checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+            skeletons = checker.getSkeleton("\n".join(latin + letters)).split("\n")
+        except Exception:  # noqa: BLE001 - another JVM may come without the library
+            skeletons = []
+        of_latin: dict[str, list[str]] = {}
+        for ch, skeleton in zip(latin, skeletons, strict=False):
+            of_latin.setdefault(skeleton, []).append(ch)
+        _known["confusables"] = {
+            ch: next((x for x in of_latin[sk] if x.isupper() != ch.islower()), of_latin[sk][0])
+            for ch, sk in zip(letters, skeletons[len(latin) :], strict=False) if sk in of_latin
+        }
+    return _known["confusables"]
+
+
+def look_alike_rules(table: dict[str, str]) -> Iterable[tuple[str, str, str]]:
+    """(rule, sequence, form) of look-alikes, alone and with each accent that the Latin letter can bear, however it is
+    spelled."""
+    accents: dict[str, list[tuple[str, str]]] = {}
+    for cp in range(0xC0, 0x1F00):
+        parts = unicodedata.decomposition(chr(cp)).split()
+        if len(parts) == 2 and parts[0][0] != "<" and (base := chr(int(parts[0], 16))).isascii():
+            accents.setdefault(base, []).append((chr(int(parts[1], 16)), chr(cp)))
+    for ch, latin in table.items():
+        yield "look-alike", ch, latin
+        for mark, whole in accents.get(latin, []):
+            yield "look-alike", ch + mark, whole
+            if len(one := unicodedata.normalize("NFC", ch + mark)) == 1 and one not in table:
+                yield "look-alike", one, whole
+
+
 def compile_trie(entries: Iterable[tuple[str, str, str]]) -> dict:
-    """The trie of all sequences; a node's form is under the key "". Raises MappingConflict."""
-    forms: dict[str, str] = {}
+    """The trie of all sequences; a node's form is under the key "", its form inside a Latin word under LATIN.
+
+    Raises MappingConflict where two rules give a sequence different forms, where a form would itself be rewritten, or
+    where a look-alike is a Latin letter already.
+    """
+    forms: dict[str, dict[str, str]] = {"": {}, LATIN: {}}
     for rule, seq, form in entries:
-        if forms.setdefault(seq, form) != form:
-            raise MappingConflict(f"{rule}: {seq!r} becomes both {forms[seq]!r} and {form!r}")
-    for seq, form in forms.items():
-        again = "".join(forms.get(x, x) for x in form)
-        if again != form:
-            raise MappingConflict(f"{seq!r} becomes {form!r}, which becomes {again!r}")
+        where = forms[LATIN if rule == "look-alike" else ""]
+        if where.setdefault(seq, form) != form:
+            raise MappingConflict(f"{rule}: {seq!r} becomes both {where[seq]!r} and {form!r}")
+        if rule == "look-alike" and _is_latin.match(seq):
+            raise MappingConflict(f"{seq!r} is Latin")
+    for kind, where in forms.items():
+        for seq, form in where.items():
+            again = "".join(forms[""].get(x, forms[LATIN].get(x, x) if kind else x) for x in form)
+            if again != form:
+                raise MappingConflict(f"{seq!r} becomes {form!r}, which becomes {again!r}")
     trie: dict = {}
-    for seq, form in forms.items():
-        node = trie
-        for ch in seq:
-            node = node.setdefault(ch, {})
-        node[""] = form
+    for kind, where in forms.items():
+        for seq, form in where.items():
+            node = trie
+            for ch in seq:
+                node = node.setdefault(ch, {})
+            node[kind] = form
     return trie
 
 
-def clusterwise(cluster: str, trie: dict) -> str:
-    """The cluster with every longest match replaced."""
+def clusterwise(cluster: str, trie: dict, latin: bool = False) -> str:
+    """The cluster with every longest match replaced; look-alikes, too, inside a Latin word."""
     out, i, n = [], 0, len(cluster)
     while i < n:
         node, j, found, to = trie, i, None, i + 1
         while j < n and (node := node.get(cluster[j])) is not None:
             j += 1
-            if "" in node:
-                found, to = node[""], j
+            form = node.get(LATIN) if latin else None
+            if form is None:
+                form = node.get("")
+            if form is not None:
+                found, to = form, j
         out.append(cluster[i] if found is None else found)
         i = to
     return "".join(out)
@@ -118,23 +177,21 @@ class Transducer:
     #: The code points that may need a look; the JVM tests it too, so it is written for both dialects.
     SUSPECT = r"[^\t\n\x0b\x0c\r\x20-\x7e]"
 
-    def __init__(self):
-        self.trie = compile_trie(rules())
-        foreign = [x for x in LOOK_ALIKES if regex.match(r"\p{Latin}", x)]
-        if foreign:
-            raise MappingConflict(f"already Latin: {foreign}")
-        self.look_alike = str.maketrans(LOOK_ALIKES)
+    def __init__(self, more: dict[str, str] | None = None):
+        self.table = (more or {}) | LOOK_ALIKES
+        self.trie = compile_trie([*rules(), *look_alike_rules(self.table)])
         # stretches of clusters that hold at least one suspect; plain text between them is never touched
         self.stretch = regex.compile(r"(?:[\p{L}\p{M}]|\p{Cf})*[^\t\n\x0b\x0c\r\x20-\x7e](?:[^\t\n\x0b\x0c\r\x20-\x7e]|[\p{L}\p{M}])*")
         self.cluster = regex.compile(r"\X")
         self.emoji = regex.compile(r"[\p{Extended_Pictographic}\p{Regional_Indicator}⃣]|[0-9#*]️")
         self.joined_script = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Mongolian}\p{Nko}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Oriya}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Tibetan}]")
-        self.word = regex.compile(r"[\p{L}\p{M}]+")
+        self.letter = regex.compile(r"[\p{L}\p{M}]")
         self.mark = regex.compile(r"\p{M}")
-        self.latin = regex.compile(r"\p{Latin}")
-        self.other = regex.compile(r"(?=\p{L})[^\p{Latin}\p{Common}\p{Inherited}]")
+        self.latin = _is_latin
+        self.other = regex.compile(rf"(?=\p{{L}}){_alphabet.pattern}")
+        self.word = regex.compile(r"[\p{L}\p{M}]+")
 
-    def _cluster(self, c: str) -> str:
+    def _cluster(self, c: str, latin: bool = False) -> str:
         if len(c) == 1 and " " <= c <= "~":
             return c
         if self.emoji.search(c):
@@ -144,25 +201,48 @@ class Transducer:
         tail = ""
         if c[-1] in (ZWNJ, ZWJ) and self.joined_script.match(c):
             c, tail = c[:-1], c[-1]  # such joiners are spelling there
-        done = clusterwise(c, self.trie)
+        done = clusterwise(c, self.trie, latin)
         if len(done) > 1:
             whole = unicodedata.normalize("NFC", done)  # marks in another order, or two on one letter
             done = whole
         return done + tail
 
-    def _word(self, m) -> str:
-        w = m.group()
-        others = self.other.findall(w)
-        if others and self.latin.search(w) and all(x in LOOK_ALIKES for x in others):
-            return w.translate(self.look_alike)
-        return w
+    def _others(self, word: str) -> tuple[int, int]:
+        """Letters that are Latin or look like it, none without a Latin one, and letters of other alphabets that don't."""
+        others = self.other.findall(word)
+        strange = sum(clusterwise(x, self.trie, True) == x for x in others)
+        own = len(self.latin.findall(word))
+        return (own + len(others) - strange if own else 0), strange
+
+    def _in_latin_words(self, clusters: list[str]) -> list[bool]:
+        """For each cluster whether it is part of a Latin word, one with at least twice as many letters that are or look
+        Latin as others; invisible characters don't end a word. Replacing look-alikes doesn't change the figures."""
+        belongs = lambda x: self.letter.match(x) or self.trie.get(x, {}).get("") == ""
+        out, k = [False] * len(clusters), 0
+        while k < len(clusters):
+            to = k
+            while to < len(clusters) and belongs(clusters[to][0]):
+                to += 1
+                if not all(map(belongs, clusters[to - 1])):
+                    break  # such as a skin tone behind a letter
+            if to > k:
+                own, strange = self._others("".join(clusterwise(c, self.trie) for c in clusters[k:to]))
+                out[k:to] = [own > 0 and own >= 2 * strange] * (to - k)
+            k = max(to, k + 1)
+        return out
 
     def _stretch(self, m) -> str:
-        done = "".join(map(self._cluster, self.cluster.findall(m.group())))
-        done = self.word.sub(self._word, done)
-        # a mark may have met its letter only now that what stood between them is gone, or the letter was replaced
+        text = m.group()
+        clusters = self.cluster.findall(text)
+        latin = self._in_latin_words(clusters) if self.other.search(text) else [False] * len(clusters)
+        done = "".join(map(self._cluster, clusters, latin))
+        # a mark may have met its letter only now that what stood between them is gone
         return unicodedata.normalize("NFC", done) if self.mark.search(done) else done
 
+    def unmapped(self, text: str | None) -> bool:
+        """Whether a word with at least as many Latin letters holds one of another alphabet that has no look-alike."""
+        return bool(text and self.other.search(text) and any(0 < strange <= own for own, strange in map(self._others, self.word.findall(text))))
+
     def consistent(self, text: str | None) -> str | None:
         """None stays None, an empty text empty."""
         if not text:
@@ -170,19 +250,15 @@ class Transducer:
         return self.stretch.sub(self._stretch, text)
 
 
-_made: list[Transducer] = []
-
-
-def transducer() -> Transducer:
-    """This process's compiled transducer."""
-    if not _made:
-        _made.append(Transducer())
-    return _made[0]
+_made: dict[int, Transducer] = {}
 
 
-def _rewrite(values: list[str | None]) -> list[str | None]:
-    one = transducer().consistent
-    return [one(v) for v in values]
+def transducer(more: dict[str, str] | None = None) -> Transducer:
+    """This process's compiled transducer for a table of further look-alikes."""
+    key = hash(frozenset((more or {}).items()))
+    if key not in _made:
+        _made[key] = Transducer(more)
+    return _made[key]
 
 
 def with_consistent_form(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -192,9 +268,11 @@ def with_consistent_form(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     as they are; a result column that is already there is replaced.
     """
 
+    more = confusables(df.sparkSession)
+
     @F.pandas_udf("string")
     def form(s):
-        return s.map(transducer().consistent, na_action="ignore")
+        return s.map(transducer(more).consistent, na_action="ignore")
 
     for source, result in columns.items():
         c = F.col(source)
@@ -203,16 +281,21 @@ def with_consistent_form(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def changed_values(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, fld) of each text value that isn't in its consistent form, with the form. Nulls and empty texts are none."""
+    """(key, fld) of each text value that isn't in its consistent form, with the form. Nulls and empty texts are none.
+
+    Values with a letter of another alphabet inside a Latin word come out in any case; one without a look-alike stays.
+    """
+    more = confusables(df.sparkSession)
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("fld"), F.col(c).alias("value")) for c in columns])).alias("x")
     suspects = df.select(F.col(key), each).select(F.col(key).alias("key"), "x.fld", "x.value").filter(F.col("value").rlike(Transducer.SUSPECT))
 
     def changed(batches):
         for b in batches:
             old = b.column("value").to_pylist()
-            new = _rewrite(old)
-            out = b.append_column("form", pa.array(new, pa.string()))
-            yield out.filter(pc.not_equal(out.column("value"), out.column("form"))).select(["key", "fld", "form"])
+            one = transducer(more)
+            new = [one.consistent(v) for v in old]
+            found = [a != b or one.unmapped(b) for a, b in zip(old, new, strict=True)]
+            yield b.append_column("form", pa.array(new, pa.string())).filter(pa.array(found, pa.bool_())).select(["key", "fld", "form"])
 
     kind = df.schema[key].dataType.simpleString()
     return suspects.mapInArrow(changed, f"key {kind}, fld string, form string").select(F.col("key").alias(key), "fld", "form")

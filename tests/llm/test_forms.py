@@ -89,3 +89,22 @@ def test_invisible_characters_beside_emoji_and_tags():
     flag = "\U0001f3f4\U000e0067\U000e0062\U000e007f"
     for written, meant in [("a\U000e0041b", "ab"), ("\U0001f44d\u034f", "\U0001f44d"), ("\u00a9\u200c", "\u00a9"), ("\U0001f44d\U000e0041", "\U0001f44d"), (flag, flag), ("3\ufe0f", "3")]:
         assert one(written) == meant
+
+
+def test_confusables(spark):
+    more = forms.confusables(spark)
+    assert len(more) > 100 and more["\u13a0"] == "D" and more["\u0430"] == "a" and more["\u0406"] == "I"
+    t = forms.transducer(more)
+    for written, meant in [("\u13a0pple", "Dpple"), ("\u0455\u0435\u0445\u043e", "\u0455\u0435\u0445\u043e"), ("n\u0430\u0308ve", "n\u00e4ve"), ("c\u03bf\u0301mo", "c\u00f3mo"), ("p\u0430p\u044der", "pap\u044der")]:
+        assert t.consistent(written) == meant and t.consistent(meant) == meant, written
+    assert t.unmapped("pap\u044der") and not t.unmapped("\u0440\u0430\u0437 size") and not t.unmapped("\u044d\u044d\u044da")
+    rng = random.Random(4)
+    pool = "abcXYZ é" + "аеорсухіјѕΑΒοινρразмерэщ" + "\u0301\u0308\u200b" + "ﬀｔ" + "\u13a0\u2c9f"
+    for _ in range(3000):
+        s = "".join(rng.choices(pool, k=rng.randrange(1, 14)))
+        assert t.consistent(t.consistent(s)) == t.consistent(s), repr(s)
+
+
+def test_letters_without_a_look_alike_are_reported(spark):
+    df = spark.createDataFrame([(1, "pap\u044der"), (2, "\u0440\u0430\u0437\u043c\u0435\u0440 M"), (3, "plain")], "review_id long, text string")
+    assert [(r.review_id, r.form) for r in forms.changed_values(df, "review_id", ["text"]).collect()] == [(1, "pap\u044der")]
