@@ -137,6 +137,24 @@ dg AS (SELECT doc_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM dw, LAT
 ig AS (SELECT item_id, md5(array_to_string(w[p : p + 11], ' ')) AS g FROM iw, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS p) WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("＇", "")
+_NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "")
+
+
+def _p3_form(t: str) -> str:
+    """SQL for the consistent form of t: outside pictures one replacement after the other, then look-alikes word by word."""
+    plain = f"translate(x, '{_WIDE}', '{_NARROW}')"
+    for k, joined in enumerate(["ff", "fi", "fl", "ffi", "ffl", "st", "st"]):
+        plain = f"replace({plain}, '{chr(0xFB00 + k)}', '{joined}')"
+    plain = f"regexp_replace({plain}, '\\p{{Cf}}|\\x{{FE0F}}|\\x{{FE0E}}|\\x{{034F}}|[\\x00-\\x08\\x0e-\\x1f\\x7f]', '', 'g')"
+    plain = f"nfc_normalize(regexp_replace({plain}, '\\p{{Zs}}', ' ', 'g'))"
+    parts = f"regexp_extract_all({t}, '(?s){_PICTURE}(?:\\x{{200D}}{_PICTURE})*|[^\\x{{1F1E6}}-\\x{{1F1FF}}\\x{{1F300}}-\\x{{1FAFF}}\\x{{2600}}-\\x{{27BF}}]+')"
+    clean = f"array_to_string(list_transform({parts}, lambda x: CASE WHEN regexp_matches(x, '^{_PICTURE}') THEN x ELSE {plain} END), '')"
+    look, like = "".join(forms.LOOK_ALIKES), "".join(forms.LOOK_ALIKES.values())
+    word = f"CASE WHEN regexp_matches(y, '\\p{{Latin}}') AND regexp_matches(y, '[{_OTHER}]') THEN translate(y, '{look}', '{like}') ELSE y END"
+    return f"array_to_string(list_transform(regexp_extract_all({clean}, '(?s)[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+'), lambda y: {word}), '')"
+
+
 #: All pairs of distinct values and names instead of prefixes; added words by taking each word away in turn.
 P5_SQL = r"""
 WITH obj AS (SELECT item_id, details FROM metadata WHERE CASE WHEN json_valid(details) THEN json_type(details) = 'OBJECT' ELSE false END),
@@ -174,6 +192,7 @@ ORACLE = {
     "p5_values": P5_SQL.replace("{value}", "t.value, "),
     "p5_found": P5_SQL.replace("{value}", "") + " WHERE NOT EXISTS (SELECT 1 FROM canon_ref c WHERE c.attr = t.attr AND c.canonical = t.value)",
     "p3_found": P3_SQL,
+    "p3_consistent": f"SELECT review_id, {_p3_form('title')} AS title, {_p3_form('text')} AS text FROM review",
     "p6_found": P6_SQL,
     "p8_found": P8_SQL + "SELECT doc_id, span_from, span_to FROM sp",
     "p8_shares": P8_SQL + """SELECT d.doc_id, length(text) AS n_chars, coalesce(sum(span_to - span_from), 0) AS n_shared, count(span_to) AS n_spans,
