@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,11 +14,22 @@ _OWN: list[str] = []
 _SEEN: set[str] = set()
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster's session names no folder that all executors share."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one of this process."""
+    """The folder of spark.checkpoint.dir.
+
+    Where that is unset, a local session (one machine) gets a temporary folder of this process; on a cluster a machine's
+    own folder would lose rows, so NoSharedFolder is raised.
+    """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise NoSharedFolder(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="seamline-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
@@ -49,6 +61,15 @@ def drop_cuts(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def dropped(spark: SparkSession):
+    """Drops the cuts of a block of work when it is done, for jobs that write their results inside the block."""
+    try:
+        yield
+    finally:
+        drop_cuts(spark)
+
+
 def _drop_at_exit(jvm, folder: str) -> None:
     """Works after the session was stopped, too, as long as its JVM is there."""
     try:

@@ -14,8 +14,8 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
+def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g", folder: str | None = None) -> SparkSession:
+    """A local session for tests and the bench, with `folder` for cuts; a cluster brings its own."""
     build = SparkSession.builder.master(f"local[{cores}]").appName("seamline")
     conf = SETTINGS | {
         "spark.sql.shuffle.partitions": str(partitions),
@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.host": "127.0.0.1",
     }
+    if folder:
+        conf["spark.checkpoint.dir"] = f"file://{folder}"
     for key, value in conf.items():
         build = build.config(key, value)
     spark = build.getOrCreate()

@@ -9,11 +9,11 @@ DATA = Path("/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from seamline import cuts
     from seamline.session import local_session
 
-    session = local_session(4, partitions=4, memory="4g")
+    session = local_session(4, partitions=4, memory="4g", folder=str(tmp_path_factory.mktemp("cuts")))
     yield session
     cuts.drop_cuts(session)
 
