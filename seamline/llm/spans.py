@@ -28,7 +28,7 @@ TOGETHER = 48
 #: Contexts of a large group, of different documents, that all its other contexts are held against first.
 PIVOTS = 4
 #: Parts that such a group's windows are split into at a time.
-PARTS = 4
+PARTS = 6
 #: Characters hashed in one go.
 CHUNK = 1 << 20
 
@@ -317,6 +317,7 @@ def _edges(rows: DataFrame, width: int, least: int) -> DataFrame:
     out = _compare(rows.filter(F.col("n") <= TOGETHER), width, least)
     large = cut(_against_pivots(rows.filter(F.col("n") > TOGETHER), width, least), "large-groups")
     out = out.unionByName(large.filter(~F.col("twice") & F.col("before").isNotNull()).select("h", "c1", "c2", "l", "r", "before", "behind"))
+    large = large.filter(f"size(filter(cover, c -> c.lo <= greatest(0, {least - width} - r) and c.hi >= least({least - width}, l))) < 2")
     while not large.isEmpty():
         parts = cut(_split(large, width, least), "parts")
         sizes = parts.groupBy("g1", "g2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("twice").alias("some"), F.min("twice").alias("all"))
