@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import attach_groups
+
 #: Bits of a key integer below the part by which runs are spread over tasks: a task's group has at most 2^20 keys.
 RUN_BITS = 20
-#: Times are spread over tasks by key and day.
+#: Times of keys with gaps are spread over tasks by key and day, and a day's references over parts of so many.
 BLOCK_US = 86_400_000_000
-#: References without a time are spread over so many groups a key.
-NO_TIME_GROUPS = 64
+PART_ROWS = 100_000
 FOREVER = 1 << 62
 
 
@@ -66,43 +67,59 @@ def find_orphans(refs: DataFrame, target: DataFrame) -> DataFrame:
     are ignored, and a target row without from_us only makes its key exist. Every row of `refs` is judged on its own, so
     repeated rows come out as often as they stand there. With an empty target all references are missing.
 
-    No group grows with the rows of a key: keys are compared distinct, times by key and day, with what earlier days
-    leave behind carried over in one row per key and day.
+    Most references are settled by their key: it is missing, or the stretches in which it is live have a moment in common
+    and so make one stretch. Counts per key tell the hot ones, whose rows stay where they are. Only references between
+    the start and the end of a key with stretches apart are matched in order of time, by key and day, in parts of
+    PART_ROWS, with what earlier days leave behind carried over in one row per key, day and part.
     """
-    block = lambda at: F.floor(at / F.lit(BLOCK_US))
     rest, num = key_parts(F.col("key"))
-    r = refs.select("row_id", clean_key(F.col("key")).alias("key"), "at_us").filter("key is not null").select(
-        "row_id", rest.alias("rest"), num.alias("num"), "at_us",
-        F.coalesce(block(F.col("at_us")), F.lit(-(1 << 40)) - F.pmod(F.xxhash64("row_id"), F.lit(NO_TIME_GROUPS))).alias("block"),
+    r = refs.select("row_id", clean_key(F.col("key")).alias("key"), "at_us").filter("key is not null").select("row_id", rest.alias("rest"), num.alias("num"), "at_us")
+    t = target.select(clean_key(F.col("key")).alias("key"), "from_us", "to_us").filter("key is not null").select(rest.alias("rest"), num.alias("num"), "from_us", F.coalesce("to_us", F.lit(FOREVER)).alias("to_us"))
+    k = ["rest", "num"]
+    stretch = F.when(F.col("from_us").isNotNull(), F.col("to_us"))
+    lives = t.groupBy(*k).agg(F.min("from_us").alias("first"), F.max("from_us").alias("last_from"), F.min(stretch).alias("soonest"), F.max(stretch).alias("end"))
+    asked = r.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
+    verdict = missing_keys(asked.select(*k), lives.select(*k))
+    keys = asked.join(verdict, k).join(lives, k, "left").select(*k, "n", "missing", "first", "end", F.coalesce(F.col("last_from") > F.col("soonest"), F.lit(False)).alias("apart"))
+
+    at = F.col("at_us")
+    by_key = (
+        F.when(F.col("missing"), "missing")
+        .when(at.isNull(), F.lit(None))
+        .when(F.col("first").isNull() | (at < F.col("first")), "late")
+        .when(at >= F.col("end"), "deleted")
+        .when(F.col("apart"), "open")
     )
-    t = target.select(clean_key(F.col("key")).alias("key"), "from_us", "to_us").filter("key is not null").select(
-        rest.alias("rest"), num.alias("num"), "from_us", F.coalesce("to_us", F.lit(FOREVER)).alias("to_us")
-    ).groupBy("rest", "num", "from_us").agg(F.max("to_us").alias("to_us"))
-    live = t.filter("from_us is not null").withColumn("block", block(F.col("from_us")))
+    judged = attach_groups(r, keys, k, "n").select(*k, "row_id", "at_us", by_key.alias("kind")).filter("kind is not null")
+    settled = judged.filter("kind <> 'open'").select("row_id", "at_us", "kind")
+    return settled.unionByName(_in_gaps(judged.filter("kind = 'open'").select(*k, "row_id", "at_us"), t))
 
-    asked = r.groupBy("rest", "num", "block").agg(F.lit(1).alias("asked"))
-    verdict = missing_keys(asked.select("rest", "num").distinct(), t.select("rest", "num").distinct())
 
+def _in_gaps(open_refs: DataFrame, target: DataFrame) -> DataFrame:
+    """(row_id, at_us, kind) of the references that fall between two stretches of their key: those are `deleted`.
+
+    All of `open_refs` (rest, num, row_id, at_us) are at or after the first start of their key.
+    """
+    block = lambda at: F.floor(at / F.lit(BLOCK_US))
     nothing = F.lit(None).cast("long")
-    days = live.groupBy("rest", "num", "block").agg(F.max("to_us").alias("to_us"), F.lit(None).cast("int").alias("asked"))
+    r = open_refs.withColumn("block", block(F.col("at_us")))
+    live = target.filter("from_us is not null").groupBy("rest", "num", "from_us").agg(F.max("to_us").alias("to_us")).withColumn("block", block(F.col("from_us")))
+    asked = r.groupBy("rest", "num", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
+    live = live.join(asked.select("rest", "num").distinct(), ["rest", "num"], "left_semi")
+    days = live.groupBy("rest", "num", "block").agg(F.max("to_us").alias("to_us"), F.lit(None).cast("int").alias("parts"))
     days = days.unionByName(asked.withColumn("to_us", nothing))
     earlier = Window.partitionBy("rest", "num").orderBy("block").rangeBetween(Window.unboundedPreceding, -1)
-    carried = days.withColumn("carried", F.max("to_us").over(earlier)).filter("asked = 1").join(verdict, ["rest", "num"])
-
+    carried = days.withColumn("carried", F.max("to_us").over(earlier)).filter("parts is not null")
+    each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    started = live.join(asked, ["rest", "num", "block"]).select("rest", "num", "block", each_part, F.col("from_us").alias("at_us"), F.lit(1).alias("what"), nothing.alias("row_id"), "to_us")
     rows = (
-        carried.select("rest", "num", "block", F.lit(-(1 << 62)).alias("at_us"), F.lit(0).alias("what"), nothing.alias("row_id"), F.col("carried").alias("to_us"), "missing")
-        .unionByName(live.select("rest", "num", "block", F.col("from_us").alias("at_us"), F.lit(1).alias("what"), nothing.alias("row_id"), "to_us", F.lit(None).cast("boolean").alias("missing")))
-        .unionByName(r.select("rest", "num", "block", "at_us", F.lit(2).alias("what"), "row_id", nothing.alias("to_us"), F.lit(None).cast("boolean").alias("missing")))
-    )
-    sofar = Window.partitionBy("rest", "num", "block").orderBy(F.asc_nulls_last("at_us"), "what").rowsBetween(Window.unboundedPreceding, 0)
-    judged = rows.select("what", "row_id", "at_us", F.max("to_us").over(sofar).alias("reach"), F.max("missing").over(sofar).alias("missing")).filter("what = 2")
-    kind = (
-        F.when(F.col("missing"), "missing")
-        .when(F.col("at_us").isNull(), F.lit(None))
-        .when(F.col("reach").isNull(), "late")
-        .when(F.col("at_us") >= F.col("reach"), "deleted")
+        carried.select("rest", "num", "block", each_part, F.lit(-(1 << 62)).alias("at_us"), F.lit(0).alias("what"), nothing.alias("row_id"), F.col("carried").alias("to_us"))
+        .unionByName(started)
+        .unionByName(r.join(asked, ["rest", "num", "block"]).select("rest", "num", "block", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part"), "at_us", F.lit(2).alias("what"), "row_id", nothing.alias("to_us")))
     )
-    return judged.select("row_id", "at_us", kind.alias("kind")).filter("kind is not null")
+    sofar = Window.partitionBy("rest", "num", "block", "part").orderBy("at_us", "what").rowsBetween(Window.unboundedPreceding, 0)
+    reached = rows.select("what", "row_id", "at_us", F.max("to_us").over(sofar).alias("reach")).filter("what = 2 and at_us >= reach")
+    return reached.select("row_id", "at_us", F.lit("deleted").alias("kind"))
 
 
 def epoch_us(value: Column) -> Column:

@@ -54,6 +54,14 @@ def test_one_key_holds_most_rows(spark):
     assert found(spark, refs, target) == brute(refs, target)
 
 
+def test_a_third_on_one_day_of_a_key_with_gaps(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "PART_ROWS", 100)
+    rng = random.Random(6)
+    refs = [(i, "HOT" if i % 3 == 0 else f"C{i % 40}", rng.randrange(2_000_000)) for i in range(3000)]
+    target = [("hot", 1000 * a, 1000 * a + 500) for a in range(0, 1900, 7)] + [(f"C{i}", rng.randrange(10**6), rng.choice([None, 10**6])) for i in range(30)] * 2
+    assert found(spark, refs, target) == brute(refs, target)
+
+
 def test_empty_tables(spark):
     assert found(spark, [], [("A", 1, 2)]) == []
     assert found(spark, [(1, "A", 5), (2, None, 5)], []) == [(1, "missing")]
