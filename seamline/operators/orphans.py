@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from .skew import attach_groups
 
 #: Bits of a key integer below the part by which runs are spread over tasks: a task's group has at most 2^20 keys.
@@ -18,11 +19,13 @@ RUN_BITS = 20
 BLOCK_US = 86_400_000_000
 PART_ROWS = 100_000
 FOREVER = 1 << 62
+#: By rule: all that Unicode or ASCII counts as white space.
+WHITE_SPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def clean_key(key: Column) -> Column:
     """The key in upper case without surrounding white space; null where nothing is left."""
-    bare = F.upper(F.regexp_replace(key, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    bare = F.upper(F.btrim(key, F.lit(WHITE_SPACE)))
     return F.when(bare != "", bare)
 
 
@@ -68,41 +71,42 @@ def find_orphans(refs: DataFrame, target: DataFrame) -> DataFrame:
     repeated rows come out as often as they stand there. With an empty target all references are missing.
 
     Most references are settled by their key: it is missing, or the stretches in which it is live have a moment in common
-    and so make one stretch. Counts per key tell the hot ones, whose rows stay where they are. Only references between
-    the start and the end of a key with stretches apart are matched in order of time, by key and day, in parts of
-    PART_ROWS, with what earlier days leave behind carried over in one row per key, day and part.
+    and so make one stretch. Counts per key tell the hot ones, whose rows stay where they are. Only references to a key
+    with stretches apart are matched in order of time, by key and day, in parts of PART_ROWS, with what earlier days leave
+    behind carried over in one row per key, day and part.
     """
     rest, num = key_parts(F.col("key"))
-    r = refs.select("row_id", clean_key(F.col("key")).alias("key"), "at_us").filter("key is not null").select("row_id", rest.alias("rest"), num.alias("num"), "at_us")
+    r = refs.filter("key is not null").select("row_id", "key", "at_us")
     t = target.select(clean_key(F.col("key")).alias("key"), "from_us", "to_us").filter("key is not null").select(rest.alias("rest"), num.alias("num"), "from_us", F.coalesce("to_us", F.lit(FOREVER)).alias("to_us"))
     k = ["rest", "num"]
     stretch = F.when(F.col("from_us").isNotNull(), F.col("to_us"))
     lives = t.groupBy(*k).agg(F.min("from_us").alias("first"), F.max("from_us").alias("last_from"), F.min(stretch).alias("soonest"), F.max(stretch).alias("end"))
-    asked = r.groupBy(*k).agg(F.count(F.lit(1)).alias("n"))
-    verdict = missing_keys(asked.select(*k), lives.select(*k))
-    keys = asked.join(verdict, k).join(lives, k, "left").select(*k, "n", "missing", "first", "end", F.coalesce(F.col("last_from") > F.col("soonest"), F.lit(False)).alias("apart"))
+    # keys are cleaned once per spelling, and rows find their key's verdict by its spelling
+    spelt = r.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", "n", clean_key(F.col("key")).alias("clean")).filter("clean is not null")
+    clean_rest, clean_num = key_parts(F.col("clean"))
+    asked = cut(spelt.select("key", "n", clean_rest.alias("rest"), clean_num.alias("num")), "asked")
+    verdict = missing_keys(asked.select(*k).distinct(), lives.select(*k))
+    keys = asked.join(verdict, k).join(lives, k, "left").select("key", *k, "n", "missing", "first", "end", F.coalesce(F.col("last_from") > F.col("soonest"), F.lit(False)).alias("apart"))
+    keys = cut(keys, "keys")
 
     at = F.col("at_us")
-    by_key = (
+    kind = (
         F.when(F.col("missing"), "missing")
         .when(at.isNull(), F.lit(None))
         .when(F.col("first").isNull() | (at < F.col("first")), "late")
         .when(at >= F.col("end"), "deleted")
-        .when(F.col("apart"), "open")
     )
-    judged = attach_groups(r, keys, k, "n").select(*k, "row_id", "at_us", by_key.alias("kind")).filter("kind is not null")
+    kind = F.when(F.col("apart") & at.isNotNull(), "open").otherwise(kind)
+    judged = cut(attach_groups(r, keys, ["key"], "n").select(*k, "row_id", "at_us", kind.alias("kind")).filter("kind is not null"), "judged")
     settled = judged.filter("kind <> 'open'").select("row_id", "at_us", "kind")
-    return settled.unionByName(_in_gaps(judged.filter("kind = 'open'").select(*k, "row_id", "at_us"), t))
+    return settled.unionByName(_between_stretches(judged.filter("kind = 'open'").select(*k, "row_id", "at_us"), t))
 
 
-def _in_gaps(open_refs: DataFrame, target: DataFrame) -> DataFrame:
-    """(row_id, at_us, kind) of the references that fall between two stretches of their key: those are `deleted`.
-
-    All of `open_refs` (rest, num, row_id, at_us) are at or after the first start of their key.
-    """
+def _between_stretches(refs: DataFrame, target: DataFrame) -> DataFrame:
+    """(row_id, at_us, kind) of the references (rest, num, row_id, at_us) at whose time no stretch of their key is live."""
     block = lambda at: F.floor(at / F.lit(BLOCK_US))
     nothing = F.lit(None).cast("long")
-    r = open_refs.withColumn("block", block(F.col("at_us")))
+    r = refs.withColumn("block", block(F.col("at_us")))
     live = target.filter("from_us is not null").groupBy("rest", "num", "from_us").agg(F.max("to_us").alias("to_us")).withColumn("block", block(F.col("from_us")))
     asked = r.groupBy("rest", "num", "block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).cast("int").alias("parts"))
     live = live.join(asked.select("rest", "num").distinct(), ["rest", "num"], "left_semi")
@@ -118,8 +122,9 @@ def _in_gaps(open_refs: DataFrame, target: DataFrame) -> DataFrame:
         .unionByName(r.join(asked, ["rest", "num", "block"]).select("rest", "num", "block", F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part"), "at_us", F.lit(2).alias("what"), "row_id", nothing.alias("to_us")))
     )
     sofar = Window.partitionBy("rest", "num", "block", "part").orderBy("at_us", "what").rowsBetween(Window.unboundedPreceding, 0)
-    reached = rows.select("what", "row_id", "at_us", F.max("to_us").over(sofar).alias("reach")).filter("what = 2 and at_us >= reach")
-    return reached.select("row_id", "at_us", F.lit("deleted").alias("kind"))
+    reached = rows.select("what", "row_id", "at_us", F.max("to_us").over(sofar).alias("reach")).filter("what = 2")
+    kind = F.when(F.col("reach").isNull(), "late").when(F.col("at_us") >= F.col("reach"), "deleted")
+    return reached.select("row_id", "at_us", kind.alias("kind")).filter("kind is not null")
 
 
 def epoch_us(value: Column) -> Column:
