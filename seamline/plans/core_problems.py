@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..operators import orphans, skew
 from ..session import table
 
@@ -55,9 +56,8 @@ def _reviews_by_item(spark: SparkSession, d: str) -> DataFrame:
     return r.filter("parent_asin is not null")
 
 
-def _item_sums(spark: SparkSession, d: str) -> DataFrame:
+def _item_sums(pairs: DataFrame) -> DataFrame:
     """Rows, mean rating and verified share of each item, from its distinct (rating, verified) pairs and their counts."""
-    pairs = skew.compress_values(_reviews_by_item(spark, d), ["parent_asin"], ["rating", "verified_purchase"])
     w = F.col("w")
     items = pairs.groupBy("parent_asin").agg(
         F.sum("w").alias("n_rows"),
@@ -68,9 +68,13 @@ def _item_sums(spark: SparkSession, d: str) -> DataFrame:
     return items.crossJoin(F.broadcast(total)).withColumn("is_hot", F.col("n_rows") >= F.col("_all") * F.lit(HOT_SHARE)).drop("_all")
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return skew.compress_values(_reviews_by_item(spark, d), ["parent_asin"], ["rating", "verified_purchase"])
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Items holding at least 2.5 % of the reviews that name an item."""
-    return _item_sums(spark, d).filter("is_hot").select("parent_asin")
+    return _item_sums(_pairs(spark, d)).filter("is_hot").select("parent_asin")
 
 
 def p2_items(spark: SparkSession, d: str) -> DataFrame:
@@ -79,11 +83,11 @@ def p2_items(spark: SparkSession, d: str) -> DataFrame:
     Nulls: reviews without an item are left out; a null rating counts as a row but not in the rating figures, which are
     null where an item has no rating; a null verified_purchase counts as not verified.
     """
-    rows = _reviews_by_item(spark, d)
-    ratings = skew.compress_values(rows, ["parent_asin"], ["rating"])
-    users = skew.compress_values(rows, ["parent_asin"], ["user_id"])
+    pairs = cut(_pairs(spark, d), "pairs")  # at most the ratings times three for each item
+    ratings = pairs.groupBy("parent_asin", "rating").agg(F.sum("w").alias("w"))
+    users = skew.compress_values(_reviews_by_item(spark, d), ["parent_asin"], ["user_id"])
     k = ["parent_asin"]
-    out = _item_sums(spark, d)
+    out = _item_sums(pairs)
     for more in (
         skew.weighted_distinct(users, k, "user_id", "n_users"),
         skew.weighted_distinct(ratings, k, "rating", "n_ratings"),
