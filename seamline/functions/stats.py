@@ -81,3 +81,17 @@ def wilson(hits: Column, n: Column, zed: float = Z95) -> tuple[Column, Column]:
 def gate(low: Column, high: Column, at: float = 0.80) -> Column:
     """PASS when the whole interval is at `at` or above, FAIL when below, else INCONCLUSIVE."""
     return F.when(low >= at, "PASS").when(high < at, "FAIL").otherwise("INCONCLUSIVE")
+
+
+def multiplier_to(current: Column, target: Column | float) -> Column:
+    """How many times the observations are needed for the detectable effect `current` to come down to `target`."""
+    return F.pow(current / (target if isinstance(target, Column) else F.lit(target)), F.lit(2.0))
+
+
+# Fixed value: reviews of the whole corpus.
+CORPUS_REVIEWS = 66e6
+
+
+def scale_factor(scanned: Column) -> Column:
+    """How many times larger the corpus is than what was scanned; null where nothing was."""
+    return F.when(scanned > 0, F.lit(CORPUS_REVIEWS) / scanned)

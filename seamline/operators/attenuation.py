@@ -68,9 +68,16 @@ def score_sd(prevalence: dict[str, float] | None = None) -> float:
     return ((w[small] + w[large]) - (w[large] - w[small]) ** 2) ** 0.5
 
 
-def operative_mde(mde: Column, factor: Column) -> Column:
-    """Detectable true effect; a factor that isn't positive is an error."""
-    return F.when(factor > 0, mde / factor).otherwise(F.raise_error(F.lit("lambda must be positive")).cast("double"))
+def operative_mde(mde: Column, factor: Column, strict: bool = True) -> Column:
+    """Detectable true effect; a factor that isn't positive is an error, or gives null if not strict."""
+    other = F.raise_error(F.lit("lambda must be positive")).cast("double") if strict else F.lit(None).cast("double")
+    return F.when(factor > 0, mde / factor).otherwise(other)
+
+
+def join_labels(labels: DataFrame, key: DataFrame) -> DataFrame:
+    """Labels (review_id_hash, human) with their key; both have one row per hash. Labels without a key are left out, and so
+    are keys without a label and null hashes."""
+    return labels.join(key, "review_id_hash")
 
 
 def bootstrap_lambda(rows: DataFrame, unit: str, replicates: int = 4000, seed: str = "20260814") -> DataFrame:

@@ -37,22 +37,25 @@ def within_person(counts: DataFrame, value: Column, n: str, person: str) -> Data
     return p.groupBy("gender").agg(F.count(F.lit(1)).alias("n_persons"), F.avg(F.col("su") / F.col("nu") - F.col("sl") / F.col("nl")).alias("difference"))
 
 
-def demeaned_slope(counts: DataFrame, within: str, value: Column, x: Column, n: str) -> DataFrame:
-    """One row: slope of the interaction male x upper with fixed effects of `within` and main effects male and upper.
+def residualised(counts: DataFrame, within: str, value: Column, x: Column, n: str, *keep: str) -> DataFrame:
+    """(keep, x, y, n): value and the interaction x as what is left of them after fixed effects of `within` and the main
+    effects male and upper, so the slope of y on x is the interaction's and can be tested by cluster.
 
-    The normal equations are sums over groups: nothing is held per observation.
+    Rows without a value are left out; a main effect without variation inside groups drops out. Group sums are joined
+    back to counts, not to observations. An empty table gives none.
     """
     male, upper = F.when(F.col("gender") == "men", 1.0).otherwise(0.0), F.when(F.col("half") == "upper", 1.0).otherwise(0.0)
-    v = {"m": male, "u": upper, "i": x, "y": value}
-    d = counts.filter(value.isNotNull()).select(F.col(within).alias("f"), F.col(n).cast("double").alias("w"), *[c.cast("double").alias(k) for k, c in v.items()])
-    pairs = [(a, b) for a in v for b in v if a <= b]
-    g = d.groupBy("f").agg(F.sum("w").alias("w"), *[F.sum(F.col("w") * F.col(a)).alias(f"s_{a}") for a in v], *[F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"q_{a}{b}") for a, b in pairs])
-    s = g.agg(F.sum("w").alias("n_obs"), *[F.sum(F.col(f"q_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / F.col("w")).alias(f"{a}{b}") for a, b in pairs])
-    q = lambda a, b: F.col(a + b if a <= b else b + a)
-    # residuals on male, then on upper (Frisch-Waugh); a regressor without variation drops out
-    after_m = {(a, b): q(a, b) - F.when(q("m", "m") > 1e-9, q("m", a) * q("m", b) / q("m", "m")).otherwise(0.0) for a in "uiy" for b in "uiy"}
-    r = lambda a, b: after_m[a, b] - F.when(after_m["u", "u"] > 1e-9, after_m["u", a] * after_m["u", b] / after_m["u", "u"]).otherwise(0.0)
-    return s.select("n_obs", F.when(r("i", "i") > 1e-9, r("i", "y") / r("i", "i")).alias("slope"))
+    v = {"_m": male, "_u": upper, "_x": x, "_y": value}
+    d = counts.filter(value.isNotNull()).select(*keep, F.col(within).alias("_f"), F.col(n).cast("double").alias("_w"), *[c.cast("double").alias(k) for k, c in v.items()])
+    means = d.groupBy("_f").agg(*[(F.sum(F.col("_w") * F.col(k)) / F.sum("_w")).alias(f"{k}_mean") for k in v])
+    d = d.join(means, d["_f"].eqNullSafe(means["_f"])).select(*keep, "_w", *[(F.col(k) - F.col(f"{k}_mean")).alias(k) for k in v])
+    left = list(v)
+    for main in ("_m", "_u"):
+        left.remove(main)
+        sums = d.agg(*[F.sum(F.col("_w") * F.col(main) * F.col(k)).alias(f"{k}_with") for k in (main, *left)])
+        slope = lambda k, main=main: F.when(F.col(f"{main}_with") > 1e-9, F.col(f"{k}_with") / F.col(f"{main}_with")).otherwise(0.0)
+        d = d.crossJoin(F.broadcast(sums)).select(*keep, "_w", *[(F.col(k) - slope(k) * F.col(main)).alias(k) for k in left])  # one row of sums
+    return d.select(*keep, F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_w").alias("n"))
 
 
 def inverse_probability(counts: DataFrame, reported: Column, n: str, *strata: str) -> DataFrame:

@@ -2,25 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from math import floor
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows are numbered by parts of their position column, so that no task numbers a whole table.
+#: Ranges of the position column that rows are counted and numbered by, so that no task numbers a whole table.
 PARTS = 1024
 
 
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """`df` with `pos`, its position from 0 in the order of a unique, non-null integer column.
+def _taken(df: DataFrame, order: str, spans: Callable[[int], list[tuple[str | int, int, int]]]) -> DataFrame:
+    """The rows at the positions [lo, hi) of spans(number of rows), which are (block, lo, hi), with their `block`.
 
-    Values are cut into ranges of equal width; counts before each range (PARTS rows) are added to positions inside.
-    Ranges are as even as the values are: for ids handed out in turn they are. Rows with a null order are left out.
+    Positions go from 0 in the order of a unique, non-null integer column; rows with a null order are left out. Values are
+    cut into PARTS ranges of equal width, which the driver counts (PARTS numbers); only ranges that hold a part of a span
+    are read again, numbered and joined to the spans, so the cost follows the sample. Ranges are as even as the values.
     """
-    edge = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = F.floor((F.col("_hi") - F.col("_lo")) / F.lit(PARTS)) + 1
-    d = df.crossJoin(F.broadcast(edge)).filter(F.col(order).isNotNull()).withColumn("_part", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
-    before = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
-    d = d.join(F.broadcast(before), "_part")
-    return d.withColumn("pos", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).drop("_part", "_before")
+    spark = df.sparkSession
+    edge = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    kind = "int" if not spans(0) or isinstance(spans(0)[0][0], int) else "string"
+    if edge["lo"] is None:
+        return df.limit(0).withColumn("block", F.lit(None).cast(kind))
+    width = (edge["hi"] - edge["lo"]) // PARTS + 1
+    part = F.floor((F.col(order) - F.lit(edge["lo"])) / F.lit(width))
+    counts = {r["part"]: r["n"] for r in df.filter(F.col(order).isNotNull()).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = [(b, lo, hi) for b, lo, hi in spans(sum(counts.values())) if hi > lo]
+    rows, before = [], 0
+    for p in sorted(counts):
+        rows += [(p, before, b, lo, hi) for b, lo, hi in wanted if lo < before + counts[p] and hi > before]
+        before += counts[p]
+    if not rows:
+        return df.limit(0).withColumn("block", F.lit(None).cast(kind))
+    held = sorted({p for p, *_ in rows})
+    firsts = [p for k, p in enumerate(held) if not k or held[k - 1] != p - 1]
+    lasts = [p for k, p in enumerate(held) if k + 1 == len(held) or held[k + 1] != p + 1]
+    ranges = [(F.col(order) >= edge["lo"] + p * width) & (F.col(order) < edge["lo"] + (q + 1) * width) for p, q in zip(firsts, lasts, strict=True)]
+    ranges = reduce(or_, ranges)  # at most as many as spans; they reach the scan
+    blocks = F.broadcast(spark.createDataFrame(rows, f"_part long, _before long, block {kind}, _lo long, _hi long"))  # spans and PARTS at most
+    d = df.filter(ranges).withColumn("_part", part).withColumn("_pos", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
+    d = d.join(blocks, "_part").withColumn("_pos", F.col("_pos") + F.col("_before")).filter("_pos >= _lo and _pos < _hi")
+    return d.drop("_part", "_before", "_pos", "_lo", "_hi")
 
 
 def block_sample(df: DataFrame, order: str, limit: int, blocks: int) -> DataFrame:
@@ -30,20 +54,14 @@ def block_sample(df: DataFrame, order: str, limit: int, blocks: int) -> DataFram
     empty.
     """
     each = limit // blocks
-    total = df.filter(F.col(order).isNotNull()).agg(F.floor(F.count(F.lit(1)) / blocks).alias("_span"))
-    d = numbered(df, order).crossJoin(F.broadcast(total)).filter("_span > 0")
-    block = F.floor(F.col("pos") / F.col("_span"))
-    return d.withColumn("block", block.cast("int")).filter((F.col("block") < blocks) & (F.col("pos") - F.col("block") * F.col("_span") < each)).drop("_span", "pos")
+    return _taken(df, order, lambda n: [(k, k * (n // blocks), k * (n // blocks) + min(each, n // blocks)) for k in range(blocks)])
 
 
 def three_blocks(df: DataFrame, order: str, size: int, slack: float = 1.20) -> DataFrame:
-    """Head, middle and tail blocks of `size` rows; the tail starts `size * slack` rows before the end."""
-    total = df.filter(F.col(order).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    d = numbered(df, order).crossJoin(F.broadcast(total))
-    middle, tail = F.floor(F.col("_n") / 2), F.greatest(F.floor(F.col("_n") - size * slack), F.lit(0))
-    inside = lambda at: (F.col("pos") >= at) & (F.col("pos") < at + size)
-    name = F.array_compact(F.array(F.when(inside(F.lit(0)), "head"), F.when(inside(middle), "middle"), F.when(inside(tail), "tail")))
-    return d.withColumn("block", F.explode(name)).drop("_n", "pos")
+    """Head, middle and tail blocks of `size` rows; the tail starts `size * slack` rows before the end. Blocks of a small
+    table overlap, and a row in several of them comes out with each."""
+    at = lambda n: {"head": 0, "middle": n // 2, "tail": max(floor(n - size * slack), 0)}
+    return _taken(df, order, lambda n: [(name, lo, min(lo + size, n)) for name, lo in at(n).items()])
 
 
 def stratified(df: DataFrame, strata: list[str], key: Column, k: int, seed: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,27 @@ def _round(df: DataFrame, digits: int, *cols: str) -> DataFrame:
 # --- labels by hand ---------------------------------------------------------------------------------------------------
 
 
+KEYED = ["parent_asin", "assigned_bucket", "gender", "body_half", "review_title", "review_text"]
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The sample's key, one row per review_id_hash: what the labellers did not see."""
+    k = table(spark, d, "precision_key").filter("review_id_hash is not null")
+    one = k.groupBy("review_id_hash").agg(F.max(F.struct(*KEYED)).alias("k")).select("review_id_hash", *[f"k.{c}" for c in KEYED])
+    return one.withColumnRenamed("assigned_bucket", "assigned")
+
+
+def _hand_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The labellers' sheet, one non-blank label per review_id_hash."""
+    k = table(spark, d, "precision_key").withColumn("human", F.trim("human_label")).filter("human <> '' and review_id_hash is not null")
+    return k.groupBy("review_id_hash").agg(F.max("human").alias("human"))
+
+
+def labels_with_key(spark: SparkSession, d: str) -> DataFrame:
+    """The labellers' sheet joined to the key on the review's hash, counted by assigned bucket and label."""
+    return attenuation.join_labels(_hand_labels(spark, d), _keyed(spark, d)).groupBy("assigned", "human").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     """Hand-labelled rows, one per review_id_hash, with the store of their parent as of its last entry."""
     k = table(spark, d, "precision_key").withColumn("human", F.trim("human_label")).filter("human <> '' and review_id_hash is not null")
@@ -58,7 +81,7 @@ def _by_group(spark: SparkSession, d: str) -> DataFrame:
 def lambdas(spark: SparkSession, d: str) -> DataFrame:
     """Attenuation factor, residual and the reverse factor, over all labels and by gender, with the operative effect."""
     t = attenuation.with_lambda(attenuation.confusion_columns(_by_group(spark, d), "grp"))
-    t = t.withColumn("operative", F.when(F.col("lambda") > 0, F.lit(0.156) / F.col("lambda")))
+    t = t.withColumn("operative", attenuation.operative_mde(F.lit(0.156), F.col("lambda"), strict=False))
     return _round(t.select("grp", "lambda", "residual", "lambda_reverse", "operative"), 6, "lambda", "residual", "lambda_reverse", "operative")
 
 
@@ -72,6 +95,19 @@ def lambdas_without_advice(spark: SparkSession, d: str) -> DataFrame:
     return _round(t.select("lambda", "residual", "lambda_reverse"), 6, "lambda", "residual", "lambda_reverse")
 
 
+def lambdas_without_advice_by_item(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the older rule: a label is left out by the pattern of the first review (by its hash) of the same parent
+    and bucket that has one, so two reviews of one item can swap patterns."""
+    b = text.folded(text.blob(F.col("review_title"), F.col("review_text")))
+    keyed = _keyed(spark, d).withColumn("hits", text.let(b, text.pattern_hits))
+    fired = F.get(F.filter("hits", lambda h: h["bucket"] == F.col("assigned")), F.lit(0))
+    first = keyed.withColumn("fired", fired).filter("fired is not null").groupBy("parent_asin", "assigned").agg(F.min_by("fired", "review_id_hash").alias("fired"))
+    rows = _labelled(spark, d).join(first, ["parent_asin", "assigned"], "left")
+    kept = rows.filter(~F.coalesce(text.is_advice(F.col("fired.bucket"), F.col("fired.pattern")), F.lit(False)))
+    t = attenuation.with_lambda(attenuation.confusion_columns(kept))
+    return _round(t.select("lambda", "residual", "lambda_reverse"), 6, "lambda", "residual", "lambda_reverse")
+
+
 def p_zero(spark: SparkSession, d: str) -> DataFrame:
     """P(true to size) of each cell, from the hand labels and the cell's assigned counts."""
     one = attenuation.confusion_columns(_labelled(spark, d))
@@ -159,7 +195,7 @@ def wild_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Slope of the score on men's uppers, robust t and wild bootstrap p-value, clusters being listings."""
     f = R._final(spark, d)
     x = F.when((F.col("gender") == "men") & (F.col("half") == "upper"), 1.0).otherwise(0.0)
-    return _round(resample.wild_bootstrap(f, [], "parent_asin", x, text.score(F.col("label")), F.col("n"), 199), 6, "beta", "t", "p")
+    return _round(resample.wild_bootstrap(f, [], "parent_asin", x, text.score(F.col("label")), F.col("n"), 399), 6, "beta", "t", "p")
 
 
 def scenario_bound(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +210,7 @@ def scenario_bound(spark: SparkSession, d: str) -> DataFrame:
     o = f.withColumn("s", F.explode(each)).select("s.scenario", "s.cluster", "gender", "half", "label", "n")
     o = o.groupBy("scenario", "cluster", "gender", "half", "label").agg(F.sum("n").alias("n"))
     x = F.when((F.col("gender") == "men") & (F.col("half") == "upper"), 1.0).otherwise(0.0)
-    t = resample.wild_bootstrap(o, ["scenario"], "cluster", x, text.score(F.col("label")), F.col("n"), 99)
+    t = resample.wild_bootstrap(o, ["scenario"], "cluster", x, text.score(F.col("label")), F.col("n"), 399)
     t = t.withColumn("max_p", F.max("p").over(Window.partitionBy(F.lit(1)))).withColumn("claim", F.col("max_p") < 0.05)  # four rows
     return _round(t, 6, "beta", "t", "p", "max_p")
 
@@ -186,8 +222,8 @@ def homogeneity(spark: SparkSession, d: str) -> DataFrame:
     heavy = cells.histogram(f, "parent_asin", weight="n").join(many, "parent_asin", "left_semi").orderBy(F.desc("n"), "parent_asin").limit(4).select("parent_asin")
     m = f.filter("asin is not null and asin <> ''").join(F.broadcast(heavy), "parent_asin")  # 4 rows
     m = m.groupBy("parent_asin", "asin").agg(*[F.sum(F.when(F.col("label") == b, F.col("n")).otherwise(0)).alias(b) for b in BUCKETS])
-    m = m.filter(sum((F.col(b) for b in BUCKETS), F.lit(0)) >= 2)
-    t = resample.homogeneity(m, "parent_asin", "asin", 199).withColumn("testable", F.col("n_members") >= 3)
+    m = m.filter(sum((F.col(b) for b in BUCKETS), F.lit(0)) >= 5)
+    t = resample.homogeneity(m, "parent_asin", "asin", 999).withColumn("testable", F.col("n_members") >= 3)
     return _round(t, 6, "x2", "dispersion", "p")
 
 
@@ -195,30 +231,41 @@ def homogeneity(spark: SparkSession, d: str) -> DataFrame:
 EFFECTS = [0.0, 0.05, 0.10, 0.15, 0.20, 0.30, 0.45, 0.60]
 
 
-def _study_split(spark: SparkSession, d: str) -> DataFrame:
-    """The clusters of the EXCLUDE scenario in two halves; cut, as they are read several times and a few bytes each."""
-    s = R.scenario_sizes(spark, d).filter("scenario = 'EXCLUDE'").select("cluster_id", "n")
-    return cut(cells.half_split(cut(s, "study-sizes"), "n", "cluster_id"), "study-split")
+STUDIED = ["KEEP", "EXCLUDE", "SPLIT", "STORE"]
+SHARES = {"ran_small": 0.30, "true_to_size": 0.53, "ran_large": 0.17}
 
 
-def _rejections(split: DataFrame) -> DataFrame:
-    return resample.power(split, EFFECTS, 60, 0.05, {"ran_small": 0.30, "true_to_size": 0.53, "ran_large": 0.17}, 199)
+def _studies(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The clusters of each scenario in two halves; cut, as they are read several times and a few bytes each."""
+    sizes = cut(R.scenario_sizes(spark, d), "study-sizes")
+    return {s: cut(cells.half_split(sizes.filter(F.col("scenario") == s).select("cluster_id", "n"), "n", "cluster_id"), "study-split") for s in STUDIED}
+
+
+def _rejections(studies: dict[str, DataFrame]) -> DataFrame:
+    each = [resample.power(split, EFFECTS, 60, 0.05, SHARES, 199).withColumn("scenario", F.lit(s)) for s, split in studies.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def wild_power(spark: SparkSession, d: str) -> DataFrame:
-    """Rejection rates of simulated studies with the clusters of the EXCLUDE scenario, with Wilson intervals."""
-    r = _rejections(_study_split(spark, d))
-    low, high = stats.wilson(F.col("wild"), F.col("trials"))
-    return _round(r.withColumn("low", low).withColumn("high", high), 6, "low", "high")
+    """Rejection rates of simulated studies with the clusters of each scenario, by wild bootstrap and by the asymptotic t,
+    with Wilson intervals."""
+    r = _rejections(_studies(spark, d))
+    for name in ("wild", "asymptotic"):
+        low, high = stats.wilson(F.col(name), F.col("trials"))
+        r = r.withColumn(f"{name}_low", F.round(low, 6)).withColumn(f"{name}_high", F.round(high, 6))
+    return r
 
 
 def detectable_effect(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest simulated effect found in 80 % of the studies (null if none is), beside what the formula says."""
-    split = _study_split(spark, d)
-    m = cells.size_moments(split, "n", "treated").withColumn("deff", stats.design_effect(F.col("m_bar"), 0.05, F.coalesce("cv", F.lit(0.0))))
-    formula = m.agg((F.lit(stats.multiplier()) * F.sqrt(F.sum(F.col("deff") / F.col("n_obs")))).alias("formula"))
-    found = _rejections(split).agg(F.min(F.when((F.col("effect") > 0) & (F.col("wild") >= 0.8 * F.col("trials")), F.col("effect"))).alias("simulated"))
-    return _round(found.crossJoin(formula), 6, "formula")
+    """For each scenario the smallest simulated effect found in 80 % of the studies (null if none is), beside what the
+    formula says."""
+    studies = _studies(spark, d)
+    halves = reduce(DataFrame.unionByName, [split.withColumn("scenario", F.lit(s)) for s, split in studies.items()])
+    m = cells.size_moments(halves, "n", "scenario", "treated").withColumn("deff", stats.design_effect(F.col("m_bar"), 0.05, F.coalesce("cv", F.lit(0.0))))
+    formula = m.groupBy("scenario").agg((F.lit(stats.multiplier()) * F.sqrt(F.sum(F.col("deff") / F.col("n_obs")))).alias("formula"))
+    enough = (F.col("effect") > 0) & (F.col("wild") >= 0.8 * F.col("trials"))
+    found = _rejections(studies).groupBy("scenario").agg(F.min(F.when(enough, F.col("effect"))).alias("simulated"))
+    return _round(formula.join(found, "scenario", "left"), 6, "formula")
 
 
 # --- estimands --------------------------------------------------------------------------------------------------------
@@ -248,10 +295,17 @@ def tau_by_year(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interaction(spark: SparkSession, d: str) -> DataFrame:
-    """Interaction of male and upper with fixed effects of the category path."""
-    f = _scored(spark, d)
+    """Interaction of male and upper with fixed effects of the garment category, tested by style.
+
+    The category is the path's last segment behind the general ones: whole paths name the gender, so within them the
+    interaction has no variation; inside a garment category only the gender varies.
+    """
+    category = F.coalesce(F.try_element_at("garment", F.lit(-1)), F.lit("(none)")).alias("category")
+    index = frames.style_index(table(spark, d, "metadata"), category)
+    f = frames.final_counts(R._windowed(spark, d), index).withColumn("score", text.score(F.col("label")))
     x = F.when((F.col("gender") == "men") & (F.col("half") == "upper"), 1.0).otherwise(0.0)
-    return _round(estimand.demeaned_slope(f, "store", F.col("score"), x, "n"), 8, "slope")
+    left = estimand.residualised(f, "category", F.col("score"), x, "n", "parent_asin")
+    return _round(resample.wild_bootstrap(left, [], "parent_asin", F.col("x"), F.col("y"), F.col("n"), 399), 6, "beta", "t", "p")
 
 
 def within_person(spark: SparkSession, d: str) -> DataFrame:
@@ -310,12 +364,12 @@ def tau_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gradient_trend(spark: SparkSession, d: str) -> DataFrame:
-    """Slope of the score over garment classes, by gender."""
+    """Slope of the score over the order of garment classes, by gender, tested by style."""
     f = _scored(spark, d).filter("gradient is not null")
     at = F.lit(None).cast("int")
     for g, p in P.GRADIENT_POSITION.items():
         at = F.when(F.col("gradient") == g, p).otherwise(at)
-    return _round(estimand.trend(f, at, F.col("score"), F.col("n"), "gender"), 8, "slope")
+    return _round(resample.wild_bootstrap(f, ["gender"], "parent_asin", at, F.col("score"), F.col("n"), 399), 6, "beta", "t", "p")
 
 
 def buyer_gender(spark: SparkSession, d: str) -> DataFrame:
@@ -377,15 +431,34 @@ def block_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def block_composition(spark: SparkSession, d: str) -> DataFrame:
     """Label shares of head, middle and tail blocks, their spread and whether it is within tolerance."""
-    b = sampling.three_blocks(R._reviews(spark, d), "review_id", 2000)
+    b = frames.labelled_reviews(sampling.three_blocks(table(spark, d, "review"), "review_id", 2000), "block")
     rate = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
     one = b.groupBy("block").agg(*[rate(F.col("label") == x).alias(x) for x in BUCKETS], rate(F.col("label").isin(BUCKETS)).alias("usable"), rate(F.col("verified")).alias("verified"))
-    tol = {**dict.fromkeys([*BUCKETS, "usable"], 2.0), "verified": 8.0}
+    return _within(one, {**dict.fromkeys([*BUCKETS, "usable"], 2.0), "verified": 8.0})
+
+
+def _within(one: DataFrame, tol: dict[str, float]) -> DataFrame:
+    """(measure, spread, tolerance, ok) of rates by block."""
     spread = one.agg(*[(F.max(m) - F.min(m)).alias(m) for m in tol])
     long = spread.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("spread"), F.lit(t).alias("tolerance")) for m, t in tol.items()])).alias("x")).select("x.*")
     return _round(long.withColumn("ok", F.col("spread") <= F.col("tolerance")), 6, "spread")
 
 
+# Tolerances of the items' shares in percentage points.
+ITEM_TOLERANCE = {"both": 3.0, "men": 3.0, "women": 4.0, "upper": 3.0, "lower": 2.0}
+
+
+def item_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of genders, body halves and items with both in head, middle and tail blocks, their spread and whether it is
+    within tolerance."""
+    b = frames.with_taxonomy(sampling.three_blocks(table(spark, d, "metadata").select("item_id", "categories"), "item_id", 2000))
+    rate = lambda c: F.avg(F.when(c, 100.0).otherwise(0.0))
+    g, h = F.col("gender"), F.col("half")
+    both = g.isin("men", "women") & h.isin("upper", "lower")
+    one = b.groupBy("block").agg(rate(both).alias("both"), *[rate(c == x).alias(x) for c, x in ((g, "men"), (g, "women"), (h, "upper"), (h, "lower"))])
+    return _within(one, ITEM_TOLERANCE)
+
+
 # --- power ------------------------------------------------------------------------------------------------------------
 
 # Usable observations per cell of each analysis window, and the clustering scenarios.
@@ -407,6 +480,23 @@ def window_power(spark: SparkSession, d: str) -> DataFrame:
     return _round(j.select("window", "scenario", "deff", stats.mde(inverse).alias("mde")), 6, "deff", "mde")
 
 
+#: Effect that the windows' figures are compared with.
+TARGET = 0.2
+
+
+def target_multipliers(spark: SparkSession, d: str) -> DataFrame:
+    """How many times the observations each window and scenario needs to detect TARGET."""
+    return _round(window_power(spark, d).select("window", "scenario", stats.multiplier_to(F.col("mde"), TARGET).alias("times")), 4, "times")
+
+
+def corpus_scale(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled reviews of each bucket scaled to the whole corpus."""
+    r = R.label_histogram(spark, d).select("label", "n")
+    total = r.agg(F.sum("n").alias("scanned"))
+    t = r.filter(F.col("label").isin(BUCKETS)).crossJoin(F.broadcast(total)).withColumn("factor", stats.scale_factor(F.col("scanned")))
+    return _round(t.select("label", "n", "factor", (F.col("n") * F.col("factor")).alias("in_corpus")), 4, "factor", "in_corpus")
+
+
 def variance_share(spark: SparkSession, d: str) -> DataFrame:
     """Share of tau's variance that each cell of a window brings."""
     w = spark.createDataFrame(WINDOW_CELLS, "window string, " + ", ".join(f"{c} int" for c in CELLS))
@@ -457,10 +547,10 @@ def trend_power(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion, hand_precision, lambdas, lambdas_without_advice, p_zero, residual_bias, lambda_interval, truth_prediction, precision_recall, reweighted_precision, recall_by_half,
+        confusion, labels_with_key, hand_precision, lambdas, lambdas_without_advice, lambdas_without_advice_by_item, p_zero, residual_bias, lambda_interval, truth_prediction, precision_recall, reweighted_precision, recall_by_half,
         labelled_rate, pattern_precision, score_anova, deviation_anova, within_store_gap, wild_bootstrap, scenario_bound, homogeneity, wild_power, detectable_effect, cell_means, tau, tau_by_year,
         interaction, within_person, calibration, tau_without_advice, reporting, weighted_tau, tau_bounds, gradient_trend, buyer_gender, stratified_sample, sample_frame, blind_sample,
-        label_examples, distinct_records, block_sample, block_composition, window_power, variance_share, power_scenarios, trend_power,
+        label_examples, distinct_records, block_sample, block_composition, item_blocks, window_power, target_multipliers, corpus_scale, variance_share, power_scenarios, trend_power,
     )
 }
 ORACLE = {"deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED, R.MANY_ASINS)

@@ -125,6 +125,22 @@ CASE WHEN low >= 0.8 THEN 'PASS' WHEN high < 0.8 THEN 'FAIL' ELSE 'INCONCLUSIVE'
 SELECT grp, round(la, 6) AS lambda, round(re, 6) AS residual, round(rv, 6) AS lambda_reverse, CASE WHEN la > 0 THEN round(0.156 / la, 6) END AS operative FROM l""".replace("AS lambda,", 'AS "lambda",'),
         "lambdas_without_advice": f"""{HAND}, {S.labelled('hl', 'review_title', 'review_text')}, kp AS (SELECT * FROM lab WHERE NOT coalesce({_FIRED}, false)), cc AS (SELECT {counts()} FROM kp)
 SELECT round({_LAM}, 6) AS "lambda", round({_RES}, 6) AS residual, round({_REV}, 6) AS lambda_reverse FROM cc""",
+        "lambdas_without_advice_by_item": f"""{HAND}, kk AS (SELECT * FROM precision_key WHERE review_id_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_id_hash ORDER BY parent_asin DESC NULLS LAST, assigned_bucket DESC NULLS LAST,
+        gender DESC NULLS LAST, body_half DESC NULLS LAST, review_title DESC NULLS LAST, review_text DESC NULLS LAST) = 1), k2 AS (SELECT review_id_hash, parent_asin, assigned_bucket AS assigned, review_title, review_text FROM kk),
+{S.labelled('k2', 'review_title', 'review_text')}, fi AS (SELECT *, CASE assigned {' '.join(f"WHEN '{b}' THEN h{k} = 1" for k, b in enumerate(BUCKETS))} END AS has, {_FIRED} AS adv FROM lab),
+fa AS (SELECT parent_asin, assigned, coalesce(adv, false) AS adv FROM fi WHERE has QUALIFY row_number() OVER (PARTITION BY parent_asin, assigned ORDER BY review_id_hash) = 1),
+kp AS (SELECT hl.* FROM hl LEFT JOIN fa ON hl.parent_asin = fa.parent_asin AND hl.assigned = fa.assigned WHERE NOT coalesce(adv, false)), cc AS (SELECT {counts()} FROM kp)
+SELECT round({_LAM}, 6) AS "lambda", round({_RES}, 6) AS residual, round({_REV}, 6) AS lambda_reverse FROM cc""",
+        "labels_with_key": """WITH h AS (SELECT review_id_hash, max(trim(human_label)) AS human FROM precision_key WHERE trim(human_label) <> '' AND review_id_hash IS NOT NULL GROUP BY 1),
+k AS (SELECT review_id_hash, assigned_bucket AS assigned FROM precision_key WHERE review_id_hash IS NOT NULL QUALIFY row_number() OVER (PARTITION BY review_id_hash ORDER BY parent_asin DESC NULLS LAST, assigned_bucket DESC NULLS LAST) = 1)
+SELECT assigned, human, count(*) AS n FROM h JOIN k USING (review_id_hash) GROUP BY 1, 2""",
+        "corpus_scale": f"""WITH {S.labelled('review', 'title', 'text')}, n AS (SELECT count(*) AS s FROM review) SELECT label, count(*) AS n, round(66e6 / any_value(s), 4) AS factor, round(count(*) * (66e6 / any_value(s)), 4) AS in_corpus FROM lab, n WHERE {S.IN_BUCKETS} GROUP BY 1""",
+        "target_multipliers": f"""WITH {win}, sc(scenario, icc, cv) AS (VALUES {values(scenarios)}), j AS (SELECT *, {deff} AS deff FROM wn, sc)
+SELECT window_ AS "window", scenario, round((round({multiplier()!r} * sqrt({' + '.join(f'deff / {c}' for c in cells)}), 6) / 0.2) ** 2, 4) AS times FROM j""",
+        "item_blocks": f"""WITH {S.TAXONOMY}, p AS (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM tax),
+bk AS (SELECT 'head' AS bl, * FROM p WHERE pos < 2000 UNION ALL SELECT 'middle', * FROM p WHERE pos >= n // 2 AND pos < n // 2 + 2000 UNION ALL SELECT 'tail', * FROM p WHERE pos >= greatest(floor(n - 2400), 0) AND pos < greatest(floor(n - 2400), 0) + 2000),
+r AS (SELECT bl, 100 * avg((gender IN ('men', 'women') AND half IN ('upper', 'lower'))::INT) AS "both", 100 * avg((gender = 'men')::INT) AS men, 100 * avg((gender = 'women')::INT) AS women, 100 * avg((half = 'upper')::INT) AS "upper", 100 * avg((half = 'lower')::INT) AS "lower" FROM bk GROUP BY 1)
+{' UNION ALL '.join(f"SELECT '{m}' AS measure, round(max({chr(34)}{m}{chr(34)}) - min({chr(34)}{m}{chr(34)}), 6) AS spread, {t}::DOUBLE AS tolerance, max({chr(34)}{m}{chr(34)}) - min({chr(34)}{m}{chr(34)}) <= {t} AS ok FROM r" for m, t in (('both', 3.0), ('men', 3.0), ('women', 4.0), ('upper', 3.0), ('lower', 2.0)))}""",
         "p_zero": f"{HAND}, cc AS (SELECT {counts()} FROM hl) " + " UNION ALL ".join(f"SELECT '{g}' AS gender, '{h}' AS half, round({p_zero(c)}, 6) AS p0 FROM cc" for (g, h), c in P.CELL_ASSIGNED.items()),
         "residual_bias": f"""{HAND}, cc AS (SELECT gender, {counts()} FROM hl WHERE gender IN ('men', 'women') GROUP BY 1), r AS (SELECT *, {_RES} AS res FROM cc), t AS (SELECT gender, CASE gender {_BIAS} END AS term FROM r)
 SELECT round((max(term) FILTER (gender = 'men') - max(term) FILTER (gender = 'women')) / {_SD!r}, 8) AS bias_sd, round(max(term) FILTER (gender = 'men'), 8) AS term_men, round(max(term) FILTER (gender = 'women'), 8) AS term_women FROM t""",
@@ -145,22 +161,22 @@ SELECT corpus, bucket, upper_n, lower_n, round(u, 6) AS upper_recall, round(l, 6
         "within_store_gap": f"""{S.FINAL}, g AS (SELECT store, count(*) FILTER (gender = 'men') na, count(*) FILTER (gender = 'women') nb, avg(score) FILTER (gender = 'men') ma, avg(score) FILTER (gender = 'women') mb FROM fin GROUP BY 1),
 b AS (SELECT *, ma - mb AS gap, least(na, nb) AS w FROM g WHERE na > 0 AND nb > 0)
 SELECT (SELECT count(*) FROM g) AS n_groups, count(*) AS n_both, coalesce(sum(na + nb), 0) AS n_covered, coalesce(sum(na), 0) AS n_a, round(sum(gap * w) / sum(w), 8) AS weighted_gap, round(avg(gap), 8) AS unweighted_gap, count(*) >= 15 AND coalesce(sum(na), 0) >= 30 AS enough FROM b""",
-        "wild_bootstrap": f"{S.FINAL}, ob AS (SELECT parent_asin AS cluster, {_X} AS x, score AS y FROM fin), {cluster_t('ob', 199, '0')} SELECT round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p FROM pv",
+        "wild_bootstrap": f"{S.FINAL}, ob AS (SELECT parent_asin AS cluster, {_X} AS x, score AS y FROM fin), {cluster_t('ob', 399, '0')} SELECT round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p FROM pv",
         "scenario_bound": f"""{S.FINAL}, pa AS (SELECT DISTINCT parent_asin, asin FROM obs WHERE asin <> ''), many AS (SELECT parent_asin FROM pa GROUP BY 1 HAVING count(*) > {many}),
 fm AS (SELECT *, parent_asin IN (SELECT parent_asin FROM many) AS m FROM fin),
 ob AS (SELECT 'KEEP' AS scenario, parent_asin AS cluster, {_X} AS x, score AS y FROM fm UNION ALL SELECT 'EXCLUDE', parent_asin, {_X}, score FROM fm WHERE NOT m
 UNION ALL SELECT 'SPLIT', CASE WHEN m THEN parent_asin || '/' || coalesce(asin, '') ELSE parent_asin END, {_X}, score FROM fm UNION ALL SELECT 'STORE', store, {_X}, score FROM fm),
-{cluster_t('ob', 99, '0', 'scenario')}, b AS (SELECT *, max(p) OVER () AS max_p FROM pv)
+{cluster_t('ob', 399, '0', 'scenario')}, b AS (SELECT *, max(p) OVER () AS max_p FROM pv)
 SELECT scenario, round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p, round(max_p, 6) AS max_p, max_p < 0.05 AS claim FROM b""",
         "homogeneity": f"""{S.FINAL}, pa AS (SELECT DISTINCT parent_asin, asin FROM obs WHERE asin <> ''), many AS (SELECT parent_asin FROM pa GROUP BY 1 HAVING count(*) > {many}),
 hv AS (SELECT parent_asin FROM fin WHERE parent_asin IN (SELECT parent_asin FROM many) GROUP BY 1 ORDER BY count(*) DESC, parent_asin LIMIT 4),
-mm AS (SELECT parent_asin AS gr, asin AS me, {', '.join(f"sum((label = '{b}')::INT) AS n{k}" for k, b in enumerate(BUCKETS))}, count(*) AS sz FROM fin WHERE asin <> '' AND parent_asin IN (SELECT parent_asin FROM hv) GROUP BY 1, 2 HAVING count(*) >= 2),
+mm AS (SELECT parent_asin AS gr, asin AS me, {', '.join(f"sum((label = '{b}')::INT) AS n{k}" for k, b in enumerate(BUCKETS))}, count(*) AS sz FROM fin WHERE asin <> '' AND parent_asin IN (SELECT parent_asin FROM hv) GROUP BY 1, 2 HAVING count(*) >= 5),
 po AS (SELECT gr, sum(n0) / sum(sz) AS s0, sum(n1) / sum(sz) AS s1, sum(n2) / sum(sz) AS s2, count(*) AS k FROM mm GROUP BY 1), ba AS (SELECT * FROM mm JOIN po USING (gr)),
-dr AS (SELECT gr, me, sz, s0, s1, s2, rep, {uniform("concat_ws('|', '20260815', gr, me, rep, draw)")} AS u FROM ba, range(1, 200) a(rep), LATERAL (SELECT unnest(range(1, sz + 1)) AS draw)),
+dr AS (SELECT gr, me, sz, s0, s1, s2, rep, {uniform("concat_ws('|', '20260815', gr, me, rep, draw)")} AS u FROM ba, range(1, 1000) a(rep), LATERAL (SELECT unnest(range(1, sz + 1)) AS draw)),
 si AS (SELECT gr, me, rep, sz, s0, s1, s2, sum((u <= s0)::INT) AS n0, sum((u > s0 AND u <= s0 + s1)::INT) AS n1, sum((u > s0 + s1)::INT) AS n2 FROM dr GROUP BY ALL),
 ob2 AS (SELECT gr, sum({_X2}) AS x2, any_value(k) AS k FROM ba GROUP BY 1), st2 AS (SELECT gr, rep, sum({_X2}) AS xs FROM si GROUP BY 1, 2)
 SELECT ob2.gr AS parent_asin, any_value(k) AS n_members, round(CASE WHEN any_value(k) < 2 THEN 0.0 ELSE any_value(x2) END, 6) AS x2, round(CASE WHEN any_value(k) < 2 THEN 0.0 ELSE any_value(x2) / ((any_value(k) - 1) * 2) END, 6) AS dispersion,
-round(CASE WHEN any_value(k) < 2 THEN 1.0 ELSE (count(*) FILTER (xs >= x2 - 1e-9) + 1) / 200 END, 6) AS p, any_value(k) >= 3 AS testable FROM ob2 JOIN st2 ON ob2.gr = st2.gr GROUP BY 1""",
+round(CASE WHEN any_value(k) < 2 THEN 1.0 ELSE (count(*) FILTER (xs >= x2 - 1e-9) + 1) / 1000 END, 6) AS p, any_value(k) >= 3 AS testable FROM ob2 JOIN st2 ON ob2.gr = st2.gr GROUP BY 1""",
         "cell_means": f"{CELL} SELECT gender, half, n, round(mean, 8) AS mean FROM ce",
         "tau": f"""{CELL}, sm AS (SELECT parent_asin, gender, half, avg(score) m FROM fin GROUP BY 1, 2, 3), sc AS (SELECT gender, half, avg(m) AS mean FROM sm GROUP BY 1, 2)
 SELECT 'review' AS weighting, round({TAU}, 8) AS tau FROM ce UNION ALL SELECT 'style', round({TAU}, 8) FROM sc""",
@@ -176,7 +192,15 @@ SELECT 'folded' AS spec, round({TAU}, 8) AS tau FROM c1 UNION ALL SELECT 'exclud
 ce AS (SELECT w.gender, w.half, sum(score / rate) / sum(1 / rate) AS mean FROM wi w JOIN rt r ON w.gender = r.gender AND w.half = r.half AND w.g = r.g WHERE score IS NOT NULL GROUP BY 1, 2) SELECT round({TAU}, 8) AS tau FROM ce""",
         "tau_bounds": f"""{WIN}, b AS (SELECT gender, half, (gender = 'men') = (half = 'upper') AS plus, avg(coalesce(score, -1)) lo, avg(coalesce(score, 1)) hi FROM wi GROUP BY 1, 2),
 c1 AS (SELECT gender, half, CASE WHEN plus THEN lo ELSE hi END AS mean FROM b), c2 AS (SELECT gender, half, CASE WHEN plus THEN hi ELSE lo END AS mean FROM b) SELECT (SELECT round({TAU}, 8) FROM c1) AS low, (SELECT round({TAU}, 8) FROM c2) AS high""",
-        "gradient_trend": f"{S.FINAL} SELECT gender, round(regr_slope(score, CASE gradient WHEN 'jeans_trousers' THEN 0 WHEN 'shirt' THEN 1 ELSE 2 END), 8) AS slope FROM fin WHERE gradient IS NOT NULL GROUP BY 1",
+        "gradient_trend": f"""{S.FINAL}, gt AS (SELECT gender, parent_asin AS cluster, (CASE gradient WHEN 'jeans_trousers' THEN 0 WHEN 'shirt' THEN 1 ELSE 2 END)::DOUBLE AS x, score AS y FROM fin WHERE gradient IS NOT NULL), {cluster_t('gt', 399, '0', 'gender')}
+SELECT scenario AS gender, round(beta, 6) AS beta, round(t, 6) AS t, n_clusters, round(p, 6) AS p FROM pv""",
+        "interaction": f"""{S.FINAL}, f0 AS (SELECT parent_asin, category AS f, (gender = 'men')::INT::DOUBLE AS m, (half = 'upper')::INT::DOUBLE AS u, {_X} AS i, score AS y FROM fin),
+dm AS (SELECT parent_asin, m - avg(m) OVER w AS m, u - avg(u) OVER w AS u, i - avg(i) OVER w AS i, y - avg(y) OVER w AS y FROM f0 WINDOW w AS (PARTITION BY f)),
+k1 AS (SELECT sum(m * m) mm, sum(m * u) mu, sum(m * i) mi, sum(m * y) my FROM dm),
+um AS (SELECT parent_asin, u - CASE WHEN mm > 1e-9 THEN mu / mm ELSE 0 END * m AS u, i - CASE WHEN mm > 1e-9 THEN mi / mm ELSE 0 END * m AS i, y - CASE WHEN mm > 1e-9 THEN my / mm ELSE 0 END * m AS y FROM dm, k1),
+k2 AS (SELECT sum(u * u) uu, sum(u * i) ui, sum(u * y) uy FROM um),
+ob AS (SELECT parent_asin AS cluster, i - CASE WHEN uu > 1e-9 THEN ui / uu ELSE 0 END * u AS x, y - CASE WHEN uu > 1e-9 THEN uy / uu ELSE 0 END * u AS y FROM um, k2), {cluster_t('ob', 399, '0')}, ok AS (SELECT sum(x * x) > 1e-9 AS ok FROM ob)
+SELECT CASE WHEN ok THEN round(beta, 6) ELSE 0 END AS beta, CASE WHEN ok THEN round(t, 6) ELSE 0 END AS t, n_clusters, CASE WHEN ok THEN round(p, 6) ELSE 1 END AS p FROM pv, ok""",
         "buyer_gender": f"""{S.JOINED}, u AS (SELECT user_id, count(*) FILTER (gender = 'men') m, count(*) FILTER (gender = 'women') w FROM obs WHERE user_id IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
 SELECT CASE WHEN m >= w THEN 'men' ELSE 'women' END AS gender, count(*) AS n_buyers, sum((least(m, w) = 0)::INT) AS n_only FROM u GROUP BY 1""",
         "stratified_sample": f"{sample} SELECT review_id, label, gender, half, item_title, rank FROM rk WHERE rank <= {per_stratum}",

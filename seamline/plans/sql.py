@@ -70,7 +70,7 @@ tx AS (SELECT *, CASE WHEN {has('path', P.CHILD)} THEN 'children_excluded' WHEN
        WHEN {has('path', P.MEN)} THEN 'men' WHEN {has('path', P.WOMEN)} THEN 'women' WHEN {has('path', P.UNISEX)} THEN 'unisex' ELSE 'unknown' END AS gender,
        coalesce({leaf_first('garment', P.HALF)}, 'unknown') AS half, {_gradient('garment')} AS gr0 FROM gs),
 tax AS (SELECT *, CASE WHEN half <> 'excluded' THEN gr0 END AS gradient FROM tx),
-idx AS (SELECT parent_asin, gender, half, gradient, path, {squash("coalesce(title, '')")} AS item_title,
+idx AS (SELECT parent_asin, gender, half, gradient, path, {squash("coalesce(title, '')")} AS item_title, coalesce(garment[-1], '(none)') AS category,
                coalesce(nullif(trim(store), ''), '(unnamed)') AS store
         FROM tax WHERE gender IN ('men', 'women') AND half IN ('upper', 'lower') AND parent_asin <> ''
         QUALIFY row_number() OVER (PARTITION BY parent_asin ORDER BY item_id DESC) = 1)
@@ -79,7 +79,7 @@ idx AS (SELECT parent_asin, gender, half, gradient, path, {squash("coalesce(titl
 REVIEWS = f"WITH {labelled('review', 'title', 'text')}, {TAXONOMY}"
 #: `obs`: reviews joined to the index.
 JOINED = f"""{REVIEWS}, obs AS (SELECT l.review_id, l.asin, l.parent_asin, l.user_id, coalesce(l.verified_purchase, false) AS verified, {YEAR} AS yr,
-        l.rating, l.b, l.label, {SCORE} AS score, i.gender, i.half, i.gradient, i.path, i.item_title, i.store
+        l.rating, l.b, l.label, {SCORE} AS score, i.gender, i.half, i.gradient, i.path, i.item_title, i.category, i.store
         FROM lab l JOIN idx i ON l.parent_asin = i.parent_asin)"""
 #: `fin`: labelled observations inside the window and verified.
 WINDOW_FROM = 2019

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,17 +139,31 @@ def test_anova_and_gap(spark):
     assert variance.within_gap(df.filter("g = 'men'"), "s", "g", "men", "women", "v", "n").first().weighted_gap is None
 
 
-def test_interaction_slope(spark):
-    import numpy as np
-
-    rng = random.Random(8)
-    rows = [(rng.choice("abc"), rng.choice(["men", "women"]), rng.choice(["upper", "lower"]), rng.choice([-1.0, 0.0, 1.0]), rng.randrange(1, 4)) for _ in range(150)]
-    x = [[float(f == k) for k in "abc"] + [float(g == "men"), float(h == "upper"), float(g == "men" and h == "upper")] for f, g, h, _, _ in rows]
-    w = np.sqrt([r[4] for r in rows])
-    beta = np.linalg.lstsq(np.array(x) * w[:, None], np.array([r[3] for r in rows]) * w, rcond=None)[0][-1]
-    df = spark.createDataFrame(rows, "f string, gender string, half string, y double, n long")
+def test_interaction_left_after_effects(spark):
+    """Slope and robust t against least squares with dummies; an effect that isn't identified is 0 with p 1."""
+    rng = np.random.default_rng(3)
+    rows = [(f"s{k // 4}", f"c{k % 5}", ("men", "women")[(k // 4) % 2], ("upper", "lower")[k % 5 > 2], float(rng.normal()), int(rng.integers(1, 4))) for k in range(240)]
+    df = spark.createDataFrame(rows, "style string, f string, gender string, half string, y double, n long")
     male_upper = F.when((F.col("gender") == "men") & (F.col("half") == "upper"), 1.0).otherwise(0.0)
-    assert estimand.demeaned_slope(df, "f", F.col("y"), male_upper, "n").first().slope == pytest.approx(beta)
+    left = estimand.residualised(df, "f", F.col("y"), male_upper, "n", "style")
+    got = resample.wild_bootstrap(left, [], "style", F.col("x"), F.col("y"), F.col("n"), 19).first()
+    male = np.array([r[2] == "men" for r in rows], float)
+    upper = np.array([r[3] == "upper" for r in rows], float)
+    design = np.column_stack([*[np.array([r[1] == f"c{j}" for r in rows], float) for j in range(5)], male, male * upper])
+    w, y = np.array([r[5] for r in rows], float), np.array([r[4] for r in rows])
+    beta = np.linalg.lstsq(design * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+    assert got.beta == pytest.approx(beta[-1])
+    rest = design[:, :-1]
+    x = male * upper - rest @ np.linalg.lstsq(rest * np.sqrt(w)[:, None], male * upper * np.sqrt(w), rcond=None)[0]
+    score = {}
+    for k, r in enumerate(rows):
+        score[r[0]] = score.get(r[0], 0.0) + w[k] * x[k] * (y[k] - design[k] @ beta)
+    g, sxx = len(score), (w * x * x).sum()
+    assert got.t == pytest.approx(beta[-1] / np.sqrt(g / (g - 1) * sum(v * v for v in score.values()) / sxx**2))
+    flat = estimand.residualised(df.filter("gender = 'men'"), "f", F.col("y"), male_upper, "n", "style")
+    none = resample.wild_bootstrap(flat, [], "style", F.col("x"), F.col("y"), F.col("n"), 19).first()
+    assert (none.beta, none.t, none.p) == (0.0, 0.0, 1.0)
+    assert estimand.residualised(df.limit(0), "f", F.col("y"), male_upper, "n", "style").count() == 0
 
 
 def test_small_maps(spark):
@@ -180,8 +195,10 @@ def test_quantiles_concentration_split(spark):
 
 def test_samples(spark):
     df = spark.createDataFrame([(k * 7, k % 3) for k in range(1000)], "id long, s int")
-    pos = {r.id: r.pos for r in sampling.numbered(df, "id").collect()}
-    assert pos == {k * 7: k for k in range(1000)}
+    uneven = spark.createDataFrame([(k if k < 900 else k * k * k,) for k in range(1000)] + [(None,)], "id long")
+    got = {(r.block, r.id) for r in sampling.block_sample(uneven, "id", 200, 10).collect()}
+    assert got == {(k // 100, k if k < 900 else k * k * k) for k in range(1000) if k % 100 < 20}
+    assert sampling.block_sample(df.limit(0), "id", 100, 10).count() == sampling.three_blocks(df.limit(0), "id", 10).count() == 0
     b = sampling.block_sample(df, "id", 103, 10).collect()
     assert len(b) == 100 and {r.block for r in b} == set(range(10)) and min(r.id for r in b if r.block == 3) == 300 * 7
     assert sampling.block_sample(df.limit(3), "id", 100, 10).count() == 0
