@@ -71,3 +71,25 @@ def corpus_half(corpus: Column, category: Column) -> Column:
     for h, names in P.CORPUS_HALF["rentals"].items():
         rentals = F.when(category.isin(names), h).otherwise(rentals)
     return F.when(corpus == "closet", closet).when(corpus == "rentals", rentals).otherwise("unknown")
+
+
+def retail_scope(has_block: Column, gender_: Column, category: Column) -> Column:
+    """Why a shop's page is left out, or `keep`. Null and empty fields are missing; values compare as they are written."""
+    g, c = F.coalesce(gender_, F.lit("")), F.coalesce(category, F.lit(""))
+    wanted = [name for names in P.RETAIL_HALF.values() for name in names]
+    return (
+        F.when(~F.coalesce(has_block, F.lit(False)), "no-metadata-block")
+        .when(g == "", "missing-gender")
+        .when(~g.isin(P.RETAIL_ADULTS), F.concat(F.lit("non-adult-gender:"), g))
+        .when(c == "", "missing-category")
+        .when(~c.isin(wanted), F.concat(F.lit("off-category:"), c))
+        .otherwise("keep")
+    )
+
+
+def retail_half(category: Column) -> Column:
+    """upper, lower or other of a shop's category."""
+    out = F.lit("other")
+    for h, names in P.RETAIL_HALF.items():
+        out = F.when(category.isin(names), h).otherwise(out)
+    return out

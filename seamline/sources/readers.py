@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401 - used as pa.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,6 +87,69 @@ def byte_blocks(spark: SparkSession, path: str, schema: T.StructType, limit: int
     return picked.filter(F.col("_r") <= limit // blocks).select("r.*", "block")
 
 
+def byte_ranges(spark: SparkSession, path: str, schema: T.StructType, offsets: list[int], limit: int) -> DataFrame:
+    """The first `limit` records from each byte offset of a file of JSON lines, with the `offset`; one task per offset.
+
+    A line that begins before the offset is left out; blank and malformed lines give no record and aren't counted. An
+    offset at or behind the file's end gives nothing, and ranges may overlap. Only what the records need is read.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = "file://" + uri.removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, name = pa.fs.FileSystem.from_uri(uri)
+        for b in batches:
+            for offset in b.column("offset").to_pylist():
+                lines: list[str] = []
+                with store.open_input_file(name) as f:
+                    if offset < f.size():
+                        f.seek(max(offset - 1, 0))
+                        lines = _records(f, limit, partial=offset > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([offset] * len(lines), pa.int64()), pa.array(lines, pa.string())], ["offset", "line"])
+
+    asked = spark.createDataFrame([(int(o),) for o in offsets], "offset long").repartition(max(len(offsets), 1))
+    lines = asked.mapInArrow(run, "offset long, line string")
+    return lines.select(parsed(F.col("line"), schema).alias("r"), "offset").filter("r is not null").select("r.*", "offset")
+
+
+def _records(f, limit: int, partial: bool) -> list[str]:
+    """Up to `limit` lines holding a JSON object from here on; the rest of a line that began before is skipped."""
+    out, rest = [], b""
+    while len(out) < limit:
+        more = f.read(1 << 20)
+        *whole, rest = (rest + more).split(b"\n")
+        if not more:
+            whole, rest = [rest], b""
+        for raw in whole:
+            if partial:
+                partial = False  # ends the line that holds the byte before the offset
+            elif len(out) < limit and _is_object(raw):
+                out.append(raw.decode("utf-8", "replace"))
+        if not more:
+            break
+    return out
+
+
+def _is_object(raw: bytes) -> bool:
+    try:
+        return isinstance(json.loads(raw), dict)
+    except ValueError:
+        return False
+
+
+def scan(spark: SparkSession, path: str, schema: T.StructType, limit: int, sampling: str = "prefix", blocks: int = 24) -> DataFrame:
+    """`limit` records of a file of JSON lines with their `offset`: its first ones (`prefix`), or limit // blocks from each
+    of `blocks` evenly spaced places (`spread`; a remainder is dropped). Another sampling is an error."""
+    if sampling == "prefix":
+        return byte_ranges(spark, path, schema, [0], limit)
+    if sampling != "spread":
+        raise ValueError(f"unknown sampling: {sampling}")
+    size = file_sizes(spark, path).agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    return byte_ranges(spark, path, schema, sorted({size * k // blocks for k in range(blocks)}), limit // blocks)
+
+
 def csv_by_key(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None) -> DataFrame:
     """Rows of a CSV file with a header, the last one of each key; all columns are strings unless a schema says more."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -118,6 +187,16 @@ def sitemap_locations(xml: Column, kind: str = "url") -> Column:
     return F.filter(F.transform(found, lambda u: F.regexp_replace(u, r"^\s+|\s+$", "")), lambda u: u != "")
 
 
+def listed(sitemaps: list[DataFrame], url: str) -> DataFrame:
+    """The URLs of several sitemaps one after the other, with the number of the `list`; repeats stay."""
+    return reduce(DataFrame.unionByName, [df.select(F.col(url).alias("url"), F.lit(k).alias("list")) for k, df in enumerate(sitemaps)])
+
+
+def cluster_dump(spark: SparkSession, path: str) -> DataFrame:
+    """(scenario, cluster_id, n) of a dump of clusters written by sinks.write_clusters."""
+    return spark.read.schema("scenario string, cluster_id string, n long").json(path)
+
+
 def https(url: Column) -> Column:
     return F.regexp_replace(url, "^http://", "https://")
 
@@ -133,8 +212,8 @@ REACH = 4000
 FIELDS = ["prodid", "baseProduct", "pname", "pvalue", "p_actual_price", "waist", "fit", "cuff", "zipOrButton", "CD_Color", "pcat", "psubcat", "pgender", "sleeve"]
 
 
-def page_fields(html: Column) -> Column:
-    """Struct of a product page's metadata fields: null where a field is absent, empty where it is published empty.
+def page_fields(html: Column, fields: list[str] = FIELDS) -> Column:
+    """Struct of a product page's metadata fields, or of some of them: null where a field is absent, empty where it is published empty.
 
     Null without the block's anchor. Values stand in single or double quotes, with escapes kept as written.
     """
@@ -149,7 +228,7 @@ def page_fields(html: Column) -> Column:
         value = F.when(first_single, F.regexp_extract(block, single, 1)).when(d_at > 0, F.regexp_extract(block, double, 1))
         return F.regexp_replace(value, r"^\s+|\s+$", "").alias(name)
 
-    return F.when(at > 0, F.struct(*map(field, FIELDS)))
+    return F.when(at > 0, F.struct(*map(field, fields)))
 
 
 def result_count(payload: Column) -> Column:

@@ -19,9 +19,20 @@ def write_json_lines(df: DataFrame, path: str, order: str) -> None:
     df.orderBy(order).write.mode("errorifexists").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header that readers.csv_by_key reads back as it was: quotes doubled, white space kept."""
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("errorifexists").options(**kept).csv(path)
+
+
 def write_blind_sample(sample: DataFrame, path: str) -> None:
     """`path`_key with every column of the sample and `path`_blind with the labeller's columns, both in hashed order."""
     order = F.md5(F.col("review_id_hash"))
     blind = sample.select(*[F.col(c) if c in sample.columns else F.lit("").alias(c) for c in BLIND])
     for df, name in ((sample, "key"), (blind, "blind")):
-        df.orderBy(order, "review_id_hash").write.mode("errorifexists").option("header", True).option("escape", '"').csv(f"{path}_{name}")
+        write_csv(df.orderBy(order, "review_id_hash"), f"{path}_{name}")
+
+
+def write_clusters(sizes: DataFrame, path: str) -> None:
+    """Cluster sizes (scenario, cluster_id, n) as JSON lines; an existing path is an error."""
+    sizes.select("scenario", "cluster_id", "n").write.mode("errorifexists").json(path)

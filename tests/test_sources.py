@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from seamline.functions import taxonomy
 from seamline.sources import readers, sinks
 from seamline.streaming import live
 
@@ -45,6 +46,35 @@ def test_byte_blocks(spark, tmp_path):
     assert sorted(r.block for r in got) == sorted([0, 1, 2] * 10)
 
 
+def test_byte_ranges_and_scan(spark, tmp_path):
+    lines = [*LINES[:5], "", '{"rating": 1, "ti', "[1]", *LINES[5:]]
+    raw = "\n".join(lines)
+    path = tmp_path / "r.jsonl"
+    path.write_text(raw)
+    title = lambda df: [r.title for r in df.orderBy("offset").collect()]
+    for offset in (0, 1, len(LINES[0]), len(LINES[0]) + 1, len(LINES[0]) + 2, len(raw) - 1, len(raw), len(raw) + 9):
+        skipped = sum(1 for k in range(len(lines)) if (sum(len(x) + 1 for x in lines[:k]) < offset))
+        want = [x for x in lines[skipped:] if x in LINES][:7]
+        assert title(readers.byte_ranges(spark, str(path), readers.REVIEW, [offset], 7)) == [json.loads(x)["title"] for x in want], offset
+    assert title(readers.scan(spark, str(path), readers.REVIEW, 6)) == [f"t{k}" for k in range(6)]
+    spread = readers.scan(spark, str(path), readers.REVIEW, 9, "spread", 4).groupBy("offset").count().collect()
+    assert len(spread) == 4 and all(r["count"] == 2 for r in spread)
+    with pytest.raises(ValueError, match="sampling"):
+        readers.scan(spark, str(path), readers.REVIEW, 9, "other")
+    (tmp_path / "none.jsonl").write_text("")
+    assert readers.scan(spark, str(tmp_path / "none.jsonl"), readers.REVIEW, 5).count() == 0
+
+
+def test_retail_scope(spark):
+    rows = [(None, None, None), (True, None, "Jean"), (True, "", "Jean"), (True, "Kız Çocuk", "Jean"), (True, "Erkek", ""), (True, "Erkek", "Çanta"), (True, "Kadın", "Bluz")]
+    df = spark.createDataFrame(rows, "b boolean, g string, c string")
+    got = [tuple(r) for r in df.select(taxonomy.retail_scope(F.col("b"), F.col("g"), F.col("c")), taxonomy.retail_half(F.col("c"))).collect()]
+    assert got == [
+        ("no-metadata-block", "other"), ("missing-gender", "lower"), ("missing-gender", "lower"), ("non-adult-gender:Kız Çocuk", "lower"), ("missing-category", "other"),
+        ("off-category:Çanta", "other"), ("keep", "upper"),
+    ]
+
+
 def test_csv_and_map(spark, tmp_path):
     (tmp_path / "k.csv").write_text('id,label\na,1\nb,"x, ""y"""\na,2\n')
     assert {(r.id, r.label) for r in readers.csv_by_key(spark, str(tmp_path / "k.csv"), "id").collect()} == {("a", "2"), ("b", 'x, "y"')}
