@@ -370,7 +370,7 @@ def shared_spans(docs: DataFrame, least: int = LEAST) -> DataFrame:
     edges = _edges(_with_text(docs, asked, width), width, least)
     # contexts of one document: their places are bounded by its length
     partly = placed.join(edges, context).select("doc_id", (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("behind")).alias("hi"))
-    return merged(whole.unionByName(partly).distinct())
+    return merged(whole.unionByName(partly))
 
 
 def shared_shares(docs: DataFrame, spans: DataFrame) -> DataFrame:
