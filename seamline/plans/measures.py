@@ -553,4 +553,19 @@ QUERIES = {
         label_examples, distinct_records, block_sample, block_composition, item_blocks, window_power, target_multipliers, corpus_scale, variance_share, power_scenarios, trend_power,
     )
 }
-ORACLE = {"deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED, R.MANY_ASINS)
+_COUNTS = ", ".join(f"(count(*) FILTER (gender = '{s}' AND gradient = '{c}'))::DOUBLE AS {s[0]}{k}" for s in ("men", "women") for k, c in enumerate(["jeans_trousers", "shirt", "tshirt"]))
+_MEAN = "(({s}1 + 2 * {s}2) / nullif({s}0 + {s}1 + {s}2, 0))"
+_SCATTER = f"coalesce({{s}}0 * {_MEAN} ** 2 + {{s}}1 * (1 - {_MEAN}) ** 2 + {{s}}2 * (2 - {_MEAN}) ** 2, 0)"
+_SPAN = "coalesce(({s}1 + 2 * {s}2) / nullif({s}1 + {s}2, 0), 0)"
+_FOUR = " + ".join(f"deff / greatest({x}, 1e-9)" for s in "mw" for x in (f"{s}1 + {s}2", f"{s}0"))
+_Z = repr(stats.multiplier())
+TREND_SQL = f"""{R._SCENARIOS}, mo AS (SELECT scenario, avg(n) AS m_bar, stddev_pop(n) / avg(n) AS cv FROM sc WHERE scenario <> 'STORE' GROUP BY 1),
+gg AS (SELECT v.scenario, gender, gradient FROM fin, (VALUES ('KEEP'), ('SPLIT'), ('EXCLUDE')) v(scenario) WHERE gradient IS NOT NULL AND (v.scenario <> 'EXCLUDE' OR parent_asin NOT IN (SELECT parent_asin FROM many))),
+nn AS (SELECT scenario, {_COUNTS} FROM gg GROUP BY 1),
+j AS (SELECT nn.*, 1 + ((cv * cv + 1) * m_bar - 1) * 0.05 AS deff FROM nn JOIN mo ON nn.scenario = mo.scenario),
+k AS (SELECT *, {_SCATTER.format(s="m")} AS sm, {_SCATTER.format(s="w")} AS sw, ({_SPAN.format(s="m")} + {_SPAN.format(s="w")}) / 2 AS span FROM j),
+r AS (SELECT scenario, deff, CASE WHEN sm > 0 AND sw > 0 THEN {_Z} * sqrt(deff * (1 / sm + 1 / sw)) END AS trend, CASE WHEN sm > 0 THEN {_Z} * sqrt(deff / sm) END AS men, CASE WHEN sw > 0 THEN {_Z} * sqrt(deff / sw) END AS women,
+CASE WHEN sm > 0 AND sw > 0 AND span > 0 THEN {_Z} * sqrt({_FOUR}) / span END AS pooled FROM k)
+SELECT scenario, round(deff, 6) AS deff, round(trend, 6) AS trend, round(men, 6) AS men, round(women, 6) AS women, round(pooled, 6) AS pooled, round(pooled / trend, 6) AS gain FROM r"""
+
+ORACLE = {"trend_power": TREND_SQL, "deviation_anova": measures_sql.anova(R._DEV, "dv", "deviation")} | measures_sql.oracle(WINDOW_CELLS, SCENARIOS, CELLS, M_BAR, RAW, RESPONSE, POOL_SHARES, ICC_GRID, CV_GRID, PER_STRATUM, SEED, R.MANY_ASINS)
