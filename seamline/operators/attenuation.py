@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cuts import cut
 from ..functions import patterns as P
 from ..functions.text import BUCKETS, uniform
 
 PAIRS = [(k, j) for k in BUCKETS for j in BUCKETS]
+#: Draws of clusters made in a task, and clusters that are broadcast at most; beyond, draws are shuffled to them.
+DRAWS, SENT = 2_000_000, 500_000
 
 
 def c(k: str, j: str) -> str:
@@ -84,22 +87,24 @@ def bootstrap_lambda(rows: DataFrame, unit: str, replicates: int = 4000, seed: s
     """One row: n_clusters, n_valid, and the 2.5 % and 97.5 % positions of lambda over cluster resamples.
 
     `rows`: assigned, human and the cluster `unit` (null clusters are one). The counts of a resample are the sums of its
-    clusters' counts, so clusters are aggregated once and replicates draw cluster numbers by a seeded hash. Rows here
-    are hand-labelled, so clusters are few enough to be numbered in one task. Replicates without lambda are left out.
+    clusters' counts, so clusters are aggregated and numbered once (rows here are hand-labelled, so they are few enough for
+    one task) and replicates draw cluster numbers by a seeded hash. Draws are made once, in parts of DRAWS whatever the
+    number of clusters, and added up by replicate where they are made: they are neither shuffled nor written. Replicates
+    without lambda are left out.
     """
     cols = [c(k, j) for k, j in PAIRS]
     clusters = confusion_columns(rows.withColumn("_u", F.coalesce(F.col(unit).cast("string"), F.lit(""))), "_u")
-    clusters = clusters.withColumn("at", F.row_number().over(Window.orderBy("_u")) - 1).drop("_u")
-    total = clusters.agg(F.count(F.lit(1)).alias("g"))
-    reps = rows.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(total)).filter("g > 0")
-    draws = reps.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    draws = draws.select("rep", F.floor(uniform(F.concat_ws("|", F.lit(seed), "rep", "draw")) * F.col("g")).cast("int").alias("at"))
-    # a replicate's multiplicity of each cluster is counted before the join
-    times = draws.groupBy("rep", "at").agg(F.count(F.lit(1)).alias("m"))
-    sums = times.join(clusters, "at").groupBy("rep").agg(*[F.sum(F.col(x) * F.col("m")).alias(x) for x in cols])
-    lam = with_lambda(sums).filter(F.col("lambda").isNotNull()).select("lambda")
+    clusters = cut(clusters.withColumn("at", (F.row_number().over(Window.orderBy("_u")) - 1).cast("long")).drop("_u"), "label-clusters")
+    spark, g = rows.sparkSession, clusters.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-replicates * g // DRAWS))
+    numbers = spark.range(0, replicates * g, 1, parts).select(F.expr(f"id div {max(g, 1)}").alias("rep"), F.expr(f"id % {max(g, 1)}").alias("draw"))
+    at = F.floor(uniform(F.concat_ws("|", F.lit(seed), "rep", "draw")) * g)
+    # never null; told so, the join has no filter before it that would draw a second time
+    draws = numbers.select("rep", F.coalesce(at, F.lit(0).cast("long")).alias("at"))
+    sums = draws.join(F.broadcast(clusters) if g <= SENT else clusters, "at").groupBy("rep").agg(*[F.sum(x).alias(x) for x in cols])
+    lam = cut(with_lambda(sums).filter(F.col("lambda").isNotNull()).select("lambda"), "lambdas")  # one number per replicate
     low, high = interval_positions(lam, "lambda")
-    return lam.agg(F.count(F.lit(1)).alias("n_valid")).crossJoin(low).crossJoin(high).crossJoin(total.withColumnRenamed("g", "n_clusters"))
+    return lam.agg(F.count(F.lit(1)).alias("n_valid")).crossJoin(low).crossJoin(high).withColumn("n_clusters", F.lit(g).cast("long"))
 
 
 def interval_positions(values: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

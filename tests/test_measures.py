@@ -1,5 +1,7 @@
 """Published and hand-computed figures, and plain re-computations."""
 
+import hashlib
+import itertools
 import math
 import random
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seamline.functions import patterns as P
 from seamline.functions import stats
 from seamline.functions.text import BUCKETS
 from seamline.operators import attenuation, cells, estimand, resample, sampling, validation, variance
@@ -71,6 +74,61 @@ def test_bootstrap_of_one_cluster_is_a_point(spark):
     assert r.n_clusters == 1 and r.low == r.high
 
 
+def python_interval(rows, replicates, seed):
+    """n_valid, low and high by hand: lambda of each resample of the clusters, drawn by the hash."""
+    units = sorted({u for u, _, _ in rows})
+    total = sum(P.ASSIGNED.values())
+    lams = []
+    for rep in range(replicates):
+        n = dict.fromkeys(itertools.product(BUCKETS, BUCKETS), 0)
+        for draw in range(len(units)):
+            u = int(hashlib.md5(f"{seed}|{rep}|{draw}".encode()).hexdigest()[:8], 16) / 2**32
+            for unit, a, h in rows:
+                n[a, h] += unit == units[int(u * len(units))]
+        sums = {k: sum(n[k, j] for j in BUCKETS) for k in BUCKETS}
+        if all(sums.values()):
+            p = {(k, j): n[k, j] / sums[k] for k, j in n}
+            true = {j: sum(P.ASSIGNED[k] / total * p[k, j] for k in BUCKETS) for j in BUCKETS}
+            if all(true.values()):
+                a = {j: (P.ASSIGNED[LARGE] * p[LARGE, j] - P.ASSIGNED[SMALL] * p[SMALL, j]) / total / true[j] for j in BUCKETS}
+                lams.append((a[LARGE] - a[SMALL]) / 2)
+    lams.sort()
+    return len(lams), lams[len(lams) * 25 // 1000], lams[min(len(lams) - 1, len(lams) * 975 // 1000)]
+
+
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_bootstrap_draws_once_in_bounded_parts(spark, monkeypatch, sent):
+    """Each replicate draws each cluster once, however many results are made of it, and no task makes more than DRAWS."""
+    rng = random.Random(12)
+    rows = [(f"s{rng.randrange(13):02d}", a, a if rng.random() < 0.7 else rng.choice(BUCKETS)) for a in rng.choices(BUCKETS, k=90)]
+    assert len({u for u, _, _ in rows}) == 13
+    drawn, most = spark.sparkContext.accumulator(0), 100
+    native = attenuation.uniform
+
+    def counted(text):
+        def add(u):
+            drawn.add(1)
+            return u
+
+        return F.udf(add, "double")(native(text))
+
+    monkeypatch.setattr(attenuation, "uniform", counted)
+    monkeypatch.setattr(attenuation, "DRAWS", most, raising=False)
+    monkeypatch.setattr(attenuation, "SENT", sent, raising=False)
+    parts, ranged = [], spark.range
+    monkeypatch.setattr(type(spark), "range", lambda _, *x: parts.append(x) or ranged(*x))
+    got = attenuation.bootstrap_lambda(spark.createDataFrame(rows, "u string, assigned string, human string"), "u", 80, "9").first()
+    assert drawn.value == 80 * 13
+    assert [(x[1], x[3]) for x in parts] == [(80 * 13, -(-80 * 13 // most))]
+    n_valid, low, high = python_interval(rows, 80, "9")
+    assert (got.n_clusters, got.n_valid) == (13, n_valid) and (got.low, got.high) == pytest.approx((low, high), abs=1e-12)
+
+
+def test_bootstrap_of_nothing(spark):
+    r = attenuation.bootstrap_lambda(spark.createDataFrame([], "u string, assigned string, human string"), "u", 50).first()
+    assert (r.n_clusters, r.n_valid, r.low, r.high) == (0, 0, None, None)
+
+
 def python_wild(rows, replicates, sign):
     def t_of(y):
         n = len(rows)
