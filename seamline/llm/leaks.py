@@ -33,16 +33,14 @@ PASSAGE = 2 * RUN
 STRETCH, SEARCH_STEP = 3 * RUN // 2, 4
 #: Latent directions kept, and random directions beyond them; the leading ones give the bucket of a run.
 RANK, OVERSAMPLE, BITS = 64, 8, 32
-#: The directions are fitted on documents drawn by hash, of so many words in all as expected.
-FIT_WORDS = 2_000_000
 #: Words of the held-out texts handled at once, and of the pieces that longer texts are cut into (they overlap).
 BLOCK_WORDS, PIECE = 100_000, 4096
 #: Held-out items are spread over so many parts to be put into blocks.
 PARTS = 1024
 #: Words of documents embedded at once.
 CHUNK = 1 << 16
-#: Windows that cluster centres are fitted on at most, clusters at most, and clusters searched for a passage.
-FIT, CLUSTERS, PROBED = 20_000, 256, 24
+#: Clusters of windows at most, clusters searched for a passage, and windows held against all centres at once.
+CLUSTERS, PROBED, ROWS = 256, 24, 20_000
 #: Paraphrases: least cosine, share of the passage's words in common order, and share of the answer words present.
 PARA_COSINE, PARA_COMMON, PARA_ANSWERS = 0.6, 0.5, 2 / 3
 #: Words of a stretch that count as its answer: those that the fewest other items have.
@@ -166,8 +164,8 @@ def latent_directions(worded: DataFrame, held: HeldOut, idf: np.ndarray, rank: i
 
     Rows stay sparse: a passage's product with the random directions is the sum of its words' rows, and each word adds up
     the products of the passages it stands in. The held-out windows are rows too, with as much weight in all as the
-    passages, so directions that only they use are kept. The documents may be a sample: directions only say where to look. Tasks send a row for each word they met, added up word by word
-    before they reach the driver; the sums' size depends on the block of held-out texts, not on the documents.
+    passages, so directions that only they use are kept. Tasks send a row for each word they met, added up word by word before
+    they reach the driver; the sums' size depends on the block of held-out texts, not on the documents.
     """
     v = held.other
     width = min(rank + OVERSAMPLE, v)
@@ -176,13 +174,13 @@ def latent_directions(worded: DataFrame, held: HeldOut, idf: np.ndarray, rank: i
 
     def run(batches):
         vocabulary, omega, idf = sent.value
-        g, b, met, n = np.zeros((width, width)), np.zeros((v + 1, width), np.float32), np.zeros(v + 1, bool), 0
+        g, b, met, n = np.zeros((width, width)), np.zeros((v + 1, width)), np.zeros(v + 1, bool), 0
         for _, starts, ends, nums in _chunks(batches, vocabulary):
             firsts = np.concatenate([np.arange(lo, hi, PASSAGE) for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True)])
             n += _add_rows(g, b, nums, firsts, omega, idf)
             met[nums] = True
         some = np.flatnonzero(met[:v])
-        rows = [*(g[k].tobytes() for k in range(width)), np.float64(n).tobytes(), *(b[k].astype(np.float64).tobytes() for k in some.tolist())]
+        rows = [*(g[k].tobytes() for k in range(width)), np.float64(n).tobytes(), *(b[k].tobytes() for k in some.tolist())]
         names = np.concatenate([np.arange(-width - 1, 0), some]).astype(np.int32)  # negative: the rows of g, then n
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(rows, pa.binary())], ["row", "sums"])
 
@@ -193,7 +191,7 @@ def latent_directions(worded: DataFrame, held: HeldOut, idf: np.ndarray, rank: i
                 total = total + np.frombuffer(raw, np.float64)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.asarray(total).tobytes()], pa.binary())], ["row", "sums"])
 
-    g, b, n = np.zeros((width, width)), np.zeros((v + 1, width), np.float32), 0.0
+    g, b, n = np.zeros((width, width)), np.zeros((v + 1, width)), 0.0
     for r in worded.mapInArrow(run, "row int, sums binary").groupBy("row").applyInArrow(add, "row int, sums binary").collect():
         sums = np.frombuffer(bytes(r["sums"]), np.float64)
         if r["row"] >= 0:
@@ -202,7 +200,7 @@ def latent_directions(worded: DataFrame, held: HeldOut, idf: np.ndarray, rank: i
             n = float(sums[0])
         else:
             g[r["row"] + width + 1] = sums
-    own_g, own_b = np.zeros((width, width)), np.zeros((v + 1, width), np.float32)
+    own_g, own_b = np.zeros((width, width)), np.zeros((v + 1, width))
     windows = held.windows()[0]
     m = _add_rows(own_g, own_b, windows.ravel(), np.arange(0, windows.size, STRETCH), omega, idf)
     share = max(n, 1.0) / m
@@ -210,18 +208,26 @@ def latent_directions(worded: DataFrame, held: HeldOut, idf: np.ndarray, rank: i
     values, vectors = np.linalg.eigh(g)
     kept = values > 1e-9 * max(values[-1], 1e-12)  # fewer than `width` where the rows have fewer directions
     q = vectors[:, kept] / np.sqrt(values[kept])
-    return np.linalg.svd(b[:v].astype(np.float64) @ q, full_matrices=False)[0][:, :rank].astype(np.float32)
+    return np.linalg.svd(b[:v] @ q, full_matrices=False)[0][:, :rank].astype(np.float32)
 
 
 def _add_rows(g: np.ndarray, b: np.ndarray, nums: np.ndarray, firsts: np.ndarray, omega: np.ndarray, idf: np.ndarray) -> int:
-    """Adds passages, words `nums` from each of `firsts` to the next, to g = sum of y y' and b = sum of x y'; their number."""
-    y = np.add.reduceat(omega[nums], firsts, axis=0)
+    """Adds passages, words `nums` from each of `firsts` to the next, to g = sum of y y' and b = sum of x y'; their number.
+
+    Other words have no weight and are left out first, as are passages of nothing else.
+    """
+    known = np.flatnonzero(nums < len(idf) - 1)
+    if not len(known):
+        return len(firsts)
+    passage, nums = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(nums))))[known], nums[known]
+    heads = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    y = np.add.reduceat(omega[nums], heads, axis=0)
     g += y.T.astype(np.float64) @ y
-    passage = np.repeat(np.arange(len(firsts)), np.diff(np.append(firsts, len(nums))))
+    row = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(nums))))
     order = np.argsort(nums, kind="stable")
     word = nums[order]
     heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    b[word[heads]] += np.add.reduceat(y[passage[order]], heads, axis=0) * idf[word[heads]][:, None]
+    b[word[heads]] += np.add.reduceat(y[row[order]], heads, axis=0) * idf[word[heads]][:, None]
     return len(firsts)
 
 
@@ -316,24 +322,27 @@ def _unit(x: np.ndarray) -> np.ndarray:
 class Clusters:
     """Unit rows in clusters around centres; a search looks into the PROBED clusters nearest to a row.
 
-    Centres are fitted on at most FIT rows drawn by seed; every row is in the index.
+    Centres start at rows drawn by seed and are fitted on all rows.
     """
 
     def __init__(self, rows: np.ndarray, seed: int = 3):
         self.probed = PROBED
         rng = np.random.default_rng(seed)
-        some = rows if len(rows) <= FIT else rows[rng.choice(len(rows), FIT, replace=False)]
-        self.centres = some[rng.choice(len(some), min(CLUSTERS, max(1, int(len(rows) ** 0.5))), replace=False)]
+        self.centres = rows[rng.choice(len(rows), min(CLUSTERS, max(1, int(len(rows) ** 0.5))), replace=False)]
         for _ in range(6):
-            nearest = (some @ self.centres.T).argmax(axis=1)
-            sums = np.zeros_like(self.centres)
-            np.add.at(sums, nearest, some)
+            nearest = self._nearest(rows)
+            sums = np.zeros(self.centres.shape)
+            np.add.at(sums, nearest, rows)
             self.centres = np.where(np.abs(sums).sum(axis=1, keepdims=True) > 0, _unit(sums), self.centres)
-        nearest = (rows @ self.centres.T).argmax(axis=1)
+        nearest = self._nearest(rows)
         self.order = np.argsort(nearest, kind="stable")
         self.rows = rows[self.order]
         self.first = np.searchsorted(nearest[self.order], np.arange(len(self.centres) + 1))
 
+    def _nearest(self, rows: np.ndarray) -> np.ndarray:
+        """The centre nearest to each row."""
+        return np.concatenate([(rows[at : at + ROWS] @ self.centres.T).argmax(axis=1) for at in range(0, len(rows), ROWS)])
+
     def search(self, x: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of x, row of the index, cosine) of the pairs found at `near` or more."""
         close = x @ self.centres.T
@@ -484,16 +493,14 @@ def _blocks(docs: DataFrame, items: DataFrame, one) -> DataFrame | None:
     """
     worded = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
     worded = cut(worded, "worded").filter("size(words) > 0")  # filtered before it is written, words would be made twice
-    total, n_words = worded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    every = max(1, round(n_words / FIT_WORDS))
-    fitted = worded.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(every)) == 0)
+    total = worded.count()
     out = None
     for held in _blocks_of(items):
         if not held.other:
             continue
         df = document_frequencies(worded, held.vocabulary)
         idf = np.append(np.log((1 + total) / (1 + np.minimum(df, total))) + 1e-3, 0.0).astype(np.float32)
-        vectors = word_vectors(idf, latent_directions(fitted, held, idf))
+        vectors = word_vectors(idf, latent_directions(worded, held, idf))
         found = one(worded, held, vectors)
         out = found if out is None else out.unionByName(found)
     return out

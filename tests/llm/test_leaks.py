@@ -212,3 +212,41 @@ def test_a_run_is_not_joined_over_other_words(spark):
     docs, items = [(1, " ".join([*w[:7], "zz", *w[7:14]]))], [(5, " ".join(w))]
     got = leaks.paraphrased_items(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert [(r.run, r.common, r.kind) for r in got] == [(7, 14, "paraphrase")]
+
+
+@pytest.mark.parametrize("operator", [leaks.leaked_items, leaks.paraphrased_items])
+def test_directions_are_fitted_on_every_document(spark, monkeypatch, operator):
+    """4,000 documents of 3.2 M words in all; the item's first word stands in one document only."""
+    item = " ".join(f"i{j}" for j in range(20))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") == 77, item).otherwise("i5 i6"), F.repeat(F.lit(" x"), 798)).alias("text"))
+    fit, fitted = leaks.latent_directions, []
+    monkeypatch.setattr(leaks, "latent_directions", lambda words, *x: fitted.append(words.agg(F.count("doc_id"), F.sum(F.size("words"))).first()) or fit(words, *x))
+    got = [(r.doc_id, r.item_id) for r in operator(docs, spark.createDataFrame([(5, item)], ITEMS)).collect()]
+    assert got == [(77, 5)]
+    assert [tuple(x) for x in fitted] == [(4000, 3999 * 800 + 818)]
+
+
+def test_centres_are_fitted_on_all_rows(monkeypatch):
+    rows = leaks._unit(np.random.default_rng(13).standard_normal((25_000, 6)))
+    centres = rows[np.random.default_rng(3).choice(len(rows), int(len(rows) ** 0.5), replace=False)]
+    for _ in range(6):
+        nearest = (rows @ centres.T).argmax(axis=1)
+        centres = leaks._unit(np.stack([rows[nearest == k].sum(axis=0, dtype=np.float64) for k in range(len(centres))]))
+    assert np.allclose(leaks.Clusters(rows).centres, centres, atol=1e-4)
+    monkeypatch.setattr(leaks, "ROWS", 700)
+    assert np.allclose(leaks.Clusters(rows).centres, centres, atol=1e-4)
+
+
+def test_rows_without_other_words_give_the_same_sums():
+    """Against dense rows: passages of other words only, repeated words and a last passage that is short."""
+    rng = np.random.default_rng(14)
+    nums = rng.choice([0, 1, 2, 3, 4, 5, 9, 9, 9], 500).clip(max=6).astype(np.int32)
+    nums[24:72] = 6
+    firsts, idf = np.arange(0, 500, 24), np.append(rng.random(6), 0.0).astype(np.float32)
+    omega = rng.standard_normal((7, 4)).astype(np.float32) * idf[:, None]
+    g, b = np.zeros((4, 4)), np.zeros((7, 4))
+    assert leaks._add_rows(g, b, nums, firsts, omega, idf) == 21
+    x = np.stack([np.bincount(nums[at : at + 24], minlength=7) for at in firsts]).astype(np.float64)
+    y = x @ omega
+    assert np.allclose(g, y.T @ y, rtol=1e-4) and np.allclose(b, (x * idf).T @ y, rtol=1e-4)
+    assert leaks._add_rows(g, b, np.full(30, 6, np.int32), np.array([0, 24]), omega, idf) == 2
